@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BASE = ("region nation customer supplier part orders lineitem events documents "
         "embeddings pages benchmark labels conversations").split()
@@ -79,11 +79,21 @@ class Tables:
         if name not in self._made:
             if name in BASE:
                 df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            elif name == "team_games_v":
+                df = self._team_games()
             else:
                 df = self.sql(VIEWS[name])
             self._made[name] = df
         return self._made[name]
 
+    def _team_games(self) -> DataFrame:
+        """Both sides of a game from one scan; the SQL text is its oracle."""
+        from fungo.operators.project import symmetric
+
+        side = lambda us, them: {"team": f"{us}_team", "opponent": f"{them}_team", "rf": f"{us}_runs",
+                                 "ra": f"{them}_runs", "run_diff": F.col(f"{us}_runs") - F.col(f"{them}_runs")}
+        return symmetric(self.games_v, ["game_pk", "game_date", "season"], side("home", "away"), side("away", "home"))
+
     def sql(self, text: str, **extra: DataFrame) -> DataFrame:
         """Run SQL whose table names are base tables, views or ``extra`` frames."""
         frames = {n: getattr(self, n) for n in _deps(text, _NAMES)}
