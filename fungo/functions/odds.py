@@ -67,7 +67,7 @@ def pnl(stake: Column, ml: Column, won: Column) -> Column:
     """Result of a bet in money; 0 while it is pending or the price is 0."""
     zero = F.lit(0).cast("decimal(18,2)")
     net = F.coalesce(net_odds(ml), F.lit(0.0)).cast("decimal(18,6)")
-    return (F.when(won & (ml != 0), money(stake.cast("decimal(18,2)") * net))
+    return (F.when(won & (ml != 0), F.round(stake.cast("decimal(18,2)") * net, 2).cast("decimal(18,2)"))
             .when(~won & (ml != 0), -stake.cast("decimal(18,2)"))
             .otherwise(zero))
 
