@@ -148,8 +148,8 @@ def recompute_diffs(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> Data
 
 def calendar_features(df: DataFrame, day: str) -> DataFrame:
     return df.withColumns({
-        "month": F.month(day), "day_of_year": F.dayofyear(day),
-        "early_season": (F.month(day) <= 4).cast("int"), "rules_era": (F.year(day) >= 2023).cast("int")})
+        "game_month": F.month(day).cast("double"), "game_day_of_year": F.dayofyear(day).cast("double"),
+        "is_early_season": F.month(day).isin(3, 4).cast("double"), "post_2023_rules": (F.year(day) >= 2023).cast("double")})
 
 
 def select_by_hand(hand: Column, vs_left: Column, vs_right: Column) -> Column:
