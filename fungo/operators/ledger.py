@@ -11,7 +11,6 @@ a running aggregate and fully parallel.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fungo.functions import odds
 from fungo.operators import ordered
-from fungo.session import checkpoint_root
+from fungo.operators.fold import ordered_fold
 
 CENTS = "decimal(18,2)"
 UNIT_F, UNIT_N = 10**8, 10**6
@@ -29,10 +28,9 @@ def _half_up(num: int, den: int) -> int:
     return (2 * num + den) // (2 * den)
 
 
-def _fold_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk one chunk of one group in order, in whole cents."""
-    pdf = pdf.sort_values("_pos")
-    balance = int(pdf["_start"].iloc[0])
+def _walk_bets(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Walk bets in order, in whole cents."""
+    balance = int(pdf["_balance"].iloc[0])
     stakes, results, balances = [], [], []
     for share, net, won in zip(pdf["_share"], pdf["_net"], pdf["_won"]):
         stake = _half_up(balance * share, UNIT_F) if balance > 0 else 0
@@ -51,39 +49,16 @@ def ledger_fold(bets: DataFrame, group: Sequence[str], order: Sequence[str], sha
     stake = round(balance * share, 2); pnl = round(stake * net odds, 2) when won,
     -stake when lost, 0 while pending.
     """
-    group = list(group)
     prepared = bets.withColumns({
         "_share": F.floor(share * UNIT_F + 0.5).cast("bigint"),
-        "_net": F.floor(odds.net_odds(ml) * UNIT_N + 0.5).cast("bigint"),
+        "_net": F.floor(F.coalesce(odds.net_odds(ml), F.lit(0.0)) * UNIT_N + 0.5).cast("bigint"),
         "_won": F.coalesce(won.cast("int"), F.lit(-1)),
     })
-    placed = ordered.ranked(prepared, group, order, "_pos", cell)
-    largest = bets.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    chunks = -(-largest // chunk_rows)
-    first_cents = int(round(start * 100))
-
-    def fold(df: DataFrame) -> DataFrame:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return df.groupBy(*group).applyInPandas(_fold_chunk, f"{fields}, _stake bigint, _pnl bigint, _balance bigint")
-
-    if chunks <= 1:
-        path = fold(placed.withColumn("_start", F.lit(first_cents).cast("bigint")))
-    else:
-        checkpoint_root(bets.sparkSession)
-        cut = placed.withColumn("_chunk", F.floor((F.col("_pos") - 1) / chunk_rows)).checkpoint()
-        state, parts = None, []
-        for k in range(chunks):
-            rows = cut.filter(F.col("_chunk") == k).drop("_chunk")
-            if state is None:
-                rows = rows.withColumn("_start", F.lit(first_cents).cast("bigint"))
-            else:
-                rows = rows.join(state, group)
-            part = fold(rows).checkpoint()
-            state = part.groupBy(*group).agg(F.max_by("_balance", "_pos").alias("_start"))
-            parts.append(part)
-        path = functools.reduce(DataFrame.unionByName, parts)
+    # the balance after each bet is both the state and a result
+    path = ordered_fold(prepared, group, order, lambda pdf: _walk_bets(pdf).assign(_after=lambda x: x["_balance"]),
+                        "_stake bigint, _pnl bigint, _after bigint", {"_balance": ("bigint", int(round(start * 100)))}, chunk_rows, cell)
     cents = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast(CENTS)
-    return path.select(*bets.columns, cents("_stake").alias("stake"), cents("_pnl").alias("pnl"), cents("_balance").alias("bankroll"),
+    return path.select(*bets.columns, cents("_stake").alias("stake"), cents("_pnl").alias("pnl"), cents("_after").alias("bankroll"),
                        F.col("_pos").alias("bet_number"))
 
 
