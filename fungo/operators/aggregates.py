@@ -116,9 +116,13 @@ def equal_bins(lo: float, hi: float, n: int) -> list[tuple[str, float, float]]:
 
 # --- exact quantiles ------------------------------------------------------
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping[str, float], accuracy: int = 20_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping[str, float], accuracy: int = 20_000,
+                    shift: Mapping[str, int] | None = None) -> DataFrame:
     """Exact interpolated quantiles per key, without sorting or hashing a whole key in one task.
 
+    ``shift`` moves a name to a whole rank: floor(n * p) plus the shift, null outside
+    the data.
+
     A mergeable sketch gives, per key and probability, two values that surround the
     quantile. Rows below the lower one are only counted; rows between them, a few
     per ten thousand, are counted by value and searched for the wanted ranks.
@@ -132,6 +136,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping
     at = [F.struct(F.lit(name).alias("_name"), F.lit(float(p)).alias("_p"), F.col("_q")[2 * i].alias("_lo"), F.col("_q")[2 * i + 1].alias("_hi"))
           for i, (name, p) in enumerate(probs.items())]
     bands = sketch.select(*keys, "_n", F.inline(F.array(*at)))
+    # a small key is searched whole: at most ``accuracy`` values
+    small = F.col("_n") <= accuracy
+    bands = bands.withColumns({"_lo": F.when(small, F.lit(-math.inf)).otherwise(F.col("_lo")), "_hi": F.when(small, F.lit(math.inf)).otherwise(F.col("_hi"))})
     packed = bands.groupBy(*keys).agg(F.collect_list(F.struct("_name", "_p", "_n", "_lo", "_hi")).alias("_bands"))
     hits = (rows.join(packed, keys) if keys else rows.crossJoin(F.broadcast(packed))).select(*keys, "_v", F.inline("_bands"))
     counted = (hits.filter(F.col("_v") <= F.col("_hi"))
@@ -140,6 +147,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping
     w = W.partitionBy(*keys, "_name").orderBy(F.asc_nulls_first("_w")).rowsBetween(W.unboundedPreceding, 0)
     cum = counted.withColumn("_cum", F.sum("_c").over(w))
     spot = (F.col("_n") - 1) * F.col("_p")
+    for name, by in (shift or {}).items():
+        rank_at = F.floor(F.col("_n") * F.col("_p")) + by
+        spot = F.when(F.col("_name") != name, spot).when((rank_at >= 0) & (rank_at < F.col("_n")), rank_at)
     rank = lambda f: F.min(F.when(F.col("_cum") >= f(spot) + 1, F.col("_w")))
     found = cum.groupBy(*keys, "_name", "_p", "_n").agg(rank(F.floor).alias("_a"), rank(F.ceil).alias("_b"))
     frac = spot - F.floor(spot)

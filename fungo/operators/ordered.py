@@ -125,8 +125,9 @@ def rolling_prior(
     aggs: Mapping[str, tuple[str, str | Column, int, int]],
     cell: str | None = None,
     block_rows: int = BLOCK_ROWS,
+    inclusive: bool = False,
 ) -> DataFrame:
-    """Aggregates over the last n rows before the current one.
+    """Aggregates over the last n rows before the current one (up to it, if ``inclusive``).
 
     ``aggs`` maps an output name to (avg | sum | count | min | max, column, n,
     min_periods). Null values fill a place in the frame but are not counted
@@ -146,7 +147,7 @@ def rolling_prior(
     fns = {"avg": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     outs = {}
     for name, (fn, c, n, least) in aggs.items():
-        frame = w.rowsBetween(-n, -1)
+        frame = w.rowsBetween(1 - n, 0) if inclusive else w.rowsBetween(-n, -1)
         value = fns[fn](_col(c)).over(frame)
         outs[name] = value if least <= 0 else F.when(F.count(_col(c)).over(frame) >= least, value)
     return placed.withColumns(outs).filter("_own").drop("_pos", "_at", "_block", "_own")
@@ -172,9 +173,11 @@ def calendar_range(df: DataFrame, keys: Sequence[str], day: str,
 
 
 def signed_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                  name: str = "streak", cell: str | None = None) -> DataFrame:
+                  name: str = "streak", cell: str | None = None, inclusive: bool = False) -> DataFrame:
     """Wins in a row (positive) or losses in a row (negative) going into each row.
 
+    ``inclusive`` gives the streak after the row instead.
+
     A value of 0 counts as a loss. After a null value the streak reads 0, but the
     run goes on behind it.
     """
@@ -185,7 +188,7 @@ def signed_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
         "_won": ("max", F.when(v > 0, F.col("_k"))),
         "_lost": ("max", F.when(v <= 0, F.col("_k"))),
         "_last": ("last", F.struct(v.alias("v"))),
-    }, cell)
+    }, cell, inclusive)
     zero = F.lit(0).cast("long")
     out = (F.when(F.col("_last.v") > 0, F.col("_n") - F.coalesce("_lost", zero))
            .when(F.col("_last.v") <= 0, F.coalesce("_won", zero) - F.col("_n"))

@@ -169,10 +169,12 @@ def quotes_json_flatten(df: DataFrame, column: str = "quote", market: str = "h2h
     lines = books.select(*others, "commence_time", "home_team", "away_team", F.col("b.key").alias("book"), F.explode("b.markets").alias("m")).filter(F.col("m.key") == market)
     price = lambda team: F.try_element_at(F.filter("m.outcomes", lambda o: o["name"] == F.col(team)), F.lit(1))["price"]
     has = lambda team: F.exists("m.outcomes", lambda o: o["name"] == F.col(team))
-    return lines.filter(has("home_team") & has("away_team")).select(
+    # prices first: the names they are looked up by are rewritten after
+    priced = lines.filter(has("home_team") & has("away_team")).withColumns({"home_ml": price("home_team"), "away_ml": price("away_team")})
+    return priced.select(
         *others, eastern_date(F.try_to_timestamp("commence_time")).alias("game_date"),
         teams.normalize_team_name(F.col("home_team")).alias("home_team"), teams.normalize_team_name(F.col("away_team")).alias("away_team"),
-        "book", price("home_team").alias("home_ml"), price("away_team").alias("away_ml"))
+        "book", "home_ml", "away_ml")
 
 
 SCHEDULE = """struct<dates: array<struct<date: string, games: array<struct<gamePk: bigint, gameDate: string, status: struct<detailedState: string>,
