@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fungo.operators import joins as j, ordered as o, project as p
 from fungo.plans.sides import team_games, to_game
 
 ORDER = ["game_date", "game_pk"]
-WON = F.when(F.col("run_diff") > 0, 1).when(F.col("run_diff").isNotNull(), 0)
 # Frame lengths and least games.
 LONG, SHORT, VENUE, SEASON_LEAST = (15, 5), (7, 3), (15, 3), 10
 
 
+def won() -> Column:
+    return F.when(F.col("run_diff") > 0, 1).when(F.col("run_diff").isNotNull(), 0)
+
+
 def form_rows(rows: DataFrame, inclusive: bool = False) -> DataFrame:
     """Rolling form per (team, game): going into the game, or after it if ``inclusive``."""
     out = o.rolling_prior(rows, ["team"], ORDER, {
         "rolling_rd": ("avg", "run_diff", *LONG), "rolling_rs": ("avg", "rf", *LONG), "last7_rd": ("avg", "run_diff", *SHORT)}, inclusive=inclusive)
     out = o.rolling_prior(out, ["team", "venue"], ORDER, {"venue_rd": ("avg", "run_diff", *VENUE)}, inclusive=inclusive)
-    out = o.expanding(out, ["team", "season"], ORDER, {"_w": ("sum", WON), "_n": ("count", WON)}, inclusive=inclusive)
+    out = o.expanding(out, ["team", "season"], ORDER, {"_w": ("sum", won()), "_n": ("count", won())}, inclusive=inclusive)
     out = out.withColumn("season_win_pct", F.when(F.col("_n") >= SEASON_LEAST, F.col("_w") / F.col("_n"))).drop("_w", "_n")
     out = o.signed_streak(out, ["team"], ORDER, "run_diff", inclusive=inclusive)
     return out.withColumn("momentum", F.col("last7_rd") - F.col("rolling_rd"))
@@ -35,7 +38,7 @@ def team_form(games: DataFrame) -> DataFrame:
 def head_to_head(games: DataFrame, n: int = 10, least: int = 3) -> DataFrame:
     """The home team's record in the last meetings, whoever was at home then."""
     out = o.rolling_prior(team_games(games), ["team", "opponent"], ORDER, {
-        "h2h_home_win_rate": ("avg", WON, n, least), "h2h_home_run_diff": ("avg", "run_diff", n, least)})
+        "h2h_home_win_rate": ("avg", won(), n, least), "h2h_home_run_diff": ("avg", "run_diff", n, least)})
     return out.filter("venue = 'home'").select("game_pk", "h2h_home_win_rate", "h2h_home_run_diff")
 
 

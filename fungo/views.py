@@ -56,6 +56,27 @@ from games_v g join odds_v o on g.game_pk = o.game_pk""",
 select a.game_pk, a.pitcher_id, a.team_side, a.is_starter, a.outs_recorded, a.runs_allowed,
  g.game_date, g.season, case when a.team_side = 1 then g.home_team else g.away_team end as team
 from appearances_v a join games_v g on a.game_pk = g.game_pk""",
+    # both starters of a game
+    "starters_v": """
+select game_pk, max(case when team_side = 1 then pid end) as home_sp_id, max(case when team_side = 0 then pid end) as away_sp_id
+from (select game_pk, team_side, min(pitcher_id) as pid from appearances_v where is_starter = 1 group by game_pk, team_side) s group by game_pk""",
+    "staffed_games_v": """
+select g.game_pk, g.game_date, g.season, g.home_team, g.away_team, g.home_runs, g.away_runs, g.home_win, g.game_number, s.home_sp_id, s.away_sp_id,
+ concat('p', cast(s.home_sp_id as varchar(20))) as home_name_norm, concat('p', cast(s.away_sp_id as varchar(20))) as away_name_norm
+from games_v g join starters_v s on g.game_pk = s.game_pk""",
+    # season statistics per pitcher and team
+    "pitcher_stats_v": """
+select concat('p', cast(pitcher_id as varchar(20))) as name_norm, season, team, cast(sum(is_starter) as bigint) as gs,
+ case when sum(outs_recorded) > 0 then cast(sum(runs_allowed) as double) * 27 / sum(outs_recorded) end as era, cast(sum(outs_recorded) as bigint) as pa
+from dated_appearances_v where (pitcher_id + season) % 5 <> 0 group by pitcher_id, season, team""",
+    # plays with base/out states, from order lines
+    "impact_plays_v": """
+select l.l_orderkey as game_pk, g.game_date, g.season, l.l_linenumber as play, l.l_partkey as batter, l.l_suppkey as pitcher_id, cast(l.l_suppkey % 2 as int) as batting_side,
+ case when l.l_suppkey % 2 = 0 then g.away_team else g.home_team end as batting_team, case when l.l_suppkey % 2 = 0 then g.home_team else g.away_team end as pitching_team,
+ cast(case when l.l_linenumber <= 2 then 1 else 0 end as int) as is_starter,
+ concat(cast(l.l_partkey % 3 as varchar(1)), '_', cast(l.l_suppkey % 8 as varchar(1))) as state_before, concat(cast((l.l_partkey + 1) % 3 as varchar(1)), '_', cast((l.l_suppkey + 3) % 8 as varchar(1))) as state_after,
+ cast(l.l_partkey % 4 as int) as outs_after, cast(cast(l.l_quantity as bigint) % 3 as int) as runs_scored
+from lineitem l join games_v g on g.game_pk = l.l_orderkey""",
 }
 
 _NAMES = [*VIEWS, *BASE]
