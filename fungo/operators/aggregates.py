@@ -60,12 +60,12 @@ def league_average(appearances: DataFrame) -> DataFrame:
 
 
 def median(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Exact medians per key, one column after the other."""
-    out = None
-    for col in cols:
-        one = exact_quantiles(df, keys, col, {col: 0.5})
-        out = one if out is None else out.join(one, list(keys), "full")
-    return out
+    """Exact medians of several columns per key, in one pass."""
+    from fungo.operators.project import unpivot_features
+
+    long = unpivot_features(df, keys, cols)
+    mid = exact_quantiles(long, [*keys, "feature"], "value", {"median": 0.5})
+    return mid.groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(c) for c in cols])
 
 
 def sum_player_value(sources: Sequence[DataFrame], keys: Sequence[str], value: str) -> DataFrame:

@@ -2,15 +2,16 @@
 
 Some results depend on every row before them in a way no aggregate can merge (a
 balance rounded at each bet, runners on bases). ``ordered_fold`` walks each group in
-order. Groups run in parallel; a group of more than ``chunk_rows`` rows is walked
-chunk by chunk, with its state handed on through a small checkpointed table, so no
-task ever holds more than ``chunk_rows`` rows of a group.
+order, streaming its rows batch by batch. Groups run in parallel. A group of more than
+``chunk_rows`` rows is walked chunk by chunk, with its state handed on through a small
+checkpointed table, so a task never has more than ``chunk_rows`` rows of a group to
+walk and a lost executor costs at most one chunk.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -19,26 +20,33 @@ from fungo.operators import ordered
 from fungo.session import checkpoint_root
 
 
-def ordered_fold(df: DataFrame, group: Sequence[str], order: Sequence[str], step: Callable[[pd.DataFrame], pd.DataFrame],
-                 outputs: str, state: Mapping[str, tuple[str, object]], chunk_rows: int = 100_000,
-                 cell: str | None = None) -> DataFrame:
-    """Run ``step`` over each group's rows in order.
+def ordered_fold(df: DataFrame, group: Sequence[str], order: Sequence[str], inputs: Sequence[str],
+                 step: Callable[[tuple, tuple], tuple[tuple, tuple]], outputs: Mapping[str, str],
+                 state: Mapping[str, tuple[str, object]], chunk_rows: int = 1_000_000, cell: str | None = None) -> DataFrame:
+    """Add ``outputs`` by calling ``step(state, inputs) -> (state, outputs)`` on each row in order.
 
-    ``step`` gets a chunk sorted by ``_pos`` whose state columns hold the state before
-    the chunk, and returns it with the ``outputs`` columns (a DDL string) added and the
-    state columns holding the state after each row. ``state`` maps a column name to
-    (type, initial value).
+    ``outputs`` maps a column name to its type, ``state`` to (type, initial value).
     """
     group = list(group)
     placed = ordered.ranked(df, group, order, "_pos", cell)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema]
-    schema = ", ".join(fields + [f"`{n}` {t}" for n, (t, _) in state.items()]) + ", " + outputs
+    schema = ", ".join(fields + [f"`{n}` {t}" for n, (t, _) in state.items()] + [f"`{n}` {t}" for n, t in outputs.items()])
+    names, results = list(state), list(outputs)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        return step(pdf.sort_values("_pos").reset_index(drop=True))
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, now = None, ()
+        for pdf in batches:
+            made = []
+            for k, start, row in zip(zip(*[pdf[g] for g in group]), zip(*[pdf[n] for n in names]), zip(*[pdf[i] for i in inputs])):
+                if k != key:
+                    key, now = k, start
+                now, out = step(now, row)
+                made.append((*now, *out))
+            done = dict(zip([*names, *results], zip(*made))) if made else {n: [] for n in [*names, *results]}
+            yield pdf.assign(**{n: list(v) for n, v in done.items()})
 
     def run(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*group).applyInPandas(walk, schema)
+        return rows.repartition(*group).sortWithinPartitions(*group, "_pos").mapInPandas(walk, schema)
 
     def start(rows: DataFrame) -> DataFrame:
         return rows.withColumns({n: F.lit(v).cast(t) for n, (t, v) in state.items()})

@@ -44,19 +44,20 @@ def dict_lookup_join(fact: DataFrame, dim: DataFrame, key: str, dim_key: str, pr
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str,
               values: Sequence[str], inclusive: bool = True, cell: Column | None = None,
-              right_tie: Sequence[str] = ()) -> DataFrame:
+              right_tie: Sequence[str] = (), source: DataFrame | None = None) -> DataFrame:
     """Latest ``right`` row at or before ``left_on`` (before, if not ``inclusive``).
 
     Works on distinct (key, time) points of both sides, so rows that share a point
     are searched once, and carries the last value across cells of the time axis
     instead of windowing a whole key. ``cell`` is a coarse, never decreasing
     function of ``_at``, the default being its day. ``right_tie`` orders right rows
-    that share a point.
+    that share a point. ``source`` names an earlier frame of a chain with the same
+    points, so that ``left`` itself is computed once.
     """
     row = F.struct(F.col(right_on).alias("_asof"), *values)
     snaps = (right.groupBy(*by, F.col(right_on).alias("_at"))
              .agg(F.max_by(row, F.struct(right_on, *right_tie)).alias("_row")))
-    asked = left.select(*by, F.col(left_on).alias("_at")).distinct()
+    asked = (left if source is None else source).select(*by, F.col(left_on).alias("_at")).distinct()
     first, second = (0, 1) if inclusive else (1, 0)
     points = (snaps.withColumn("_kind", F.lit(first))
               .unionByName(asked.withColumn("_kind", F.lit(second)), allowMissingColumns=True)

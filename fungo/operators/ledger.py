@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fungo.functions import odds
@@ -28,22 +27,17 @@ def _half_up(num: int, den: int) -> int:
     return (2 * num + den) // (2 * den)
 
 
-def _walk_bets(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk bets in order, in whole cents."""
-    balance = int(pdf["_balance"].iloc[0])
-    stakes, results, balances = [], [], []
-    for share, net, won in zip(pdf["_share"], pdf["_net"], pdf["_won"]):
-        stake = _half_up(balance * share, UNIT_F) if balance > 0 else 0
-        result = _half_up(stake * net, UNIT_N) if won == 1 else (-stake if won == 0 else 0)
-        balance += result
-        stakes.append(stake)
-        results.append(result)
-        balances.append(balance)
-    return pdf.assign(_stake=stakes, _pnl=results, _balance=balances)
+def _settle(state: tuple, bet: tuple) -> tuple[tuple, tuple]:
+    """One bet, in whole cents."""
+    (balance,), (share, net, won) = state, bet
+    balance = int(balance)
+    stake = _half_up(balance * int(share), UNIT_F) if balance > 0 else 0
+    result = _half_up(stake * int(net), UNIT_N) if won == 1 else (-stake if won == 0 else 0)
+    return (balance + result,), (stake, result, balance + result)
 
 
 def ledger_fold(bets: DataFrame, group: Sequence[str], order: Sequence[str], share: Column, ml: Column, won: Column,
-                start: float = 100.0, chunk_rows: int = 100_000, cell: str | None = None) -> DataFrame:
+                start: float = 100.0, chunk_rows: int = 1_000_000, cell: str | None = None) -> DataFrame:
     """Per-bet stake, pnl and balance, each group starting from ``start``.
 
     stake = round(balance * share, 2); pnl = round(stake * net odds, 2) when won,
@@ -54,9 +48,8 @@ def ledger_fold(bets: DataFrame, group: Sequence[str], order: Sequence[str], sha
         "_net": F.floor(F.coalesce(odds.net_odds(ml), F.lit(0.0)) * UNIT_N + 0.5).cast("bigint"),
         "_won": F.coalesce(won.cast("int"), F.lit(-1)),
     })
-    # the balance after each bet is both the state and a result
-    path = ordered_fold(prepared, group, order, lambda pdf: _walk_bets(pdf).assign(_after=lambda x: x["_balance"]),
-                        "_stake bigint, _pnl bigint, _after bigint", {"_balance": ("bigint", int(round(start * 100)))}, chunk_rows, cell)
+    path = ordered_fold(prepared, group, order, ["_share", "_net", "_won"], _settle, {"_stake": "bigint", "_pnl": "bigint", "_after": "bigint"},
+                        {"_balance": ("bigint", int(round(start * 100)))}, chunk_rows, cell)
     cents = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast(CENTS)
     return path.select(*bets.columns, cents("_stake").alias("stake"), cents("_pnl").alias("pnl"), cents("_after").alias("bankroll"),
                        F.col("_pos").alias("bet_number"))

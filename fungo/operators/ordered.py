@@ -16,6 +16,11 @@ first order column, usually the day) or into *blocks* of equal row count:
 
 Results equal those of the plain window. Keys must be non-null and ``order`` must
 be a total order within the key.
+
+Every operator reads its input twice, once per row and once summed per cell. In a
+chain of operators that would double the work at each step, so each takes ``source``:
+the frame the chain started from, with the same rows. The sums are then taken from
+there and the chain stays linear.
 """
 
 from __future__ import annotations
@@ -57,6 +62,7 @@ def expanding(
     aggs: Mapping[str, tuple[str, str | Column]],
     cell: str | None = None,
     inclusive: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add running aggregates over a key's earlier rows.
 
@@ -71,7 +77,7 @@ def expanding(
     inside = W.partitionBy(*on).orderBy(*order).rowsBetween(W.unboundedPreceding, upto)
     before = W.partitionBy(*keys).orderBy(cell).rowsBetween(W.unboundedPreceding, -1)
 
-    cells = df.groupBy(*on).agg(
+    cells = (df if source is None else source).groupBy(*on).agg(
         *[_RUNNING[fn][1](_col(c), seq).alias(f"_p_{name}") for name, (fn, c) in aggs.items()]
     )
     carried = cells.select(
@@ -88,13 +94,14 @@ def expanding(
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position",
-           cell: str | None = None) -> DataFrame:
+           cell: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """1-based position of each row within its key."""
-    return expanding(df, keys, order, {name: ("count", F.lit(1))}, cell, inclusive=True)
+    return expanding(df, keys, order, {name: ("count", F.lit(1))}, cell, inclusive=True, source=source)
 
 
 def expanding_prior(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                    means: Mapping[str, tuple[str | Column, int]], cell: str | None = None) -> DataFrame:
+                    means: Mapping[str, tuple[str | Column, int]], cell: str | None = None,
+                    source: DataFrame | None = None) -> DataFrame:
     """Mean of all earlier rows of the key; null below ``min_periods`` values.
 
     ``means`` maps an output name to (column, min_periods).
@@ -103,7 +110,7 @@ def expanding_prior(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     for n, (c, _) in means.items():
         aggs[f"_s_{n}"] = ("sum", c)
         aggs[f"_n_{n}"] = ("count", c)
-    out = expanding(df, keys, order, aggs, cell)
+    out = expanding(df, keys, order, aggs, cell, source=source)
     return out.withColumns({
         n: F.when(F.col(f"_n_{n}") >= max(m, 1), F.col(f"_s_{n}") / F.col(f"_n_{n}"))
         for n, (_, m) in means.items()
@@ -111,10 +118,10 @@ def expanding_prior(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-             cols: Mapping[str, str | Column], cell: str | None = None) -> DataFrame:
+             cols: Mapping[str, str | Column], cell: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Values of the row before, nulls included (a lag of one)."""
     row = F.struct(*[_col(c).alias(n) for n, c in cols.items()])
-    out = expanding(df, keys, order, {"_prev": ("last", row)}, cell)
+    out = expanding(df, keys, order, {"_prev": ("last", row)}, cell, source=source)
     return out.withColumns({n: F.col(f"_prev.{n}") for n in cols}).drop("_prev")
 
 
@@ -126,6 +133,7 @@ def rolling_prior(
     cell: str | None = None,
     block_rows: int = BLOCK_ROWS,
     inclusive: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Aggregates over the last n rows before the current one (up to it, if ``inclusive``).
 
@@ -142,7 +150,7 @@ def rolling_prior(
         F.array(F.struct(own.alias("_block"), F.lit(True).alias("_own")),
                 F.struct(nxt.alias("_block"), F.lit(False).alias("_own"))),
     ).otherwise(F.array(F.struct(own.alias("_block"), F.lit(True).alias("_own"))))
-    placed = ranked(df, keys, order, "_pos", cell).withColumn("_at", F.col("_pos") - 1).select("*", F.inline(homes))
+    placed = ranked(df, keys, order, "_pos", cell, source).withColumn("_at", F.col("_pos") - 1).select("*", F.inline(homes))
     w = W.partitionBy(*keys, "_block").orderBy("_at")
     fns = {"avg": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     outs = {}
@@ -173,7 +181,8 @@ def calendar_range(df: DataFrame, keys: Sequence[str], day: str,
 
 
 def signed_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                  name: str = "streak", cell: str | None = None, inclusive: bool = False) -> DataFrame:
+                  name: str = "streak", cell: str | None = None, inclusive: bool = False,
+                  source: DataFrame | None = None) -> DataFrame:
     """Wins in a row (positive) or losses in a row (negative) going into each row.
 
     ``inclusive`` gives the streak after the row instead.
@@ -182,13 +191,16 @@ def signed_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     run goes on behind it.
     """
     v = F.col(value)
-    step = expanding(df, keys, order, {"_k": ("count", v)}, cell, inclusive=True)
+    base = df if source is None else source
+    count = {"_k": ("count", v)}
+    counted = expanding(base, keys, order, count, cell, inclusive=True)
+    step = counted if base is df else expanding(df, keys, order, count, cell, inclusive=True, source=base)
     step = expanding(step, keys, order, {
         "_n": ("count", v),
         "_won": ("max", F.when(v > 0, F.col("_k"))),
         "_lost": ("max", F.when(v <= 0, F.col("_k"))),
         "_last": ("last", F.struct(v.alias("v"))),
-    }, cell, inclusive)
+    }, cell, inclusive, source=counted)
     zero = F.lit(0).cast("long")
     out = (F.when(F.col("_last.v") > 0, F.col("_n") - F.coalesce("_lost", zero))
            .when(F.col("_last.v") <= 0, F.coalesce("_won", zero) - F.col("_n"))
@@ -197,9 +209,9 @@ def signed_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
 
 def rest_days(df: DataFrame, keys: Sequence[str], order: Sequence[str], day: str, cap: int,
-              name: str = "rest") -> DataFrame:
+              name: str = "rest", source: DataFrame | None = None) -> DataFrame:
     """Full days off since the key's previous row, held to 0..cap."""
-    out = previous(df, keys, order, {"_day": day})
+    out = previous(df, keys, order, {"_day": day}, source=source)
     return out.withColumn(
         name, F.when(F.col("_day").isNotNull(), F.least(F.lit(cap), F.greatest(F.lit(0), F.datediff(day, "_day") - 1)))
     ).drop("_day")

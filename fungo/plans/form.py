@@ -20,10 +20,10 @@ def form_rows(rows: DataFrame, inclusive: bool = False) -> DataFrame:
     """Rolling form per (team, game): going into the game, or after it if ``inclusive``."""
     out = o.rolling_prior(rows, ["team"], ORDER, {
         "rolling_rd": ("avg", "run_diff", *LONG), "rolling_rs": ("avg", "rf", *LONG), "last7_rd": ("avg", "run_diff", *SHORT)}, inclusive=inclusive)
-    out = o.rolling_prior(out, ["team", "venue"], ORDER, {"venue_rd": ("avg", "run_diff", *VENUE)}, inclusive=inclusive)
-    out = o.expanding(out, ["team", "season"], ORDER, {"_w": ("sum", won()), "_n": ("count", won())}, inclusive=inclusive)
+    out = o.rolling_prior(out, ["team", "venue"], ORDER, {"venue_rd": ("avg", "run_diff", *VENUE)}, inclusive=inclusive, source=rows)
+    out = o.expanding(out, ["team", "season"], ORDER, {"_w": ("sum", won()), "_n": ("count", won())}, inclusive=inclusive, source=rows)
     out = out.withColumn("season_win_pct", F.when(F.col("_n") >= SEASON_LEAST, F.col("_w") / F.col("_n"))).drop("_w", "_n")
-    out = o.signed_streak(out, ["team"], ORDER, "run_diff", inclusive=inclusive)
+    out = o.signed_streak(out, ["team"], ORDER, "run_diff", inclusive=inclusive, source=rows)
     return out.withColumn("momentum", F.col("last7_rd") - F.col("rolling_rd"))
 
 
