@@ -112,7 +112,7 @@ def random_search(train: DataFrame, features: Sequence[str], order: Sequence[str
 def edge_isotonic(bets: DataFrame, train: DataFrame | None = None) -> DataFrame:
     """Calibrated probability and edge: isotonic curve from edge to (won - market), clipped."""
     base = (bets if train is None else train).dropna(subset=["edge", "market_prob", "won"])
-    curve = _isotonic(base.withColumn("_y", F.least(F.greatest(F.col("won").cast("int") - F.col("market_prob"), F.lit(-5.0)), F.lit(5.0))), "edge", "_y")
+    curve = _isotonic(base.withColumn("_y", F.col("won").cast("int") - F.col("market_prob")), "edge", "_y")
     gain = F.least(F.greatest(F.col("_iso"), F.lit(-EDGE_LIMIT)), F.lit(EDGE_LIMIT))
     lo, hi = PROB_LIMITS
     out = curve.transform(bets).withColumn("calibrated_prob", F.least(F.greatest(F.col("market_prob") + gain, F.lit(lo)), F.lit(hi)))
@@ -155,7 +155,7 @@ def feature_importance(model: PipelineModel, features: Sequence[str], df: DataFr
 
 
 def ablation(df: DataFrame, configs: Mapping[str, Sequence[str]], features: Sequence[str], groups: Sequence[str], years: Sequence[int],
-             confirm: int = 8, season: str = "season", label: str = "home_win") -> DataFrame:
+             confirm: int = 8, season: str = "season", label: str = "home_win", key: str = "game_pk") -> DataFrame:
     """Configurations that keep some columns of ``groups`` and zero the others, screened by one model, the best confirmed by a blend.
 
     The screen uses logistic regression, the confirmation the mean of it and boosted trees.
@@ -167,8 +167,8 @@ def ablation(df: DataFrame, configs: Mapping[str, Sequence[str]], features: Sequ
         data = kept(keep)
         out = walk_forward(data, years, logistic(features, label, "_w"), season)
         if tree:
-            both = walk_forward(out.withColumnRenamed("p", "_l"), years, boosted_trees(features + [], label, "_w", trees=10), season)
-            out = both.withColumn("p", (F.col("p") + F.col("_l")) / 2)
+            other = walk_forward(data, years, boosted_trees(features, label, "_w", trees=10), season, "_t").select(key, "_t")
+            out = out.join(other, key).withColumn("p", (F.col("p") + F.col("_t")) / 2)
         return out.select(F.lit(stage).alias("stage"), F.lit(name).alias("config"), season, label, "p")
 
     per = lambda frames: metrics.by_year(functools.reduce(DataFrame.unionByName, frames), ("stage", "config", season), y=label)
