@@ -59,21 +59,21 @@ _ALERTS = f"""
 select game_pk, game_date, alert_type, side, odds, cast(stake * 100 as bigint) as stake_cents, lineup_status, home_team, away_team, ts, start_ts from (
  select *, unnest(case when hl and al then ['early_actionable', 'final_lineup'] else ['early_actionable'] end) as alert_type, case when hl and al then 'both confirmed' when hl or al then 'one confirmed' else 'pending' end as lineup_status from (
   select k.*, x.hl, x.al, cast(round(cast({_KELLY.format(f='0.25::double', c='0.05::double')} * 1000.0::double as decimal(24,6)), 2) as decimal(18,2)) as stake,
-   cast(game_date as timestamp) + k.game_pk % 24 * interval 1 hour as ts, cast(game_date as timestamp) + interval 23 hours as start_ts
+   cast(k.game_date as timestamp) + k.game_pk % 24 * interval 1 hour as ts, cast(k.game_date as timestamp) + interval 23 hours as start_ts
   from decided k join gm x on x.game_pk = k.game_pk where should_bet and x.status <> 'Final' and x.sp <> 'TBD') q where stake >= 0.01) z"""
 _CAND2 = CAND.replace("from market_v)", "from mk)")
 _ACTX = {"mk": "select * replace (ih / (ih + ia) as p_market) from (select *, case when home_ml > 0 then 100 / (home_ml + 100) else abs(home_ml) / (abs(home_ml) + 100) end as ih, case when away_ml > 0 then 100 / (away_ml + 100) else abs(away_ml) / (abs(away_ml) + 100) end as ia from market_v) x",
          "cand": _CAND2, "rules": RULES_SQL, "decided": DECIDED, "gm": _GAMES, "alerts": _ALERTS}
 
 
-def _alerts(t):
+def _alerts(t, gate=None):
     g = c("game_pk")
     quotes = _stream(t, "orders").select(c("o_orderkey").alias("game_pk"), (c("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=(c("o_orderkey") % 24).cast("int"))).alias("ts")).join(
         t.odds_v.select("game_pk", "home_ml", "away_ml", "p_model"), "game_pk")
     games = t.games_v.select("game_pk", "game_date", "home_team", "away_team", F.when(g % 9 == 0, "Final").otherwise("Scheduled").alias("status"),
                              F.when(g % 13 == 0, "TBD").otherwise("A").alias("home_sp"), F.lit("B").alias("away_sp"), (g % 2 == 0).alias("home_lineup"), (g % 3 == 0).alias("away_lineup"))
-    out = jobs.alert_stream(quotes, games, rules(t), 1000.0, policy="tuned")
-    return out.withColumn("start_ts", c("game_date").cast("timestamp") + F.expr("interval 23 hours"))
+    games = games.withColumn("start_ts", c("game_date").cast("timestamp") + F.expr("interval 23 hours"))
+    return jobs.alert_stream(quotes, games, rules(t), 1000.0, policy="tuned", gate=gate)
 
 
 @query("alert_stream", "select game_pk, alert_type, side, odds, stake_cents, lineup_status from alerts", _ACTX)
@@ -91,7 +91,7 @@ def alert_dedupe(t):
 @query("alert_time_gate", """
 select game_pk, alert_type from (select *, hour((ts at time zone 'UTC') at time zone 'America/New_York') as h from alerts) x where h >= 10 and h < 23 and start_ts - ts >= interval 90 minutes""", _ACTX)
 def alert_time_gate(t):
-    out = run.drain(jobs.time_gate(_alerts(t), least_minutes=90).select("game_pk", "alert_type"), scratch(t, "gate"))
+    out = run.drain(_alerts(t, {"least_minutes": 90}).select("game_pk", "alert_type"), scratch(t, "gate"))
     return out.drop("_batch")
 
 

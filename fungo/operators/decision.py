@@ -28,21 +28,21 @@ def exact_avg(x: Column) -> Column:
 
 def choose_side(df: DataFrame, p: str = "p_model", market: str = "p_market", home_ml: str = "home_ml",
                 away_ml: str = "away_ml", home_win: str | None = "home_win") -> DataFrame:
-    """The side with the larger edge over the market, home on ties."""
+    """The side with the larger edge over the market, home on ties.
+
+    The chosen side is taken out of an array of one, so that later filters work on its
+    values and are not rewritten into formulas over the prices.
+    """
     edge_home = F.col(p) - F.col(market)
     edge_away = (1 - F.col(p)) - (1 - F.col(market))
-    home = edge_home >= edge_away
-    either = lambda h, a: F.when(home, h).otherwise(a)
-    cols = {
-        "side": either(F.lit("home"), F.lit("away")),
-        "model_prob": either(F.col(p), 1 - F.col(p)),
-        "market_prob": either(F.col(market), 1 - F.col(market)),
-        "odds": either(F.col(home_ml), F.col(away_ml)),
-        "edge": either(edge_home, edge_away),
-    }
-    if home_win:
-        cols["won"] = either(F.col(home_win) == 1, F.col(home_win) == 0)
-    return df.withColumns(cols)
+
+    def bet(side: str, prob: Column, price: Column, ml: str, edge: Column, result: int) -> Column:
+        won = [(F.col(home_win) == result).alias("won")] if home_win else []
+        return F.struct(F.lit(side).alias("side"), prob.alias("model_prob"), price.alias("market_prob"), F.col(ml).alias("odds"), edge.alias("edge"), *won)
+
+    home = bet("home", F.col(p), F.col(market), home_ml, edge_home, 1)
+    away = bet("away", 1 - F.col(p), 1 - F.col(market), away_ml, edge_away, 0)
+    return df.select("*", F.inline(F.array(F.when(edge_home >= edge_away, home).otherwise(away))))
 
 
 def resolve_policy_rule(df: DataFrame, rules: DataFrame, bucket: str = "odds_bucket", phase: str = "season_phase") -> DataFrame:

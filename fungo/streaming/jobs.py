@@ -33,16 +33,19 @@ def alert_dedupe(alerts: DataFrame, keys: Sequence[str] = ("game_date", "alert_t
 
 
 def alert_stream(quotes: DataFrame, games: DataFrame, rules: DataFrame, bankroll: float, frac: float = 0.25, cap: float = 0.05,
-                 least_stake: float = 0.01, policy: str = "policy") -> DataFrame:
+                 least_stake: float = 0.01, policy: str = "policy", gate: dict | None = None) -> DataFrame:
     """Quotes joined with the day's games and probabilities, reduced to bets the policy allows.
 
     ``quotes`` streams game_pk, ts and both prices; ``games`` is the static side with
-    game_date, teams, p_model, status, starters and lineup flags. Emits an early alert,
-    and a final one when both lineups are out.
+    game_date, teams, p_model, status, starters, lineup flags and start_ts. Emits an
+    early alert, and a final one when both lineups are out. ``gate`` holds arguments of
+    ``time_gate``, which is applied before anything is computed.
     """
     open_ = ~F.col("status").rlike("Final|Progress|Delayed")
     known = ~labels.unknown_starter(F.col("home_sp")) & ~labels.unknown_starter(F.col("away_sp"))
     rows = quotes.join(games, "game_pk").filter(open_ & known)
+    if gate is not None:
+        rows = time_gate(rows, **gate)
     rows = rows.filter(odds.overround(F.col("home_ml"), F.col("away_ml")) >= 1.0).withColumn("market", odds.devig(F.col("home_ml"), F.col("away_ml")))
     picked = d.apply_policy(d.choose_side(rows, "p_model", "market", home_win=None), rules, policy=policy).filter("should_bet")
     staked = picked.withColumn("stake", odds.money(odds.kelly_fraction(F.col("model_prob"), F.col("odds"), frac, cap) * F.lit(float(bankroll))))
