@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fungo.operators import ordered
-from fungo.operators.decision import exact_avg, exact_sum
+from fungo.operators.decision import exact_avg, exact_sum, exact_units
 
 # Report bins, closed on the left.
 EDGE_BINS = (("<=0%", -math.inf, 0.0), ("0-1%", 0.0, 0.01), ("1-2%", 0.01, 0.02), ("2-3%", 0.02, 0.03),
@@ -263,7 +263,7 @@ def year_macro_average(by_year: DataFrame, keys: Sequence[str], metrics: Sequenc
 
 
 def profitable_years(bets: DataFrame, keys: Sequence[str], season: str, profit: Column) -> DataFrame:
-    per = bets.groupBy(*keys, season).agg(F.sum(profit.cast("decimal(18,8)")).alias("_p"))
+    per = bets.groupBy(*keys, season).agg(exact_units(profit).alias("_p"))
     return per.groupBy(*keys).agg(F.count_if(F.col("_p") > 0).alias("profitable_years"), F.count(F.lit(1)).alias("total_years"))
 
 

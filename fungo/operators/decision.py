@@ -17,9 +17,20 @@ TUNE_MIN_BETS, TUNE_FULL_WEIGHT = 30, 300
 SIMULATED_EDGES = (0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.10)
 
 
+def exact_units(x: Column) -> Column:
+    """Sum in units of 1e-8, as a whole number that does not depend on how rows are spread over tasks.
+
+    Each value is rounded to a whole number of units and its high and low bits are summed
+    apart, so the sums stay in long arithmetic and hold for trillions of rows.
+    """
+    units = F.floor(x * 100_000_000.0 + 0.5).cast("bigint")
+    high, low = F.shiftright(units, 20), units.bitwiseAND(F.lit(1048575).cast("bigint"))
+    return F.sum(high).cast("decimal(28,0)") * F.lit(1048576).cast("decimal(8,0)") + F.sum(low).cast("decimal(20,0)")
+
+
 def exact_sum(x: Column) -> Column:
-    """Sum of a double that does not depend on how rows are spread over tasks."""
-    return F.sum(x.cast("decimal(18,8)")).cast("double")
+    """Sum of a double to eight decimals, the same whatever the partitioning."""
+    return exact_units(x).cast("double") / 100_000_000.0
 
 
 def exact_avg(x: Column) -> Column:
@@ -105,9 +116,9 @@ def tune_thresholds(bets: DataFrame, season: str = "season", thresholds: Sequenc
     is laid over those few sums, not over the rows. All test seasons come out of one job.
     """
     known = bets.dropna(subset=["edge", "odds", "won", "odds_bucket"])
-    profit = odds.flat_profit(F.col("odds"), F.col("won")).cast("decimal(18,8)")
+    profit = odds.flat_profit(F.col("odds"), F.col("won"))
     cells = known.groupBy(F.col(season).alias("season"), "odds_bucket", _passed(F.col("edge"), thresholds, False).alias("_k")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(profit).alias("pnl"))
+        F.count(F.lit(1)).alias("n"), exact_units(profit).alias("pnl"))
     grid = F.array(*[F.struct(F.lit(i + 1).alias("_i"), F.lit(float(x)).alias("edge_threshold")) for i, x in enumerate(thresholds)])
     by_year = (cells.select("*", F.inline(grid)).filter(F.col("_k") >= F.col("_i"))
                .groupBy("season", "odds_bucket", "edge_threshold").agg(F.sum("n").alias("n"), F.sum("pnl").alias("pnl")))
@@ -117,7 +128,7 @@ def tune_thresholds(bets: DataFrame, season: str = "season", thresholds: Sequenc
     totals = prior.groupBy("test_season").agg(F.count("season").alias("total_years"))
     buckets = tests.crossJoin(F.broadcast(_bucket_table(bets)))
     scored = (prior.join(by_year, "season").groupBy("test_season", "odds_bucket", "edge_threshold").agg(
-        F.sum("n").alias("prior_bets"), F.sum("pnl").cast("double").alias("_pnl"),
+        F.sum("n").alias("prior_bets"), (F.sum("pnl").cast("double") / 100_000_000.0).alias("_pnl"),
         F.count_if(F.col("pnl") > 0).alias("profitable_years"))
         .join(totals, "test_season")
         .withColumn("prior_flat_roi", F.col("_pnl") / F.col("prior_bets"))
@@ -156,16 +167,15 @@ def threshold_simulation(bets: DataFrame, edge: str = "edge", raw: str | None =
     """Bets, win rate, mean edges and flat return at each minimum edge; thresholds without bets stay in."""
     raw = raw or edge
     known = bets.dropna(subset=[edge, "won", "odds"])
-    dec = lambda x: F.sum(x.cast("decimal(18,8)"))
     cells = known.groupBy(_passed(F.col(edge), thresholds, True).alias("_k")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("won").alias("wins"), dec(F.col(raw)).alias("raw"), dec(F.col(edge)).alias("cal"),
-        dec(odds.flat_profit(F.col("odds"), F.col("won"))).alias("pnl"))
+        F.count(F.lit(1)).alias("n"), F.count_if("won").alias("wins"), exact_units(F.col(raw)).alias("raw"), exact_units(F.col(edge)).alias("cal"),
+        exact_units(odds.flat_profit(F.col("odds"), F.col("won"))).alias("pnl"))
     spark = bets.sparkSession
     grid = spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(thresholds)], "_i int, min_edge double")
     both = F.broadcast(grid).join(cells, F.col("_k") >= F.col("_i"), "left").groupBy("min_edge")
     n = F.coalesce(F.sum("n"), F.lit(0))
-    per = lambda x: F.try_divide(F.sum(x).cast("double"), n)
-    return both.agg(n.alias("bets"), per("wins").alias("win_rate"), per("raw").alias("avg_raw_edge"),
+    per = lambda x: F.try_divide(F.sum(x).cast("double") / 100_000_000.0, n)
+    return both.agg(n.alias("bets"), F.try_divide(F.sum("wins").cast("double"), n).alias("win_rate"), per("raw").alias("avg_raw_edge"),
                     per("cal").alias("avg_calibrated_edge"), per("pnl").alias("flat_stake_roi"))
 
 

@@ -134,12 +134,14 @@ def rolling_prior(
     block_rows: int = BLOCK_ROWS,
     inclusive: bool = False,
     source: DataFrame | None = None,
+    position: str | None = None,
 ) -> DataFrame:
     """Aggregates over the last n rows before the current one (up to it, if ``inclusive``).
 
     ``aggs`` maps an output name to (avg | sum | count | min | max, column, n,
     min_periods). Null values fill a place in the frame but are not counted
-    towards ``min_periods``. All frames share one sort.
+    towards ``min_periods``. All frames share one sort. ``position`` names a column
+    that already holds the row's 1-based place in its key.
     """
     span = max(n for _, _, n, _ in aggs.values())
     size = max(block_rows, span)
@@ -150,7 +152,9 @@ def rolling_prior(
         F.array(F.struct(own.alias("_block"), F.lit(True).alias("_own")),
                 F.struct(nxt.alias("_block"), F.lit(False).alias("_own"))),
     ).otherwise(F.array(F.struct(own.alias("_block"), F.lit(True).alias("_own"))))
-    placed = ranked(df, keys, order, "_pos", cell, source).withColumn("_at", F.col("_pos") - 1).select("*", F.inline(homes))
+    if position is None:
+        df = ranked(df, keys, order, "_pos", cell, source)
+    placed = df.withColumn("_at", F.col(position or "_pos") - 1).select("*", F.inline(homes))
     w = W.partitionBy(*keys, "_block").orderBy("_at")
     fns = {"avg": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     outs = {}

@@ -17,14 +17,22 @@ def won() -> Column:
 
 
 def form_rows(rows: DataFrame, inclusive: bool = False) -> DataFrame:
-    """Rolling form per (team, game): going into the game, or after it if ``inclusive``."""
-    out = o.rolling_prior(rows, ["team"], ORDER, {
-        "rolling_rd": ("avg", "run_diff", *LONG), "rolling_rs": ("avg", "rf", *LONG), "last7_rd": ("avg", "run_diff", *SHORT)}, inclusive=inclusive)
-    out = o.rolling_prior(out, ["team", "venue"], ORDER, {"venue_rd": ("avg", "run_diff", *VENUE)}, inclusive=inclusive, source=rows)
-    out = o.expanding(out, ["team", "season"], ORDER, {"_w": ("sum", won()), "_n": ("count", won())}, inclusive=inclusive, source=rows)
-    out = out.withColumn("season_win_pct", F.when(F.col("_n") >= SEASON_LEAST, F.col("_w") / F.col("_n"))).drop("_w", "_n")
-    out = o.signed_streak(out, ["team"], ORDER, "run_diff", inclusive=inclusive, source=rows)
-    return out.withColumn("momentum", F.col("last7_rd") - F.col("rolling_rd"))
+    """Rolling form per (team, game): going into the game, or after it if ``inclusive``.
+
+    Everything that works on team-days comes first and shares one shuffle; the two
+    rolling frames follow.
+    """
+    kw = {"inclusive": inclusive}
+    out = o.ranked(rows, ["team"], ORDER, "_at_team")
+    out = o.ranked(out, ["team", "venue"], ORDER, "_at_venue", source=rows)
+    out = o.expanding(out, ["team", "season"], ORDER, {"_wins": ("sum", won()), "_games": ("count", won())}, source=rows, **kw)
+    out = o.signed_streak(out, ["team"], ORDER, "run_diff", source=rows, **kw)
+    out = o.rolling_prior(out, ["team"], ORDER, {
+        "rolling_rd": ("avg", "run_diff", *LONG), "rolling_rs": ("avg", "rf", *LONG), "last7_rd": ("avg", "run_diff", *SHORT)}, position="_at_team", **kw)
+    out = o.rolling_prior(out, ["team", "venue"], ORDER, {"venue_rd": ("avg", "run_diff", *VENUE)}, position="_at_venue", **kw)
+    return out.withColumns({
+        "season_win_pct": F.when(F.col("_games") >= SEASON_LEAST, F.col("_wins") / F.col("_games")),
+        "momentum": F.col("last7_rd") - F.col("rolling_rd")}).drop("_wins", "_games", "_at_team", "_at_venue")
 
 
 def team_form(games: DataFrame) -> DataFrame:
