@@ -18,18 +18,23 @@ CORRUPT = "_corrupt_record"
 
 
 def csv_scan_typed(spark: SparkSession, path: str, schema: T.StructType, keep_bad: bool = False) -> DataFrame:
-    """CSV with a header and a fixed schema; rows that do not fit are left out, or kept with their text."""
-    wide = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.schema(wide).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
-    return df if keep_bad else nan_to_null(df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT))
+    """CSV with a header and a fixed schema; rows that do not fit are left out, or kept with their text.
+
+    Lines are parsed as a column, so that which rows are left out does not depend on the
+    columns a query goes on to read.
+    """
+    header = ",".join(schema.fieldNames())
+    lines = spark.read.text(path).filter(F.trim(F.replace(F.col("value"), F.lit('"'), F.lit(""))) != header)
+    return csv_lines_typed(lines, schema, keep_bad=keep_bad)
 
 
-def csv_lines_typed(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
+def csv_lines_typed(lines: DataFrame, schema: T.StructType, value: str = "value", keep_bad: bool = False) -> DataFrame:
     """The same for CSV lines without header that are already in a column."""
-    wide = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*schema.fields, T.StructField(CORRUPT, T.StringType())])
     others = [c for c in lines.columns if c != value]
-    row = F.from_csv(value, wide.simpleString()[len("struct<"):-1].replace(":", " "), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return nan_to_null(lines.select(*others, row.alias("_r")).select(*others, "_r.*").filter(F.col(CORRUPT).isNull()).drop(CORRUPT))
+    row = F.from_csv(value, ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    df = lines.select(*others, row.alias("_r")).select(*others, "_r.*")
+    return df if keep_bad else nan_to_null(df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT))
 
 
 def table_scan_or_fallback(spark: SparkSession, table: str, path: str, schema: T.StructType) -> DataFrame:
