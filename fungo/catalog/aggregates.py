@@ -6,6 +6,7 @@ from fungo.catalog import query
 from fungo.catalog.decisions import CAND, candidates
 from fungo.functions import odds
 from fungo.operators import aggregates as a
+from fungo.operators.ordered import first_n_array
 
 c = F.col
 DEC = "cast({} as decimal(18,8))"
@@ -315,6 +316,6 @@ def sum_player_value(t):
 select g, {m('v')} as lineup_value, count(v) as known_batters, max(n) >= 8 as confirmed from (
  select l_orderkey as g, case when l_partkey % 6 <> 0 then l_discount end as v, count(*) over (partition by l_orderkey) as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as slot from lineitem) x where slot <= 9 group by g""")
 def lineup_mean(t):
-    slot = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.when(c("l_partkey") % 6 != 0, c("l_discount")).alias("v"))
-    lineups = t.lineitem.groupBy(c("l_orderkey").alias("g")).agg(F.transform(F.array_sort(F.collect_list(slot)), lambda x: x["v"]).alias("slots"))
+    batters = t.lineitem.withColumnRenamed("l_orderkey", "g")
+    lineups = first_n_array(batters, ["g"], ["l_linenumber", "l_partkey", "l_suppkey"], 9, F.when(c("l_partkey") % 6 != 0, c("l_discount")), "slots")
     return a.lineup_mean(lineups, ["g"], "slots")

@@ -282,8 +282,7 @@ select strategy, season, count(*) as bets, count(*) filter (won) as wins, cast(s
 
 @query("strategy_sweep")
 def strategy_sweep(t):
-    grid = t.spark.createDataFrame(_STRATEGIES, "strategy string, min_edge double, frac double, cap double, min_odds double, max_odds double")
-    out = l.strategy_sweep(candidates(t), ["season"], ["game_date", "game_pk"], grid)
+    out = l.strategy_sweep(candidates(t), ["season"], ["game_date", "game_pk"], _STRATEGIES)
     return out.select("strategy", "season", "bets", "wins", cents("staked").alias("staked_cents"), cents("pnl").alias("pnl_cents"),
                       cents("final_bankroll").alias("final_cents"))
 

@@ -6,6 +6,7 @@ from fungo.catalog import query
 from fungo.catalog.ingest import _EV_OUTS, _EV_RUNS, event_lines
 from fungo.functions import geo, teams
 from fungo.operators import aggregates as a
+from fungo.operators.ordered import first_n_array
 from fungo.plans import batting, environment as env, form, market, matrix, pitching, plays, scoring
 from fungo.sources.readers import event_file_scan
 
@@ -321,9 +322,8 @@ m as (select s.game_pk, s.venue, {_lineup_mean('lhp')}, {_lineup_mean('rhp')} fr
 rows as (select s.game_pk, s.venue, m.lhp as lineup_ops_vs_lhp, m.rhp as lineup_ops_vs_rhp, case when opp = 'L' then m.lhp when opp = 'R' then m.rhp end as lineup_ops_vs_sp, greatest(m.k_lhp, m.k_rhp) as lineup_known_batters from side s left join m on m.game_pk = s.game_pk and m.venue = s.venue)
 select *, home_lineup_ops_vs_sp - away_lineup_ops_vs_sp as lineup_ops_vs_sp_diff from ({pivot(['lineup_ops_vs_lhp', 'lineup_ops_vs_rhp', 'lineup_ops_vs_sp', 'lineup_known_batters'], 'rows')}) y""".replace("with side as", "select * from (with side as") + ") z", {"bt": _BATTERS})
 def lineup_splits(t):
-    slot = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    lineups = t.lineitem.groupBy(c("l_orderkey").alias("game_pk"), F.when(c("l_suppkey") % 2 == 1, "home").otherwise("away").alias("venue")).agg(
-        F.transform(F.array_sort(F.collect_list(slot)), lambda x: x["l_partkey"]).alias("ids"))
+    batters = t.lineitem.withColumns({"game_pk": c("l_orderkey"), "venue": F.when(c("l_suppkey") % 2 == 1, "home").otherwise("away")})
+    lineups = first_n_array(batters, ["game_pk", "venue"], ["l_linenumber", "l_partkey", "l_suppkey"], 9, "l_partkey", "ids")
     return batting.lineup_splits(_handed(t), lineups, t.sql(_BATTERS))
 
 

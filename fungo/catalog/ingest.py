@@ -86,9 +86,8 @@ def event_file_scan(t):
 
 
 @query("boxscore_json_flatten", """
-select game_pk, team_side, pitcher_id, 'P' || pitcher_id as pitcher_name, row_number() over (partition by game_pk, team_side order by is_starter desc, pitcher_id) = 1 as is_starter, outs_recorded, runs_allowed
-from appearances_v where pitcher_id % 13 <> 0 or pitcher_id is null
-union all select game_pk, team_side, pitcher_id, 'x', false, 0, 0 from appearances_v where false""")
+select game_pk, team_side, pitcher_id, 'P' || pitcher_id as pitcher_name, row_number() over (partition by game_pk, team_side, pitcher_id // 16 order by is_starter desc, pitcher_id) = 1 as is_starter, outs_recorded, runs_allowed
+from appearances_v where pitcher_id % 13 <> 0""")
 def boxscore_json_flatten(t):
     a = t.appearances_v.filter("pitcher_id % 13 <> 0")
     slot = F.struct((1 - c("is_starter")).alias("o"), "pitcher_id", "outs_recorded", "runs_allowed")
@@ -100,8 +99,9 @@ def boxscore_json_flatten(t):
         return F.struct(F.transform(rows, lambda x: x["pitcher_id"]).alias("pitchers"),
                         F.map_from_entries(F.transform(rows, lambda x: F.struct(F.concat(F.lit("ID"), x["pitcher_id"].cast("string")), person(x)))).alias("players"))
 
-    docs = a.groupBy("game_pk").agg(F.to_json(F.struct(F.struct(side(1).alias("home"), side(0).alias("away")).alias("teams"))).alias("boxscore"))
-    return r.boxscore_json_flatten(docs)
+    # a document holds at most 16 pitchers of a game, however many there are
+    docs = a.groupBy("game_pk", F.floor(c("pitcher_id") / 16).alias("part")).agg(F.to_json(F.struct(F.struct(side(1).alias("home"), side(0).alias("away")).alias("teams"))).alias("boxscore"))
+    return r.boxscore_json_flatten(docs).drop("part")
 
 
 @query("play_by_play_json_flatten", """

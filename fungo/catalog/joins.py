@@ -96,8 +96,8 @@ select r.game_pk, cast(sum(coalesce(a.war, b.war, 0)) as bigint) as roster_war f
 def war_fallback_join(t):
     apps = t.dated_appearances_v
     values = apps.filter("pitcher_id % 4 <> 0").groupBy("pitcher_id", "season").agg(F.sum("outs_recorded").alias("war")).filter("war % 3 <> 0")
-    rosters = apps.groupBy("game_pk", "season").agg(F.collect_set("pitcher_id").alias("ids"))
-    return j.war_fallback_join(rosters, values, ["game_pk"], "ids", "season", "pitcher_id", "war", "roster_war")
+    people = apps.select("game_pk", "season", "pitcher_id").distinct()
+    return j.war_fallback_join(people, values, ["game_pk"], "season", "pitcher_id", "war", "roster_war")
 
 
 @query("odds_inner_join", """

@@ -286,8 +286,7 @@ where slot <= 9 group by r.g""")
 def explode_roster(t):
     from fungo.plans.batting import lineup_rates
     li = t.lineitem.withColumn("season", F.year("l_shipdate"))
-    slot = F.struct("l_linenumber", "l_partkey", "l_suppkey", "season")
-    lineups = li.groupBy(c("l_orderkey").alias("g")).agg(F.array_sort(F.collect_list(slot)).alias("slots"))
-    people = F.transform("slots", lambda x: F.struct(x["l_partkey"].alias("player"), x["season"].alias("season")))
+    person = F.struct(c("l_partkey").alias("player"), "season")
+    lineups = o.first_n_array(li.withColumnRenamed("l_orderkey", "g"), ["g"], ["l_linenumber", "l_partkey", "l_suppkey"], 9, person, "slots")
     rates = li.groupBy(c("l_partkey").alias("player"), "season").agg(F.avg(c("l_quantity").cast("bigint")).alias("rate"), F.count("*").cast("double").alias("w"))
-    return lineup_rates(lineups.select("g", people.alias("slots")), rates, ["g"])
+    return lineup_rates(lineups, rates, ["g"])

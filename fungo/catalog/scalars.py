@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fungo.catalog import query
+from fungo.operators.ordered import first_n_array
 from fungo.functions import geo, labels, names, odds, plays, teams
 
 c = F.col
@@ -214,8 +215,8 @@ def base_state_key(t):
 select g, array_to_string([x for x in list_transform(ids, lambda y: y + 0)][1:9], ',') as first_ids
 from (select o_custkey as g, list(o_orderkey order by o_orderkey) as ids from orders group by 1) x""")
 def split_ids(t):
-    packed = t.orders.groupBy(c("o_custkey").alias("g")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), " ").alias("packed"))
+    lists = first_n_array(t.orders.withColumnRenamed("o_custkey", "g"), ["g"], ["o_orderkey"], 12, "o_orderkey", "ids")
+    packed = lists.select("g", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("packed"))
     return packed.select("g", F.array_join(F.transform(labels.split_ids(F.concat(F.lit(" x1 "), c("packed"))),
                                                        lambda x: x.cast("string")), ",").alias("first_ids"))
 

@@ -21,8 +21,8 @@ def time_series_folds(df: DataFrame, order: Sequence[str], k: int, name: str = "
     every row with a smaller fold. Positions come from cells of the first order
     column, so the rows are never put in one partition.
     """
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    placed = ordered.ranked(df, [], order, "_pos").crossJoin(F.broadcast(n))
+    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    placed = ordered.ranked(df, [], order, "_pos").withColumn("_n", n)
     size = F.floor(F.col("_n") / (k + 1))
     first = F.col("_n") - k * size
     fold = F.when(F.col("_pos") <= first, -1).otherwise(F.floor((F.col("_pos") - 1 - first) / size))

@@ -32,19 +32,16 @@ def prob(column: str = "probability") -> Column:
 
 def median_impute(df: DataFrame, cols: Sequence[str], train: DataFrame | None = None) -> DataFrame:
     """Fill nulls with exact medians of the training rows."""
-    mid = a.median(df if train is None else train, [], cols).select(*[F.col(c).alias(f"_m_{c}") for c in cols])
-    return df.crossJoin(F.broadcast(mid)).withColumns({c: F.coalesce(c, f"_m_{c}") for c in cols}).drop(*mid.columns)
+    mid = a.median(df if train is None else train, [], cols)
+    return df.withColumns({c: F.coalesce(F.col(c), mid.select(c).scalar()) for c in cols})
 
 
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Zero mean and unit (population) variance; a constant column becomes 0."""
-    n = lambda c: F.count(c)
-    mean = df.agg(*[(exact_sum(F.col(c)) / n(c)).alias(f"_a_{c}") for c in cols])
-    spread = df.crossJoin(F.broadcast(mean)).agg(*[
-        F.sqrt(exact_sum((F.col(c) - F.col(f"_a_{c}")) * (F.col(c) - F.col(f"_a_{c}"))) / n(c)).alias(f"_s_{c}") for c in cols])
-    both = df.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(spread))
-    z = {c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_a_{c}"), F.col(f"_s_{c}")), F.lit(0.0)) for c in cols}
-    return both.withColumns(z).drop(*mean.columns, *spread.columns)
+    mean = {c: df.agg((exact_sum(F.col(c)) / F.count(c)).alias("m")).scalar() for c in cols}
+    gaps = df.withColumns({c: F.col(c) - mean[c] for c in cols})
+    spread = {c: gaps.agg(F.sqrt(exact_sum(F.col(c) * F.col(c)) / F.count(c)).alias("s")).scalar() for c in cols}
+    return gaps.withColumns({c: F.coalesce(F.try_divide(F.col(c), spread[c]), F.lit(0.0)) for c in cols})
 
 
 # --- estimators -----------------------------------------------------------

@@ -127,6 +127,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping
     quantile. Rows below the lower one are only counted; rows between them, a few
     per ten thousand, are counted by value and searched for the wanted ranks.
     """
+    if not keys:
+        whole = df.withColumn("_all", F.lit(1))
+        return exact_quantiles(whole, ["_all"], col, probs, accuracy, shift).drop("_all")
     keys = list(keys)
     v = F.col(col).cast("double")
     rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"))
@@ -140,7 +143,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping
     small = F.col("_n") <= accuracy
     bands = bands.withColumns({"_lo": F.when(small, F.lit(-math.inf)).otherwise(F.col("_lo")), "_hi": F.when(small, F.lit(math.inf)).otherwise(F.col("_hi"))})
     packed = bands.groupBy(*keys).agg(F.collect_list(F.struct("_name", "_p", "_n", "_lo", "_hi")).alias("_bands"))
-    hits = (rows.join(packed, keys) if keys else rows.crossJoin(F.broadcast(packed))).select(*keys, "_v", F.inline("_bands"))
+    hits = rows.join(packed, keys).select(*keys, "_v", F.inline("_bands"))
     counted = (hits.filter(F.col("_v") <= F.col("_hi"))
                .withColumn("_w", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
                .groupBy(*keys, "_name", "_p", "_n", "_w").agg(F.count(F.lit(1)).alias("_c")))

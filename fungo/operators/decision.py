@@ -126,7 +126,7 @@ def tune_thresholds(bets: DataFrame, season: str = "season", thresholds: Sequenc
     tests = seasons.select(F.col("season").alias("test_season"))
     prior = tests.join(seasons, F.col("season") < F.col("test_season"), "left")
     totals = prior.groupBy("test_season").agg(F.count("season").alias("total_years"))
-    buckets = tests.crossJoin(F.broadcast(_bucket_table(bets)))
+    buckets = tests.withColumn("odds_bucket", F.explode(F.array(*[F.lit(b) for b, _, _ in odds.ODDS_BUCKETS])))
     scored = (prior.join(by_year, "season").groupBy("test_season", "odds_bucket", "edge_threshold").agg(
         F.sum("n").alias("prior_bets"), (F.sum("pnl").cast("double") / 100_000_000.0).alias("_pnl"),
         F.count_if(F.col("pnl") > 0).alias("profitable_years"))
@@ -151,10 +151,6 @@ def tune_thresholds(bets: DataFrame, season: str = "season", thresholds: Sequenc
         "profitable_years", "total_years", "score", reason.alias("reason"))
 
 
-def _bucket_table(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([(b,) for b, _, _ in odds.ODDS_BUCKETS], "odds_bucket string")
-
-
 def tuned_rules(report: DataFrame) -> DataFrame:
     """Policy rules per test season; the fallback rule where none was selected."""
     chosen = report.filter(F.col("reason") == "selected").select("test_season", F.col("odds_bucket").alias("bucket"), F.col("edge_threshold").alias("min_edge"))

@@ -82,10 +82,12 @@ def entity_fallback_join(fact: DataFrame, tiers: Sequence[tuple[str, DataFrame,
             .withColumns({c: best[c] for c in cols}).drop(*[f"_t{i}" for i in range(len(tiers))]))
 
 
-def war_fallback_join(rosters: DataFrame, values: DataFrame, group: Sequence[str], ids: str, season: str,
+def war_fallback_join(people: DataFrame, values: DataFrame, group: Sequence[str], season: str,
                       player: str, value: str, name: str) -> DataFrame:
-    """Sum over a roster of each player's value one season back, else two back, else 0."""
-    people = rosters.select(*group, season, F.explode_outer(ids).alias(player))
+    """Sum over a roster of each player's value one season back, else two back, else 0.
+
+    ``people`` has one row per player of a roster.
+    """
     for back in (1, 2):
         people = people.join(values.select(player, (F.col(season) + back).alias(season), F.col(value).alias(f"_v{back}")),
                              [player, season], "left")

@@ -79,13 +79,19 @@ def recalculate_ledger(ledger: DataFrame, group: Sequence[str], order: Sequence[
     return out.withColumn("bankroll", (F.col("bankroll") + F.lit(start).cast(CENTS)).cast(CENTS))
 
 
-def strategy_sweep(bets: DataFrame, season: Sequence[str], order: Sequence[str], strategies: DataFrame,
+STRATEGY = ("strategy string, min_edge double, frac double, cap double, min_odds double, max_odds double")
+
+
+def strategy_sweep(bets: DataFrame, season: Sequence[str], order: Sequence[str], strategies: Sequence[tuple],
                    start: float = 100.0) -> DataFrame:
     """Final bankroll of every (strategy, season): a fold over a grid of settings.
 
-    ``strategies`` is a small parameter table: strategy, min_edge, frac, cap, min_odds, max_odds.
+    ``strategies`` lists (strategy, min_edge, frac, cap, min_odds, max_odds); they are
+    exploded in the row, and bets a strategy does not take are dropped at once.
     """
-    wide = bets.crossJoin(F.broadcast(strategies)).filter(
+    kinds = [p.split() for p in STRATEGY.split(", ")]
+    grid = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(s, kinds)]) for s in strategies])
+    wide = bets.select("*", F.inline(grid)).filter(
         (F.col("edge") > F.col("min_edge"))
         & (F.col("min_odds").isNull() | (F.col("odds") >= F.col("min_odds")))
         & (F.col("max_odds").isNull() | (F.col("odds") <= F.col("max_odds"))))

@@ -240,3 +240,16 @@ def first(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequen
     keep = list(cols) if cols else [c for c in df.columns if c not in keys]
     row = F.min_by(F.struct(*keep), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(row).select(*keys, "_row.*")
+
+
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows of each key. Spark cuts each key to n rows before the shuffle."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= n)
+
+
+def first_n_array(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, value: str | Column, name: str) -> DataFrame:
+    """The first n values of each key in order, as an array of at most n."""
+    rows = first_n(df, keys, order, n)
+    pairs = F.array_sort(F.collect_list(F.struct("_place", _col(value).alias("v"))))
+    return rows.groupBy(*keys).agg(F.transform(pairs, lambda x: x["v"]).alias(name))
