@@ -32,7 +32,7 @@ def walk_forward_split(t):
     parts = None
     for y in (1998, 1999, 2000, 2001):
         tr, te = splits.walk_forward_split(g, "season", y)
-        row = tr.agg(F.lit(y).alias("test_season"), F.sum("n").alias("train_games")).crossJoin(te.agg(F.sum("n").alias("test_games")))
+        row = tr.agg(F.lit(y).alias("test_season"), F.sum("n").alias("train_games")).withColumn("test_games", te.agg(F.sum("n").alias("n")).scalar())
         parts = row if parts is None else parts.unionByName(row)
     return parts
 
