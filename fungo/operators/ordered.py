@@ -186,25 +186,29 @@ def calendar_range(df: DataFrame, keys: Sequence[str], day: str,
 
 def signed_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
                   name: str = "streak", cell: str | None = None, inclusive: bool = False,
-                  source: DataFrame | None = None) -> DataFrame:
+                  source: DataFrame | None = None, counted: str | None = None) -> DataFrame:
     """Wins in a row (positive) or losses in a row (negative) going into each row.
 
-    ``inclusive`` gives the streak after the row instead.
+    ``inclusive`` gives the streak after the row instead. ``counted`` names a column that
+    already holds the number of non-null values up to the row, in ``df`` and ``source``.
 
     A value of 0 counts as a loss. After a null value the streak reads 0, but the
     run goes on behind it.
     """
     v = F.col(value)
     base = df if source is None else source
-    count = {"_k": ("count", v)}
-    counted = expanding(base, keys, order, count, cell, inclusive=True)
-    step = counted if base is df else expanding(df, keys, order, count, cell, inclusive=True, source=base)
+    if counted is None:
+        count = {"_k": ("count", v)}
+        base = expanding(base, keys, order, count, cell, inclusive=True)
+        step = base if source is None else expanding(df, keys, order, count, cell, inclusive=True, source=source)
+    else:
+        step, base = df.withColumn("_k", F.col(counted)), base.withColumn("_k", F.col(counted))
     step = expanding(step, keys, order, {
         "_n": ("count", v),
         "_won": ("max", F.when(v > 0, F.col("_k"))),
         "_lost": ("max", F.when(v <= 0, F.col("_k"))),
         "_last": ("last", F.struct(v.alias("v"))),
-    }, cell, inclusive, source=counted)
+    }, cell, inclusive, source=base)
     zero = F.lit(0).cast("long")
     out = (F.when(F.col("_last.v") > 0, F.col("_n") - F.coalesce("_lost", zero))
            .when(F.col("_last.v") <= 0, F.coalesce("_won", zero) - F.col("_n"))

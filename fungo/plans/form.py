@@ -23,16 +23,16 @@ def form_rows(rows: DataFrame, inclusive: bool = False) -> DataFrame:
     rolling frames follow.
     """
     kw = {"inclusive": inclusive}
-    out = o.ranked(rows, ["team"], ORDER, "_at_team")
+    placed = o.expanding(rows, ["team"], ORDER, {"_at_team": ("count", F.lit(1)), "_scored": ("count", "run_diff")}, inclusive=True)
+    out = o.signed_streak(placed, ["team"], ORDER, "run_diff", source=placed, counted="_scored", **kw)
     out = o.ranked(out, ["team", "venue"], ORDER, "_at_venue", source=rows)
     out = o.expanding(out, ["team", "season"], ORDER, {"_wins": ("sum", won()), "_games": ("count", won())}, source=rows, **kw)
-    out = o.signed_streak(out, ["team"], ORDER, "run_diff", source=rows, **kw)
     out = o.rolling_prior(out, ["team"], ORDER, {
         "rolling_rd": ("avg", "run_diff", *LONG), "rolling_rs": ("avg", "rf", *LONG), "last7_rd": ("avg", "run_diff", *SHORT)}, position="_at_team", **kw)
     out = o.rolling_prior(out, ["team", "venue"], ORDER, {"venue_rd": ("avg", "run_diff", *VENUE)}, position="_at_venue", **kw)
     return out.withColumns({
         "season_win_pct": F.when(F.col("_games") >= SEASON_LEAST, F.col("_wins") / F.col("_games")),
-        "momentum": F.col("last7_rd") - F.col("rolling_rd")}).drop("_wins", "_games", "_at_team", "_at_venue")
+        "momentum": F.col("last7_rd") - F.col("rolling_rd")}).drop("_wins", "_games", "_at_team", "_at_venue", "_scored")
 
 
 def team_form(games: DataFrame) -> DataFrame:
