@@ -126,7 +126,7 @@ def play_by_play_json_flatten(t):
 
 @query("quotes_json_flatten", """
 select g.game_pk, g.game_date, h.code as home_team, a.code as away_team, b.book, g.home_ml + b.k as home_ml, g.away_ml - b.k as away_ml
-from market_v g join parks h on h.team = g.home_team join parks a on a.team = g.away_team, (values ('draftkings', 0), ('other', 5)) b(book, k)""", {"parks": teams.parks_sql()})
+from market_v g join parks h on h.team = g.home_team join parks a on a.team = g.away_team, (values ('main', 0), ('other', 5)) b(book, k)""", {"parks": teams.parks_sql()})
 def quotes_json_flatten(t):
     full = {code: name.title() for name, code in reversed(list(teams.NAME_ALIASES.items()))}
     name = lambda x: F.element_at(F.array(*[F.lit(full[k]) for k in teams.CODES]), c(x) + 1)
@@ -137,7 +137,7 @@ def quotes_json_flatten(t):
     book = lambda key, k: F.struct(F.lit(key).alias("key"), market(k).alias("markets"))
     start = F.concat(F.date_format(F.date_add("game_date", 1), "yyyy-MM-dd"), F.lit("T02:10:00Z"))
     doc = F.to_json(F.struct(start.alias("commence_time"), name("home_team").alias("home_team"), name("away_team").alias("away_team"),
-                             F.array(book("draftkings", 0), book("other", 5)).alias("bookmakers")))
+                             F.array(book("main", 0), book("other", 5)).alias("bookmakers")))
     return r.quotes_json_flatten(t.market_v.select("game_pk", doc.alias("quote")))
 
 
