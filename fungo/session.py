@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,14 +29,12 @@ def local_session(cpus: str | int = 8, memory: str = "12g") -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests, a scratch folder is used.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in tests, a
+    folder beside the tables of the warehouse is used, which executors share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_scratch/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
