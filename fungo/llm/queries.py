@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fungo.llm import quality, toxicity
 from fungo.llm.common import is_held_out, table
+from fungo.llm.ngram_join import NgramJoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +39,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _classified(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
+# Links, then components by the smallest label that any chain of links brings.
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+t AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+links AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS u, doc_id AS c FROM d UNION SELECT links.v, reach.c FROM reach JOIN links ON links.u = reach.u WHERE reach.c < links.v)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, m.c AS component_id FROM s JOIN (SELECT u, min(c) AS c FROM reach GROUP BY u) m ON m.u = s.doc_id
+"""
+
+
+@query("op2_ngram_join", NEAR_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NgramJoin(table(spark, sf_dir, "documents")).membership()
