@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fungo.llm import quality, toxicity
+from fungo.llm import mixing, quality, quality_rules, toxicity
 from fungo.llm.common import is_held_out, table
 from fungo.llm.ngram_join import NgramJoin
 
@@ -58,3 +58,35 @@ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, m.c AS component_id FROM s JOIN (
 @query("op2_ngram_join", NEAR_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJoin(table(spark, sf_dir, "documents")).membership()
+
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+c AS (SELECT *, floor(sqrt(size))::INT AS cls, coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 6))::BIGINT % 256, 0) AS bucket FROM d),
+s AS (SELECT source IS NULL AS none, coalesce(source, '') AS src, sum(size)::BIGINT AS source_size FROM c GROUP BY ALL),
+w AS (SELECT *, ((row_number() OVER (ORDER BY none, src) - 1) % 3 + 1)::DOUBLE AS w, 3 * source_size AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, none, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / sum(w) OVER (ORDER BY cap / w, none, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT *, max(CASE WHEN level * w <= cap THEN level END) OVER () AS top FROM l),
+t AS (SELECT none, src, source_size, least(cap::DOUBLE, top * w) AS target,
+        ('0x' || substr(md5(CASE WHEN none THEN 'n' ELSE 's' END || src), 1, 5))::BIGINT / 1048576.0::DOUBLE AS off FROM f),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0 END AS copies FROM t),
+r AS (SELECT c.*, row_number() OVER (PARTITION BY source ORDER BY cls, bucket, size, doc_id, text) AS pos FROM c)
+SELECT doc_id, size, source_size, target,
+  (size * (floor(pos * copies + off) - floor((pos - 1) * copies + off))::BIGINT)::BIGINT AS taken
+FROM r JOIN e ON none = (source IS NULL) AND src = coalesce(source, '')
+"""
+
+
+@query("op3_mixing", MIX_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
+                       (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"))
+
+
+@query("op4_quality_rules", quality_rules.sql("documents"))
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
