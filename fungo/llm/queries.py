@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fungo.llm import mixing, quality, quality_rules, toxicity
+from fungo.llm import licenses, mixing, quality, quality_rules, toxicity
 from fungo.llm.common import is_held_out, table
 from fungo.llm.ngram_join import NgramJoin
 
@@ -90,3 +90,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op7_licenses", licenses.sql("documents"))
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
