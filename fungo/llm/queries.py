@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fungo.llm import licenses, mixing, quality, quality_rules, toxicity
+from fungo.llm import licenses, mixing, packing, quality, quality_rules, toxicity
 from fungo.llm.common import is_held_out, table
 from fungo.llm.ngram_join import NgramJoin
 
@@ -95,3 +95,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_licenses", licenses.sql("documents"))
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
