@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fungo.llm.common import chunks, stored, texts
+from fungo.llm.common import WORD, chunks, stored, texts
 from fungo.llm.components import components
 
 WORDS = 5
@@ -286,6 +286,18 @@ class NgramJoin:
         return (self.profiles.join(nodes, "sig", "left")
                 .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
+    def one_of_each(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs`` without those that link to a document of a smaller id, directly or by others.
+
+        Rows without an id stay. Rows that repeat an id and its text count once, unless the text has no words.
+        """
+        gone = self.membership().where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+        kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+        if not self.repeated_ids:
+            return kept
+        again = F.when(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0, F.monotonically_increasing_id()).otherwise(-1)
+        return kept.withColumn("_again", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(again)).dropDuplicates(["doc_id", "text", "_again"]).drop("_again")
+
 
 def _with_sign(words: int, batches):
     known = _Words()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fungo.llm import licenses, mixing, packing, quality, quality_rules, toxicity
+from fungo.llm import chat, licenses, mixing, packing, quality, quality_rules, topk, toxicity
 from fungo.llm.common import is_held_out, table
 from fungo.llm.ngram_join import NgramJoin
 
@@ -81,7 +81,7 @@ FROM r JOIN e ON none = (source IS NULL) AND src = coalesce(source, '')
 
 @query("op3_mixing", MIX_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    rows = mixing.mixed(mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text"))
     return rows.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
                        (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"))
 
@@ -106,3 +106,39 @@ def tokenizer_path() -> str:
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM c),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM c),
+s AS (SELECT n.conv_id, speaker, place, (place // 64)::INT AS block, role = speaker AS own,
+        CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user:' || replace(replace(role, '<|', '< |'), '|>', '| >') || '|>' || chr(10) END
+        || replace(replace(text, '<|', '< |'), '|>', '| >') || '<|end|>' || chr(10) AS piece FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
+e AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, speaker, block ORDER BY place) AS z FROM s)
+SELECT conv_id, speaker, block, count(*)::BIGINT AS n_turns, count(*) FILTER (own)::BIGINT AS n_trained, string_agg(piece, '' ORDER BY place) AS rendered,
+  coalesce(string_agg((z - length(piece) + 14)::BIGINT || '-' || z::BIGINT, ',' ORDER BY place) FILTER (own), '') AS spans
+FROM e GROUP BY conv_id, speaker, block
+"""
+
+
+@query("op5_chat", CHAT_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.rotated(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["from"].cast("string"), F.lit("-"), s["to"].cast("string"))), ",")
+    return rows.withColumn("spans", spans)
+
+
+TOPK_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.v, v.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY rank <= 20
+"""
+
+
+@query("op6_topk", TOPK_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
