@@ -10,7 +10,9 @@ import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -62,6 +64,26 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+class WordHashes(dict):
+    """Numbers of words, remembered; ``hashes`` has their 64-bit hashes."""
+
+    def __init__(self, limit: int = 400_000):
+        super().__init__()
+        self.limit, self.hashes = limit, np.zeros(limit, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        self.hashes[i] = xxhash.xxh3_64_intdigest(word)
+        return i
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self) + len(words) > self.limit:
+            self.clear()
+            if len(words) > self.limit:
+                self.limit, self.hashes = len(words), np.zeros(len(words), np.uint64)
+        return self.hashes[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
+
+
 def chunks(items: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Index ranges of ``items`` of about ``limit`` bytes; a longer item stands alone."""
     start = size = 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fungo.llm import chat, licenses, mixing, packing, quality, quality_rules, topk, toxicity
+from fungo.llm import chat, katz, licenses, mixing, packing, quality, quality_rules, topk, toxicity
 from fungo.llm.common import is_held_out, table
 from fungo.llm.ngram_join import NgramJoin
 
@@ -142,3 +142,10 @@ QUALIFY rank <= 20
 @query("op6_topk", TOPK_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
+@query("op10_katz")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = katz.scores(docs, "crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2")
+    return rows.select("doc_id", is_held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
