@@ -163,9 +163,9 @@ def calibration_report(t):
 
 @query("fixed_bins", f"""
 select b.label as bucket, b.ordinal, coalesce(x.n, 0) as games, x.avg_edge from (select unnest(['<=0%', '0-1%', '1-2%', '2-3%', '3-5%', '5-8%', '8%+']) as label, unnest([0, 1, 2, 3, 4, 5, 6]) as ordinal) b
-left join (select {_EDGE.format('edge')} as label, count(*) as n, {m('edge')} as avg_edge from cand where edge < 0.05 group by 1) x on x.label = b.label""", {"cand": CAND})
+left join (select {_EDGE.format('edge')} as label, count(*) as n, {m('edge')} as avg_edge from cand group by 1) x on x.label = b.label""", {"cand": CAND})
 def fixed_bins(t):
-    rep = candidates(t).filter("edge < 0.05").groupBy(a.bin_label(c("edge"), a.EDGE_BINS).alias("bucket")).agg(
+    rep = candidates(t).groupBy(a.bin_label(c("edge"), a.EDGE_BINS).alias("bucket")).agg(
         F.count("*").alias("games"), a.exact_avg(c("edge")).alias("avg_edge"))
     return a.with_empty_bins(rep, "bucket", a.EDGE_BINS, ["games"])
 

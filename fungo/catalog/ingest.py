@@ -24,7 +24,7 @@ def scratch(t, name):
 _LOG = T.StructType().add("game_pk", "long").add("game_date", "date").add("home", "string").add("runs", "double")
 
 
-@query("csv_scan_typed", "select game_pk, game_date, 'T' || home_team as home, case when game_pk % 3 <> 0 then cast(home_runs as double) end as runs from games_v where game_pk % 10 <> 4")
+@query("csv_scan_typed", "select game_pk, game_date, 'T' || home_team as home, case when game_pk % 3 <> 0 and game_pk % 10 <> 4 then cast(home_runs as double) end as runs from games_v")
 def csv_scan_typed(t):
     path = scratch(t, "csv")
     runs = F.when(c("game_pk") % 10 == 4, "n/a").when(c("game_pk") % 3 != 0, c("home_runs").cast("string"))
@@ -86,10 +86,10 @@ def event_file_scan(t):
 
 
 @query("boxscore_json_flatten", """
-select game_pk, team_side, pitcher_id, 'P' || pitcher_id as pitcher_name, row_number() over (partition by game_pk, team_side, pitcher_id // 16 order by is_starter desc, pitcher_id) = 1 as is_starter, outs_recorded, runs_allowed
-from appearances_v where pitcher_id % 13 <> 0""")
+select game_pk, team_side, pitcher_id, 'P' || pitcher_id as pitcher_name, row_number() over (partition by game_pk, team_side order by is_starter desc, pitcher_id) = 1 as is_starter, outs_recorded, runs_allowed
+from appearances_v""")
 def boxscore_json_flatten(t):
-    a = t.appearances_v.filter("pitcher_id % 13 <> 0")
+    a = t.appearances_v
     slot = F.struct((1 - c("is_starter")).alias("o"), "pitcher_id", "outs_recorded", "runs_allowed")
     person = lambda x: F.struct(F.struct(F.concat(F.lit("P"), x["pitcher_id"].cast("string")).alias("fullName")).alias("person"),
                                 F.struct(F.struct(x["outs_recorded"].alias("outs"), x["runs_allowed"].alias("runs")).alias("pitching")).alias("stats"))
@@ -99,9 +99,8 @@ def boxscore_json_flatten(t):
         return F.struct(F.transform(rows, lambda x: x["pitcher_id"]).alias("pitchers"),
                         F.map_from_entries(F.transform(rows, lambda x: F.struct(F.concat(F.lit("ID"), x["pitcher_id"].cast("string")), person(x)))).alias("players"))
 
-    # a document holds at most 16 pitchers of a game, however many there are
-    docs = a.groupBy("game_pk", F.floor(c("pitcher_id") / 16).alias("part")).agg(F.to_json(F.struct(F.struct(side(1).alias("home"), side(0).alias("away")).alias("teams"))).alias("boxscore"))
-    return r.boxscore_json_flatten(docs).drop("part")
+    docs = a.groupBy("game_pk").agg(F.to_json(F.struct(F.struct(side(1).alias("home"), side(0).alias("away")).alias("teams"))).alias("boxscore"))
+    return r.boxscore_json_flatten(docs)
 
 
 @query("play_by_play_json_flatten", """
@@ -196,10 +195,10 @@ def table_upsert(t):
     return t.spark.read.parquet(path)
 
 
-@query("append_log", "select season, count(*) as n from games_v where season <> 1997 group by season")
+@query("append_log", "select season, count(*) as n from games_v group by season")
 def append_log(t):
     path = scratch(t, "log")
-    s.append_log(t.games_v.filter("season < 1997").select("game_pk", "season"), path)
+    s.append_log(t.games_v.filter("season <= 1997").select("game_pk", "season"), path)
     s.append_log(t.games_v.filter("season > 1997").select("game_pk", "season"), path)
     return t.spark.read.parquet(path).groupBy("season").agg(F.count("*").alias("n"))
 

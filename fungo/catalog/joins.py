@@ -166,11 +166,11 @@ def result_match_join(t):
 
 
 @query("pivot_back_join", """
-select game_pk, home_win, p_model as model, p_market as market from market_v where game_pk % 8 <> 0""")
+select game_pk, home_win, p_model as model, p_market as market from market_v""")
 def pivot_back_join(t):
     from fungo.operators.project import pivot_first
     m = t.market_v
-    long = m.filter("game_pk % 8 <> 0").select("game_pk", F.inline(F.array(
+    long = m.select("game_pk", F.inline(F.array(
         F.struct(F.lit("model").alias("name"), c("p_model").alias("p")), F.struct(F.lit("market").alias("name"), c("p_market").alias("p")))))
     wide = pivot_first(long, ["game_pk"], "name", ["model", "market"], "p", "p")
     return j.pivot_back_join(m.select("game_pk", "home_win"), wide, ["game_pk"]).select("game_pk", "home_win", "model", "market")

@@ -18,10 +18,11 @@ CORRUPT = "_corrupt_record"
 
 
 def csv_scan_typed(spark: SparkSession, path: str, schema: T.StructType, keep_bad: bool = False) -> DataFrame:
-    """CSV with a header and a fixed schema; rows that do not fit are left out, or kept with their text.
+    """CSV with a header and a fixed schema; a field that does not fit is null, the rest of its row stays.
 
-    Lines are parsed as a column, so that which rows are left out does not depend on the
-    columns a query goes on to read.
+    Lines are parsed as a column, so that what is null does not depend on the columns a
+    query goes on to read. With ``keep_bad`` the text of such a row is in ``CORRUPT``, from
+    which a quarantine table can be written.
     """
     header = ",".join(schema.fieldNames())
     lines = spark.read.text(path).filter(F.trim(F.replace(F.col("value"), F.lit('"'), F.lit(""))) != header)
@@ -34,7 +35,7 @@ def csv_lines_typed(lines: DataFrame, schema: T.StructType, value: str = "value"
     others = [c for c in lines.columns if c != value]
     row = F.from_csv(value, ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     df = lines.select(*others, row.alias("_r")).select(*others, "_r.*")
-    return df if keep_bad else nan_to_null(df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT))
+    return df if keep_bad else nan_to_null(df.drop(CORRUPT))
 
 
 def table_scan_or_fallback(spark: SparkSession, table: str, path: str, schema: T.StructType) -> DataFrame:

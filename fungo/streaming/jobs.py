@@ -11,13 +11,21 @@ from fungo.operators import decision as d, joins as j, ordered as o
 from fungo.sources import planners, sinks
 
 
-def quote_windows(quotes: DataFrame, length: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Consensus price per game and event-time window, tumbling or sliding."""
+def quote_parts(quotes: DataFrame, length: str, slide: str | None = None) -> DataFrame:
+    """Counts and sums per game and event-time window, tumbling or sliding, of one batch of quotes.
+
+    They add up over batches in any order, so files that arrive late or unordered lose
+    nothing and no state is kept between batches.
+    """
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    grouped = quotes.withWatermark("ts", delay).groupBy(w.alias("w"), "game_key")
-    mean = F.sum(F.col("price").cast("decimal(18,8)")).cast("double") / F.count("price")
-    return grouped.agg(F.count("price").alias("quotes"), mean.alias("consensus")).select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "game_key", "quotes", "consensus")
+    grouped = quotes.groupBy(w.alias("w"), "game_key").agg(F.count("price").alias("quotes"), F.sum(F.col("price").cast("decimal(18,8)")).alias("total"))
+    return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "game_key", "quotes", "total")
+
+
+def merge_quotes(parts: DataFrame) -> DataFrame:
+    """Consensus price per game and window from the parts of all batches."""
+    summed = parts.groupBy("window_start", "window_end", "game_key").agg(F.sum("quotes").alias("quotes"), F.sum("total").alias("total"))
+    return summed.select("window_start", "window_end", "game_key", "quotes", (F.col("total").cast("double") / F.col("quotes")).alias("consensus"))
 
 
 def time_gate(alerts: DataFrame, first_hour: int = 10, last_hour: int = 23, least_minutes: int = 5) -> DataFrame:
@@ -84,12 +92,24 @@ def with_snapshot_pct(running: DataFrame, snapshot: DataFrame, least: int = 10)
 
 
 def settle_bets(bets: DataFrame, finals: DataFrame, delay: str = "1 day", within: str = "interval 2 days") -> DataFrame:
-    """Bets joined with finals that arrive within a bounded time after them, settled in money."""
+    """Bets joined with finals that arrive within a bounded time after them, settled in money.
+
+    Later finals are for ``settle_late``, which joins tables and forgets nothing.
+    """
     b = bets.withWatermark("bet_ts", delay)
     f = finals.withWatermark("final_ts", delay).withColumnRenamed("game_pk", "_game")
     near = (F.col("game_pk") == F.col("_game")) & (F.col("final_ts") >= F.col("bet_ts")) & (F.col("final_ts") <= F.col("bet_ts") + F.expr(within))
+    return _settled(b.join(f, near).drop("_game"))
+
+
+def settle_late(bets: DataFrame, finals: DataFrame, done: DataFrame) -> DataFrame:
+    """Bets of the table that the stream left pending, settled with finals of any age."""
+    return _settled(bets.join(done.select("game_pk").distinct(), "game_pk", "left_anti").join(finals, "game_pk"))
+
+
+def _settled(rows: DataFrame) -> DataFrame:
     won = F.when(F.col("side") == "home", F.col("home_score") > F.col("away_score")).otherwise(F.col("away_score") > F.col("home_score"))
-    return b.join(f, near).withColumn("won", won).withColumn("pnl", odds.pnl(F.col("stake"), F.col("odds"), F.col("won"))).drop("_game")
+    return rows.withColumn("won", won).withColumn("pnl", odds.pnl(F.col("stake"), F.col("odds"), F.col("won")))
 
 
 def apply_corrections(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], day: str, newest: str, horizon: int = 21) -> None:

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fungo.operators import ordered
 
 
-def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-    return (r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, table: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table of a folder as a stream, whether it is one file or a folder of part files."""
+    r = spark.readStream.schema(schema)
+    # as a pattern, since a stream takes a plain path for a folder only
+    return (r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r).parquet(f"{folder}/{table}.parque[t]")
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append", prepare: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:

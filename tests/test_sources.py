@@ -25,9 +25,9 @@ def test_csv_bad_rows_and_fallback(spark, tmp_path):
     f.write_text("a,b,c\n1,2024-04-01,1.5\nx,2024-04-02,2.5\n3,,NaN\n")
     schema = T.StructType().add("a", "integer").add("b", "date").add("c", "double")
     rows = [tuple(x) for x in r.csv_scan_typed(spark, str(f), schema).orderBy("a").collect()]
-    assert rows == [(1, dt.date(2024, 4, 1), 1.5), (3, None, None)]
+    assert rows == [(None, dt.date(2024, 4, 2), 2.5), (1, dt.date(2024, 4, 1), 1.5), (3, None, None)]
     assert r.csv_scan_typed(spark, str(f), schema, keep_bad=True).filter("_corrupt_record is not null").count() == 1
-    assert r.table_scan_or_fallback(spark, "absent_table", str(f), schema).count() == 2
+    assert r.table_scan_or_fallback(spark, "absent_table", str(f), schema).count() == 3
 
 
 def test_text_lines_keep_their_order(spark, tmp_path):
