@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fungo.llm import mixing, packing, quality, toxicity
-from fungo.llm.common import stored, table
+from fungo.llm.common import free, stored, table
 from fungo.llm.ngram_join import NgramJoin
 from fungo.llm.queries import tokenizer_path
 
@@ -19,7 +19,8 @@ from fungo.llm.queries import tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity below 0.5."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_score").where(F.col("_score") < 0.5).drop("_score")
+    name = free(docs, "_score")
+    return toxicity.score(docs, model, name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     if not model.edges:
         return docs
-    return quality.score(docs, model, "_score").where(F.col("_score") >= 0.3).drop("_score")
+    name = free(docs, "_score")
+    return quality.score(docs, model, name).where(F.col(name) >= 0.3).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

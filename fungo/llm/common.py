@@ -6,7 +6,6 @@ Words are runs of characters other than ``[\\x20\\x09-\\x0D]``. In Python that i
 
 from __future__ import annotations
 
-import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,18 +35,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def settings(spark: SparkSession, **values: str):
-    """Session settings for the time of a block; dots are written as two underscores."""
-    keys = {k.replace("__", "."): v for k, v in values.items()}
-    old = {k: spark.conf.get(k, None) for k in keys}
-    try:
-        for k, v in keys.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def remainder(doc_id: Column, of: int) -> Column:
@@ -67,7 +60,7 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 class WordHashes(dict):
     """Numbers of words, remembered; ``hashes`` has their 64-bit hashes."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit, self.hashes = limit, np.zeros(limit, np.uint64)
 

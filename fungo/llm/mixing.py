@@ -38,13 +38,13 @@ def _hex(c: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(c.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` plus ``_size``, the key of its source, its cell and a number for ties."""
+def sized(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Size, key of the source, cell and a number for ties of each document; ``_doc`` holds the columns to carry, by default all."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return (docs.withColumn("_size", size).withColumn("_tie", F.xxhash64("text"))
-            .withColumns({"_none": F.col("source").isNull(), "_source": F.coalesce("source", F.lit("")),
-                          "_class": F.floor(F.sqrt("_size")).cast("int"),
-                          "_bucket": F.coalesce(_hex(F.col("doc_id").cast("string"), 6) % BUCKETS, F.lit(0)).cast("int")}))
+    bucket = F.coalesce(_hex(F.col("doc_id").cast("string"), 6) % BUCKETS, F.lit(0)).cast("int")
+    rows = docs.select(F.struct(*(carry or docs.columns)).alias("_doc"), F.col("doc_id").alias("_id"), F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"),
+                       size.alias("_size"), F.xxhash64("text").alias("_tie"), bucket.alias("_bucket"))
+    return rows.withColumn("_class", F.floor(F.sqrt("_size")).cast("int"))
 
 
 def targets(cells: DataFrame) -> DataFrame:
@@ -67,22 +67,20 @@ def targets(cells: DataFrame) -> DataFrame:
 
 
 def mixed(rows: DataFrame) -> DataFrame:
-    """Rows of ``sized`` with size, source_size, target and copies, the times each is taken (prefixed ``_mix_``)."""
+    """(_doc, size, source_size, target, copies) of rows of ``sized``; copies are the times a document is taken."""
     cell = [*KEY, "_class", "_bucket"]
     cells = rows.select(*cell, "_size").groupBy(*cell).agg(F.count("*").alias("_n"), F.sum("_size").alias("_words"))
     before = W.partitionBy(*KEY).orderBy("_class", "_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     starts = starts.join(targets(cells), list(KEY)).drop("_n", "_words")
-    rows = rows.withColumn("_at", F.row_number().over(W.partitionBy(*cell).orderBy("_size", "doc_id", "_tie")))
+    rows = rows.withColumn("_at", F.row_number().over(W.partitionBy(*cell).orderBy("_size", "_id", "_tie")))
     rows = rows.join(starts, cell)
     end = (F.col("_before") + F.col("_at")) * F.col("_copies") + F.col("_offset")
     begin = (F.col("_before") + F.col("_at") - 1) * F.col("_copies") + F.col("_offset")
-    return (rows.withColumn("_mix_copies", (F.floor(end) - F.floor(begin)).cast("int"))
-            .withColumnsRenamed({"_size": "_mix_size", "source_size": "_mix_source_size", "target": "_mix_target"})
-            .drop(*KEY, "_class", "_bucket", "_tie", "_at", "_before", "_copies", "_offset"))
+    return rows.select("_doc", F.col("_size").alias("size"), "source_size", "target", (F.floor(end) - F.floor(begin)).cast("int").alias("copies"))
 
 
 def emit(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
-    rows = mixed(sized(docs)).where("_mix_copies > 0")
-    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    rows = mixed(sized(docs)).where("copies > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_doc.*")

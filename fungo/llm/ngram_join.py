@@ -5,7 +5,8 @@ with equal sets are one *class*. All pairs of classes with Jaccard similarity of
 3/4 are found, and documents that reach each other by such links form a component.
 
 * **Groups.** Similar classes are put into groups first: classes with a common min-hash
-  are compared with one leader, and those that pass the exact test are joined to it.
+  are compared with one leader, and those that pass the exact test are joined to it; in
+  ``TURNS`` turns, with other leaders for those that are still apart.
   What such links connect is a group; every other class is a group of its own.
 * **Matrix.** With all shingles in one global order, rare ones first, two sets as similar
   as asked share one of their first n - ceil(3n/4) + 1 shingles. These are stored as
@@ -38,14 +39,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fungo.llm.common import WORD, chunks, stored, texts
+from fungo.llm.common import WORD, WordHashes, chunks, free, stored, texts
 from fungo.llm.components import components
 
 WORDS = 5
 BANDS = 4
+TURNS = 3
 FREQUENT = 200_000
 OFTEN = 4
-HELD = 4_000_000
+HELD = 2_000_000
 BITS = 1 << 26
 PART_ROWS = 1_500_000
 FAN = 256
@@ -54,24 +56,14 @@ _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
                   0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-class _Words(dict):
-    """64-bit hash of a word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _MULT[0]
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: bytes, known: _Words, words: int = WORDS) -> np.ndarray:
+def shingles(text: bytes, known: WordHashes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text."""
-    w = np.array([known[x] for x in text.lower().split()], np.uint64)
+    w = known(text.lower().split())
     if not len(w):
         return w
     k = min(words, len(w))
@@ -88,7 +80,7 @@ def _sign(u: np.ndarray) -> int:
 
 def _profiles(words: int, batches):
     """Rows of documents (id, size, fingerprint, min-hashes) and of frequent tokens (token, count)."""
-    known, held, n_held = _Words(), [], 0
+    known, held, n_held = WordHashes(), [], 0
     names = ["doc_id", "n", "sig", "bands", "token", "count"]
 
     def frequent():
@@ -119,18 +111,22 @@ def _profiles(words: int, batches):
     yield frequent()
 
 
+PREFIX = ["token", "sig", "n", "end_rank", "end"]
+PREFIX_DDL = ", ".join(f"{x} long" for x in PREFIX)
+
+
 def _keep(n):
     """Overlap that a set of n needs at least."""
     return (3 * n + 3) // 4
 
 
 def _prefixes(words: int, tokens: np.ndarray, rank: np.ndarray, batches):
-    """(token, class, size) of the leading tokens of each set; a class once a task."""
-    known, seen = _Words(), set()
+    """(token, class, size, place of the last leading token in the order) of the leading tokens of each set; a class once a task."""
+    known, seen = WordHashes(), set()
     for b in batches:
         items = texts(b.column(0))
         for i, j in chunks(items):
-            out_t, out_s, out_n = [], [], []
+            out_t, out_s, out_n, out_r, out_e = [], [], [], [], []
             for text in items[i:j]:
                 u = shingles(text, known, words)
                 if not len(u) or (s := _sign(u)) in seen:
@@ -142,34 +138,34 @@ def _prefixes(words: int, tokens: np.ndarray, rank: np.ndarray, batches):
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, u), len(tokens) - 1)
                     order = np.where(tokens[at] == u, rank[at], 0)
-                first = u[np.argsort(order, kind="stable")[:len(u) - _keep(len(u)) + 1]]
+                at = np.argsort(order, kind="stable")[:len(u) - _keep(len(u)) + 1]
+                first = u[at]
                 out_t.append(first)
-                out_s.append(np.full(len(first), s, np.int64))
-                out_n.append(np.full(len(first), len(u), np.int64))
+                for out, v in ((out_s, s), (out_n, len(u)), (out_r, order[at[-1]]), (out_e, (first[-1] ^ np.uint64(1 << 63)).astype(np.int64))):
+                    out.append(np.full(len(first), v, np.int64))
             if out_t:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).astype(np.int64)), pa.array(np.concatenate(out_s)), pa.array(np.concatenate(out_n))], ["token", "sig", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_t, out_s, out_n, out_r, out_e)], PREFIX)
 
 
 def _shared(batches):
     """Rows of a partition whose token occurs in more than one class."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
+    parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
     if not parts:
         return
-    t, s, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((s, t))
-    t, s, n = t[order], s[order], n[order]
-    fresh = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]
-    t, s, n = t[fresh], s[fresh], n[fresh]
+    columns = [np.concatenate(x) for x in zip(*parts)]
+    order = np.lexsort((columns[1], columns[0]))
+    t, s = columns[0][order], columns[1][order]
+    order = order[np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]]
+    t = columns[0][order]
     same = t[1:] == t[:-1]
-    on = np.r_[False, same] | np.r_[same, False]
-    for i in range(0, int(on.sum()), 65536):
-        at = np.flatnonzero(on)[i:i + 65536]
-        yield pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(s[at]), pa.array(n[at])], ["token", "sig", "n"])
+    order = order[np.r_[False, same] | np.r_[same, False]]
+    for i in range(0, len(order), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(c[order[i:i + 65536]]) for c in columns], PREFIX)
 
 
 def _verify(words: int, batches):
     """Exact links of a partition sorted by (centre, salt, other); the centre's own text comes first."""
-    known, centre, base = _Words(), None, None
+    known, centre, base = WordHashes(), None, None
     for b in batches:
         found = ([], [])
         cs, salts, others, own = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts(b.column(3))
@@ -248,11 +244,20 @@ class NgramJoin:
             self._repeated = not self.profiles.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
         return self._repeated
 
-    def leader_pairs(self) -> DataFrame:
-        """Each class with the leader of each of its min-hashes, where sizes allow a link."""
+    def leader_pairs(self, turn: int, groups: DataFrame | None) -> DataFrame:
+        """Each class with the leader of each of its min-hashes, where sizes allow a link and no group holds both.
+
+        The first leader is the smallest document; later turns draw others, so that a class
+        which is not close enough to one leader meets another member.
+        """
         bands = self.classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-        leaders = bands.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("k")).where("k > 1")
-        return (bands.join(leaders.select("band", "key", "lead"), ["band", "key"]).where("rep <> lead.rep and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)")
+        rank = F.lit(0).cast("long")
+        bands = bands.withColumn("grp", F.col("rep"))
+        if groups is not None:
+            rank = F.xxhash64("rep", "band", F.lit(turn))
+            bands = bands.drop("grp").join(groups.withColumnsRenamed({"node": "rep", "component": "grp"}), "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
+        leaders = bands.groupBy("band", "key").agg(F.min(F.struct(rank.alias("rank"), "rep", "n", "grp")).alias("lead"), F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b")
+        return (bands.join(leaders.select("band", "key", "lead"), ["band", "key"]).where("grp <> lead.grp and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)")
                 .select(F.col("lead.rep").alias("u"), F.col("rep").alias("v")).distinct())
 
     def group_pairs(self, groups: DataFrame) -> DataFrame:
@@ -262,22 +267,28 @@ class NgramJoin:
         order = np.argsort(token)
         total = self.profiles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.25 / PART_ROWS) + 1)
-        rows = (self.docs.select("text").mapInArrow(partial(_prefixes, self.words, token[order], count[order]), "token long, sig long, n long")
-                .repartition(parts, "token").mapInArrow(_shared, "token long, sig long, n long"))
+        rows = (self.docs.select("text").mapInArrow(partial(_prefixes, self.words, token[order], count[order]), PREFIX_DDL)
+                .repartition(parts, "token").mapInArrow(_shared, PREFIX_DDL))
         own = self.classes.select("sig", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("grp"))
-        rows = stored(rows.join(own, "sig").select("token", "rep", "grp", "n"), "matrix")
+        rows = stored(rows.join(own, "sig").select("token", "rep", "grp", "n", "end_rank", "end"), "matrix")
         open_ = rows.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("token")
         rows = rows.join(open_, "token")
-        a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "grp", "n"))) for s in "ab")
+        a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "grp", "n", "end_rank", "end"))) for s in "ab")
         # the larger set asks, the smaller one stands in the group
-        return (a.join(b, "token").where("grp_a <> grp_b and n_a >= n_b and (n_a > n_b or rep_a < rep_b) and 4 * n_b >= 3 * n_a")
-                .select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")).distinct())
+        pairs = a.join(b, "token").where("grp_a <> grp_b and n_a >= n_b and (n_a > n_b or rep_a < rep_b) and 4 * n_b >= 3 * n_a")
+        # what the set whose prefix ends first has left, beyond its leading tokens, is all that can still agree
+        first = F.struct("end_rank_a", "end_a") <= F.struct("end_rank_b", "end_b")
+        left = F.when(first, F.expr("(3 * n_a + 3) div 4 - 1")).otherwise(F.expr("(3 * n_b + 3) div 4 - 1"))
+        pairs = pairs.select("rep_a", "rep_b", left.alias("left"), F.expr("(3 * (n_a + n_b) + 6) div 7").alias("need"))
+        pairs = pairs.groupBy("rep_a", "rep_b").agg(F.count("*").alias("met"), F.first("left").alias("left"), F.first("need").alias("need"))
+        return pairs.where("met + left >= need").select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
 
     def links(self) -> DataFrame:
         """Links (u, v) between class nodes that connect every component."""
-        first = self.verified(self.leader_pairs())
-        more = self.verified(self.group_pairs(components(first)))
-        return first.union(more)
+        found = self.verified(self.leader_pairs(0, None))
+        for turn in range(1, TURNS):
+            found = found.union(self.verified(self.leader_pairs(turn, components(found))))
+        return found.union(self.verified(self.group_pairs(components(found))))
 
     def membership(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), a row per row of the documents."""
@@ -291,16 +302,18 @@ class NgramJoin:
 
         Rows without an id stay. Rows that repeat an id and its text count once, unless the text has no words.
         """
-        gone = self.membership().where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-        kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+        gone, again = free(docs, "_gone"), free(docs, "_again")
+        drop = self.membership().where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+        kept = docs.join(drop, docs["doc_id"] == drop[gone], "left_anti")
         if not self.repeated_ids:
             return kept
-        again = F.when(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0, F.monotonically_increasing_id()).otherwise(-1)
-        return kept.withColumn("_again", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(again)).dropDuplicates(["doc_id", "text", "_again"]).drop("_again")
+        blank = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0
+        alone = F.when(blank | F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(-1)
+        return kept.withColumn(again, alone).dropDuplicates(["doc_id", "text", again]).drop(again)
 
 
 def _with_sign(words: int, batches):
-    known = _Words()
+    known = WordHashes()
     for b in batches:
         signs = [_sign(u) if len(u := shingles(x, known, words)) else None for x in texts(b.column(1))]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(signs, pa.int64())], ["doc_id", "text", "sig"])

@@ -81,9 +81,8 @@ FROM r JOIN e ON none = (source IS NULL) AND src = coalesce(source, '')
 
 @query("op3_mixing", MIX_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mixed(mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text"))
-    return rows.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
-                       (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"))
+    rows = mixing.mixed(mixing.sized(table(spark, sf_dir, "documents"), ["doc_id"]))
+    return rows.select("_doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 @query("op4_quality_rules", quality_rules.sql("documents"))
