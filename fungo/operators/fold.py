@@ -1,67 +1,41 @@
-"""Sequential folds with bounded memory.
+"""Sequential folds.
 
 Some results depend on every row before them in a way no aggregate can merge (a
-balance rounded at each bet, runners on bases). ``ordered_fold`` walks each group in
-order, streaming its rows batch by batch. Groups run in parallel. A group of more than
-``chunk_rows`` rows is walked chunk by chunk, with its state handed on through a small
-checkpointed table, so a task never has more than ``chunk_rows`` rows of a group to
-walk and a lost executor costs at most one chunk.
+balance rounded at each bet, runners on bases). ``ordered_fold`` deals groups over
+tasks, sorts each in one shuffle and streams its rows batch by batch with one state, so
+memory does not grow with a group. Groups run in parallel, a group does not: choose
+groups that are short by nature, such as a game or an account's season.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-
-from fungo.operators import ordered
-from fungo.session import checkpoint_root
+from pyspark.sql import DataFrame
 
 
 def ordered_fold(df: DataFrame, group: Sequence[str], order: Sequence[str], inputs: Sequence[str],
-                 step: Callable[[tuple, tuple], tuple[tuple, tuple]], outputs: Mapping[str, str],
-                 state: Mapping[str, tuple[str, object]], chunk_rows: int = 1_000_000, cell: str | None = None) -> DataFrame:
-    """Add ``outputs`` by calling ``step(state, inputs) -> (state, outputs)`` on each row in order.
+                 step: Callable[[tuple, tuple], tuple[tuple, tuple]], outputs: Mapping[str, str], initial: tuple) -> DataFrame:
+    """Add ``outputs`` and ``_pos``, the position in the group from 1, by calling ``step(state, inputs) -> (state, outputs)`` on each row in order.
 
-    ``outputs`` maps a column name to its type, ``state`` to (type, initial value).
+    ``outputs`` maps a column name to its type; every group starts from ``initial``.
     """
-    group = list(group)
-    placed = ordered.ranked(df, group, order, "_pos", cell)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema]
-    schema = ", ".join(fields + [f"`{n}` {t}" for n, (t, _) in state.items()] + [f"`{n}` {t}" for n, t in outputs.items()])
-    names, results = list(state), list(outputs)
+    group, results = list(group), list(outputs)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+    schema = ", ".join([*fields, "`_pos` bigint", *(f"`{n}` {t}" for n, t in outputs.items())])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, now = None, ()
+        key, now, at = None, initial, 0
         for pdf in batches:
             made = []
-            for k, start, row in zip(zip(*[pdf[g] for g in group]), zip(*[pdf[n] for n in names]), zip(*[pdf[i] for i in inputs])):
+            for k, row in zip(zip(*[pdf[g] for g in group]), zip(*[pdf[i] for i in inputs])):
                 if k != key:
-                    key, now = k, start
+                    key, now, at = k, initial, 0
                 now, out = step(now, row)
-                made.append((*now, *out))
-            done = dict(zip([*names, *results], zip(*made))) if made else {n: [] for n in [*names, *results]}
-            yield pdf.assign(**{n: list(v) for n, v in done.items()})
-
-    def run(rows: DataFrame) -> DataFrame:
-        return rows.repartition(*group).sortWithinPartitions(*group, "_pos").mapInPandas(walk, schema)
-
-    def start(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({n: F.lit(v).cast(t) for n, (t, v) in state.items()})
+                at += 1
+                made.append((at, *out))
+            columns = zip(*made) if made else [[] for _ in range(len(results) + 1)]
+            yield pdf.assign(**{n: list(v) for n, v in zip(["_pos", *results], columns)})
 
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    chunks = -(-(sizes.agg(F.max("n")).first()[0] or 0) // chunk_rows)
-    if chunks <= 1:
-        return run(start(placed)).drop(*state)
-    checkpoint_root(df.sparkSession)
-    cut = placed.withColumn("_chunk", F.floor((F.col("_pos") - 1) / chunk_rows)).checkpoint()
-    after, parts = None, []
-    for k in range(chunks):
-        rows = cut.filter(F.col("_chunk") == k).drop("_chunk")
-        rows = start(rows) if after is None else rows.join(after, group).select(*placed.columns, *state)
-        part = run(rows).checkpoint()
-        after = ordered.latest(part, group, ["_pos"], list(state))
-        parts.append(part)
-    return functools.reduce(DataFrame.unionByName, parts).drop(*state)
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(walk, schema)

@@ -1,10 +1,8 @@
 """Bankroll paths. Money is decimal cents.
 
 A compounding path with a rounding at every bet is a sequence: each stake needs
-the balance before it. ``ledger_fold`` therefore cuts a group's bets into chunks of
-bounded size and folds them in order, carrying one balance per group from chunk to
-chunk, so that no task holds more than ``chunk_rows`` bets of a group at once. Groups run in
-parallel. Where stakes do not depend on the balance (``ledger_fixed``,
+the balance before it. ``ledger_fold`` therefore streams a group's bets in order with one
+balance; groups run in parallel and should be short, such as an account's season. Where stakes do not depend on the balance (``ledger_fixed``,
 ``recalculate_ledger``) or rounding is left out (``ledger_closed_form``), the path is
 a running aggregate and fully parallel.
 """
@@ -37,7 +35,7 @@ def _settle(state: tuple, bet: tuple) -> tuple[tuple, tuple]:
 
 
 def ledger_fold(bets: DataFrame, group: Sequence[str], order: Sequence[str], share: Column, ml: Column, won: Column,
-                start: float = 100.0, chunk_rows: int = 1_000_000, cell: str | None = None) -> DataFrame:
+                start: float = 100.0) -> DataFrame:
     """Per-bet stake, pnl and balance, each group starting from ``start``.
 
     stake = round(balance * share, 2); pnl = round(stake * net odds, 2) when won,
@@ -49,7 +47,7 @@ def ledger_fold(bets: DataFrame, group: Sequence[str], order: Sequence[str], sha
         "_won": F.coalesce(won.cast("int"), F.lit(-1)),
     })
     path = ordered_fold(prepared, group, order, ["_share", "_net", "_won"], _settle, {"_stake": "bigint", "_pnl": "bigint", "_after": "bigint"},
-                        {"_balance": ("bigint", int(round(start * 100)))}, chunk_rows, cell)
+                        (int(round(start * 100)),))
     cents = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast(CENTS)
     return path.select(*bets.columns, cents("_stake").alias("stake"), cents("_pnl").alias("pnl"), cents("_after").alias("bankroll"),
                        F.col("_pos").alias("bet_number"))

@@ -1,4 +1,4 @@
-"""Ledgers and base states: hand-made paths, and the same result for any chunk size."""
+"""Ledgers and base states: hand-made paths, and the same result for any batch size."""
 
 import random
 from decimal import Decimal as Dec
@@ -12,6 +12,14 @@ from fungo.plans import plays
 from fungo.sources.readers import event_file_scan
 
 
+@pytest.fixture()
+def batch_rows(spark):
+    """Sets how many rows of a group reach the fold at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    yield lambda n: spark.conf.set(key, str(n))
+    spark.conf.unset(key)
+
+
 def test_five_bets_with_one_pending(spark):
     bets = spark.createDataFrame([("s", 1, 0.10, 150.0, True), ("s", 2, 0.10, -200.0, True), ("s", 3, 0.05, 100.0, None), ("s", 4, 0.10, -110.0, False), ("s", 5, 0.033, 120.0, True)],
                                  "season string, n int, f double, ml double, won boolean")
@@ -20,11 +28,12 @@ def test_five_bets_with_one_pending(spark):
 
 
 @pytest.mark.parametrize("chunk", [1000, 37])
-def test_chunks_give_one_path(spark, chunk):
+def test_batches_give_one_path(spark, batch_rows, chunk):
+    batch_rows(chunk)
     rng = random.Random(5)
     data = [(rng.choice("ab"), i, rng.random() * 0.1, rng.choice([150.0, -120.0, 105.0]), rng.random() < 0.5) for i in range(150)]
     bets = spark.createDataFrame(data, "g string, n int, f double, ml double, won boolean")
-    out = l.ledger_fold(bets, ["g"], ["n"], F.col("f"), F.col("ml"), F.col("won"), chunk_rows=chunk)
+    out = l.ledger_fold(bets, ["g"], ["n"], F.col("f"), F.col("ml"), F.col("won"))
     got = {(r["g"], r["n"]): r["bankroll"] for r in out.collect()}
     for g in "ab":
         cents = 10000
@@ -48,11 +57,12 @@ HEAD = ("id,NYA202404050", "info,visteam,BOS", "info,hometeam,NYA", "info,umphom
 
 
 @pytest.mark.parametrize("chunk", [1000, 3])
-def test_base_states(spark, chunk):
+def test_base_states(spark, batch_rows, chunk):
+    batch_rows(chunk)
     play = lambda inn, side, who, ev: f"play,{inn},{side},{who},00,X,{ev}"
     text = [*HEAD, play(1, 0, "a", "S8"), play(1, 0, "b", "W"), play(1, 0, "c", "W"), play(1, 0, "d", "W"), play(1, 0, "e", "HR/F78.1-H;2-H"), play(1, 0, "f", "PB"),
             play(1, 0, "g", "D7"), play(1, 0, "h", "SB3"), play(1, 0, "i", "CS2(26)"), play(1, 0, "j", "64(1)3/GDP"), play(1, 1, "k", "HR"), play(1, 1, "l", "E6.B-2"), play(1, 1, "m", "S7.2XH")]
-    out = plays.base_states(event_file_scan(lines(spark, *text)), chunk_rows=chunk).orderBy("line").collect()
+    out = plays.base_states(event_file_scan(lines(spark, *text))).orderBy("line").collect()
     assert [r["runs_scored"] for r in out] == [0, 0, 0, 1, 4, 0, 0, 0, 0, 0, 1, 0, 0]
     assert [r["state_after"] for r in out] == ["0_1", "0_3", "0_7", "0_7", "0_0", "0_0", "0_2", "0_2", "1_2", "3_0", "0_0", "0_2", "0_1"]
     assert [r["half_seq"] for r in out] == [0] * 10 + [1] * 3
