@@ -23,8 +23,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,18 @@ SHARD = 6 << 20
 TERMS = 24
 END = 2
 K1, B = 1.2, 0.75
-MEMO = 300_000
+MEMO = 700_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """Token ids of texts as packed unsigned integers."""
+    """Token ids of texts as packed unsigned integers.
+
+    Words are remembered until there are ``MEMO`` of them; later ones are encoded when they
+    occur. A word of ASCII letters has the ids of its lower-case form, and a full stop or
+    comma behind letters has ids of its own, as the tokenizer lower-cases and cuts there.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,26 +57,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {"": b""}
         self.end = np.array([END], self.kind).tobytes()
 
+    def _parts(self, word: str) -> tuple[str, str]:
+        """Two strings whose ids make up the ids of the word."""
+        if word[-1] in ".,":
+            core = word[:-1]
+            if core.isascii() and core.isalpha():
+                return core.lower(), word[-1]
+            if core.isalpha() and max(core) < "\u0250":
+                return core, word[-1]
+        return (word.lower() if word.isascii() and word.isalpha() else word), ""
+
     def __call__(self, items: list[bytes]) -> list[bytes]:
         split = [x.decode("utf-8", "replace").replace("\n", " ").split(" ") for x in items]
-        new = set().union(*split) - self.known.keys()
-        if len(new) + len(self.known) > MEMO:
-            self.known = {"": b""}
-            new = set().union(*split) - {""}
-        new = list(new)
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
-        at = self.known.__getitem__
+        known = self.known
+        new = set().union(*split) - known.keys()
+        if new:
+            parts = {w: self._parts(w) for w in new}
+            more = list({p for pair in parts.values() for p in pair} - known.keys())
+            found = {}
+            for i in range(0, len(more), 10_000):
+                part = more[i:i + 10_000]
+                found.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+            found |= {w: (found.get(a) or known.get(a, b"")) + (found.get(b) or known.get(b, b"")) for w, (a, b) in parts.items()}
+            if len(known) + len(found) > MEMO:
+                found.update((w, known[w]) for w in set().union(*split) & known.keys())
+                known = found
+            else:
+                known.update(found)
+        at = known.__getitem__
         return [b"".join(map(at, words)) + self.end for words in split]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
+
+
 def _encode(path: str, batches):
-    encoder = Encoder(path)
+    encoder = _encoder(path)
     for b in batches:
         items = texts(b.column(2))
         for i, j in chunks(items):
