@@ -28,14 +28,17 @@ from fungo.llm.common import BLANK, WORD, stored
 
 STEPS = 12
 KEEP = 0.5
-#: Start of the estimation: how often a rule votes, and is right when it votes; the share of good documents.
-VOTES, RIGHT, GOOD = 0.9, 0.9, 0.8
+#: Start of the estimation: share of good documents; how often a rule votes good and bad on them, and on bad ones,
+#: of which each shows a few faults only.
+GOOD, ON_GOOD, ON_BAD = 0.8, (0.9, 0.02), (0.5, 0.3)
 
 #: (name, good where, bad where); neither is an abstention.
 RULES = (
     ("length", "n_words >= 30 and n_words <= 50000", "n_words < 15"),
     ("word_length", "word_chars between 3 * n_words and 10 * n_words", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
     ("symbols", "100 * n_symbols <= 2 * n_words", "100 * n_symbols > 20 * n_words"),
+    ("symbol_share", "1000 * n_symbols <= 5 * word_chars", "100 * n_symbols > 5 * word_chars"),
+    ("symbol_count", "n_symbols <= 10", "n_symbols > 10 and 2 * n_symbols > n_words"),
     ("dup_lines", "n_dup_lines = 0", "10 * n_dup_lines > 2 * n_lines"),
     ("repeats", "100 * n_repeat_words <= 5 * n_words", "100 * n_repeat_words > 12 * n_words"),
     ("upper", "100 * n_upper <= 10 * word_chars", "100 * n_upper > 30 * word_chars"),
@@ -92,8 +95,7 @@ def votes(df: DataFrame) -> list[Column]:
 def start() -> dict[str, float]:
     p = {"good": GOOD}
     for name, *_ in RULES:
-        right, wrong = VOTES * RIGHT, VOTES * (1 - RIGHT)
-        p |= {f"{name}_up_good": right, f"{name}_down_good": wrong, f"{name}_up_bad": wrong, f"{name}_down_bad": right}
+        p |= {f"{name}_up_good": ON_GOOD[0], f"{name}_down_good": ON_GOOD[1], f"{name}_up_bad": ON_BAD[0], f"{name}_down_bad": ON_BAD[1]}
     return p
 
 

@@ -71,6 +71,9 @@ def test_rules(spark, odd_docs, no_docs):
     long = next(r for r in got if r.doc_id == 5)
     assert (long.n_words, long.n_repeat_words, long.kept) == (5000, 5000, False)
     assert quality_rules.judged(no_docs.select("doc_id", "text")).count() == 0
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.judged(docs.select("doc_id", "text")).drop("quality").join(labels, "doc_id").where("not base_failed").select("kept", "quality").collect()
+    assert all(r.kept for r in rows if r.quality == 1) and sum(not r.kept for r in rows) >= 20
 
 
 def test_licenses(spark, odd_docs, no_docs):
