@@ -8,13 +8,13 @@ for letters are read as letters, and single characters separated by blanks are r
 together, before the kernel is applied.
 
 A sentence is compared with a landmark word by its closest word. Nystroem features are
-these similarities, raised to ``POWER``, to at most ``LANDMARKS`` words of the training
-sentences, whitened by the landmarks' own kernel matrix. A linear SVM on them (squared hinge, Newton steps) is
+these similarities, made steep around ``HALF`` so that chance likenesses count little, to
+at most ``LANDMARKS`` words of the training sentences, whitened by the landmarks' own kernel matrix. A linear SVM on them (squared hinge, Newton steps) is
 trained on sentences, which take the label of their document; of a toxic document only
 the sentence that now scores highest stays positive, and training is repeated until that
 choice settles. A document's score is a logistic curve, fitted to training documents, of
-its highest sentence margin and of how many of its sentences lie above the margins 0 and
--0.5: words that merely resemble an insult turn up once, insults are repeated.
+its highest sentence margin and of how many of its sentences, at most ``BAG``, lie above the margins
+0 and -0.5: words that merely resemble an insult turn up once, insults are repeated.
 
 Training reads at most ``SAMPLE`` labelled documents of each class and the ``BAG``
 sentences of each that come closest to a landmark. Scoring reads every whole text.
@@ -40,11 +40,12 @@ from fungo.llm.common import chunks, labelled_sample, stored, texts, with_column
 DECAY = 0.6
 SPAN = 8
 WINDOW = 20
-SAMPLE = 4000
-BAG = 32
+SAMPLE = 3000
+BAG = 12
 LANDMARKS = 64
 FLOOR = 0.25
-POWER = 5
+POWER = 8
+HALF = 0.75
 MEMO = 200_000
 
 # Characters commonly written for letters.
@@ -66,6 +67,12 @@ def _tables() -> tuple[bytes, bytes, np.ndarray]:
     return bytes(to), bytes(drop), code
 
 
+def sharp(k: np.ndarray) -> np.ndarray:
+    """Similarities from 0 to 1 that rise steeply around ``HALF``."""
+    k = np.maximum(k, 0).astype(np.float32) ** POWER
+    return k / (k + np.float32(HALF ** POWER))
+
+
 TO, DROP, CODE = _tables()
 SPACED = re.compile(rb" (?:\S ){4,}")
 
@@ -184,7 +191,7 @@ class Sentences:
         if not len(at):
             return np.zeros(0, np.int64), np.zeros((0, self.kernel.m), np.float32), size
         first = np.flatnonzero(np.r_[True, np.diff(sentence[at]) > 0])
-        return doc[at[first]], np.maximum.reduceat(self.rows[ids[at]], first, axis=0) ** POWER, size
+        return doc[at[first]], sharp(np.maximum.reduceat(self.rows[ids[at]], first, axis=0)), size
 
 
 @dataclass
@@ -212,8 +219,7 @@ def evidence(doc: np.ndarray, margin: np.ndarray, size: np.ndarray, bias: float)
     best = np.full(len(size), bias)
     np.maximum.at(best, doc, margin)
     best = np.clip(best, -3, 3)
-    over = np.bincount(doc[margin > 0], minlength=len(size))
-    close = np.bincount(doc[margin > -0.5], minlength=len(size))
+    over, close = (np.minimum(np.bincount(doc[margin > least], minlength=len(size)), BAG) for least in (0, -0.5))
     share = np.minimum(1, 8 * over / np.maximum(size, 8))
     return np.c_[best, np.log1p(over), np.log1p(close), share, np.ones(len(size))]
 
@@ -317,10 +323,10 @@ def train(landmarks: list[bytes], k: np.ndarray, doc: np.ndarray, y: np.ndarray,
     order = np.lexsort((*k.T[::-1], doc, y[doc]))  # the same order whatever the order of rows
     k, doc = k[order], doc[order]
 
-    own = Kernel(landmarks)(landmarks).astype(float) ** POWER
+    own = sharp(Kernel(landmarks)(landmarks)).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     whiten = vectors / np.sqrt(np.maximum(values, 1e-2)) @ vectors.T
-    x = k @ whiten
+    x = k @ whiten.astype(np.float32)
     w = np.zeros(m + 1)
     positive = y[doc] == 1
     start = k[:, : max(1, m * 7 // 8)].max(axis=1) if len(k) else np.zeros(0)
@@ -354,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int =
         return Model([], np.zeros(0), 0.0, np.zeros(0), share)
     bags = rows.mapInArrow(partial(_bags, landmarks), "y int, n int, size int, bag binary").collect()
     m = len(landmarks)
-    k = np.frombuffer(b"".join(bytes(b.bag) for b in bags), "<f4").reshape(-1, m).astype(float)
+    k = np.frombuffer(b"".join(bytes(b.bag) for b in bags), "<f4").reshape(-1, m)
     doc = np.repeat(np.arange(len(bags)), [b.n for b in bags])
     return train(landmarks, k, doc, np.array([b.y for b in bags]), np.array([b.size for b in bags]), share)
 
