@@ -22,6 +22,7 @@ documents there are no pieces. Results depend on ids and texts alone, not on par
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,7 +39,9 @@ SHARD = 6 << 20
 TERMS = 24
 END = 2
 K1, B = 1.2, 0.75
-MEMO = 700_000
+MEMO = 400_000
+#: A full stop or comma behind anything but a digit or a letter that stays one when lower-cased.
+MARKS = re.compile(r"[^\s0-9A-Za-zÀ-ÖØ-öø-įı-ɏ][.,] ")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -47,8 +50,9 @@ class Encoder:
     """Token ids of texts as packed unsigned integers.
 
     Words are remembered until there are ``MEMO`` of them; later ones are encoded when they
-    occur. A word of ASCII letters has the ids of its lower-case form, and a full stop or
-    comma behind letters has ids of its own, as the tokenizer lower-cases and cuts there.
+    occur. So that there are fewer, ASCII texts are lower-cased first, as the tokenizer does,
+    and full stops and commas that end words become words of their own, unless the text has
+    one behind another mark: behind letters and digits the tokenizer cuts there too.
     """
 
     def __init__(self, path: str):
@@ -61,30 +65,26 @@ class Encoder:
         self.known: dict[str, bytes] = {"": b""}
         self.end = np.array([END], self.kind).tobytes()
 
-    def _parts(self, word: str) -> tuple[str, str]:
-        """Two strings whose ids make up the ids of the word."""
-        if word[-1] in ".,":
-            core = word[:-1]
-            if core.isascii() and core.isalpha():
-                return core.lower(), word[-1]
-            if core.isalpha() and max(core) < "\u0250":
-                return core, word[-1]
-        return (word.lower() if word.isascii() and word.isalpha() else word), ""
-
     def __call__(self, items: list[bytes]) -> list[bytes]:
-        split = [x.decode("utf-8", "replace").replace("\n", " ").split(" ") for x in items]
+        split = []
+        for x in items:
+            text = x.decode("utf-8", "replace")
+            if text.isascii():
+                text = text.lower()
+            text = text.replace("\n", " ") + " "
+            if not MARKS.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ")
+            split.append(text.split(" "))
         known = self.known
-        new = set().union(*split) - known.keys()
+        words = set().union(*split)
+        new = list(words - known.keys())
         if new:
-            parts = {w: self._parts(w) for w in new}
-            more = list({p for pair in parts.values() for p in pair} - known.keys())
             found = {}
-            for i in range(0, len(more), 10_000):
-                part = more[i:i + 10_000]
+            for i in range(0, len(new), 10_000):
+                part = new[i:i + 10_000]
                 found.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-            found |= {w: (found.get(a) or known.get(a, b"")) + (found.get(b) or known.get(b, b"")) for w, (a, b) in parts.items()}
             if len(known) + len(found) > MEMO:
-                found.update((w, known[w]) for w in set().union(*split) & known.keys())
+                found.update((w, known[w]) for w in words & known.keys())
                 known = found
             else:
                 known.update(found)
