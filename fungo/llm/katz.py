@@ -48,7 +48,7 @@ K = 5
 SLIP = 0.05
 HEAVY = 1 << 18
 SPLIT = 1 << 14
-HELD = 1_500_000
+HELD = 600_000
 PART = 3_000_000
 RARE = np.uint64(1 << 63)
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
@@ -87,7 +87,7 @@ def _documents(batches, limit: int = HELD):
 
 
 def _word_counts(batches):
-    for docs in _documents(batches, 4_000_000):
+    for docs in _documents(batches, 2_000_000):
         w = [x for _, train, x in docs if train]
         if w:
             w, n = np.unique(np.concatenate(w), return_counts=True)
@@ -199,66 +199,64 @@ def _rows(kind: int, size: int, **columns):
 def _counted(heavy: Heavy, p1: np.ndarray, n_train: int, blocks: list[dict]):
     """Everything that one part of the pair table has to say; ``p1`` are the heavy words' own probabilities."""
     keys, train, h, w, doc, n, base = [], [], [], [], [], [], 0
-    for b in blocks:
+    while blocks:
+        b = blocks.pop()
         keys.append(_unsqueezed(b["keys"], "<i8"))
         train.append(_unsqueezed(b["train"], "u1"))
         h.append(_unsqueezed(b["h"], "<u8"))
         w.append(_unsqueezed(b["w"], "<u8"))
-        doc.append(_unsqueezed(b["doc"], "<u4").astype(np.int64) + base)
-        n.append(_unsqueezed(b["n"], "<u4").astype(np.int64))
+        doc.append(_unsqueezed(b["doc"], "<u4").astype(np.int32) + np.int32(base))
+        n.append(_unsqueezed(b["n"], "<u4").astype(np.int32))
         base += len(keys[-1])
-    keys, train, h, w, doc, n = map(np.concatenate, (keys, train, h, w, doc, n))
+    size = base
+    keys, train = np.concatenate(keys), np.concatenate(train)
+    h, w = np.concatenate(h), np.concatenate(w)
     order = np.lexsort((w, h))
-    h, w, doc, n = h[order], w[order], doc[order], n[order]
+    h, w = h[order], w[order]
     first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
-    r = np.add.reduceat(n * train[doc], first)  # training count of each pair
-    th, tw = h[first], w[first]
-    pair = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
+    pair = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.r_[first, len(h)]))  # the pair of each posting
+    h, w = h[first], w[first]
+    doc, n = np.concatenate(doc)[order], np.concatenate(n)[order]
+    del order
+    r = np.add.reduceat(n * train[doc], first, dtype=np.int64)  # training count of each pair
     yield _rows(6, 1, **{f"k{k}": np.array([(r == k).sum()], np.int64) for k in range(1, K + 2)})
 
-    begin = np.flatnonzero(np.r_[True, th[1:] != th[:-1]])
-    hist = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(th)]))
-    hh = th[begin]
-    counts = np.r_[n_train, heavy.c]
+    begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    hist = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(h)]))
+    hh = h[begin]
     at = np.where(hh >= RARE, 0, hh).astype(np.int64)
-    ch = np.where(hh >= RARE, np.add.reduceat(r, begin), counts[at])
+    ch = np.where(hh >= RARE, np.add.reduceat(r, begin), np.r_[n_train, heavy.c][at])
     split = heavy.split[at] & (hh < RARE)
 
-    rp, hp = r[pair], hist[pair]
-    seen = rp > 0
-    rare_w = w >= RARE
-    aw = np.where(rare_w, 0, w).astype(np.int64)
-    log_p1 = np.log10(np.r_[1.0, p1])
-    size = len(keys)
-    log_h = np.log10(np.maximum(ch, 1))[hp]
-    x = np.where(seen, np.log10(np.where(rp > K, rp - SLIP, np.maximum(rp, 1))), np.where(rare_w, 0.0, log_p1[aw]) + log_h)
-    sums = np.bincount(doc, n * x, size)
-    ks = {f"k{k}": np.bincount(doc, n * (rp == k), size).astype(np.int64) for k in range(1, K + 1)}
+    seen, rare_w = r > 0, w >= RARE
+    own_p = np.r_[1.0, p1][np.where(rare_w, 0, w).astype(np.int64)]
+    unseen = np.log10(own_p) + np.log10(np.maximum(ch, 1))[hist]  # a rare word's own probability comes with kind 5
+    x = np.where(seen, np.log10(np.where(r > K, r - SLIP, np.maximum(r, 1))), unseen)
+    ks = {f"k{k}": np.bincount(doc, n * (r == k)[pair], size).astype(np.int64) for k in range(1, K + 1)}
     # a document may stand in several blocks, once in each
-    yield _rows(1, size, key=keys, x=sums, **ks)
+    yield _rows(1, size, key=keys, x=np.bincount(doc, n * x[pair], size), **ks)
 
-    need = np.zeros(len(begin), bool)
-    open_ = ~seen & (ch[hp] > 0)
-    need[hp[open_]] = True
+    open_ = ~seen & (ch[hist] > 0)
     for some, kind, column, values in ((open_, 2, "h", h), (~seen & rare_w, 5, "w", w)):
-        d, v, k = doc[some], values[some], n[some]
+        on = some[pair]
+        d, v, k = doc[on], values[pair[on]], n[on].astype(np.int64)
         if len(d):
             o = np.lexsort((v, d))
             d, v, k = d[o], v[o], k[o]
             f = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (v[1:] != v[:-1])])
             yield _rows(kind, len(f), key=keys[d[f]], n=np.add.reduceat(k, f), **{column: v[f].astype(np.int64)})
 
-    need |= split
+    need = split.copy()
+    need[hist[open_]] = True
     own = np.flatnonzero(need)
     if len(own):
-        got = (r > 0)
-        big = np.bincount(hist, got & (r > K), len(begin)).astype(np.int64)
-        sp = np.bincount(hist, np.where(got & (tw < RARE), np.r_[0.0, p1][np.where(tw >= RARE, 0, tw).astype(np.int64)], 0.0), len(begin))
+        big = np.bincount(hist, r > K, len(begin)).astype(np.int64)
+        sp = np.bincount(hist, np.where(seen & ~rare_w, own_p, 0.0), len(begin))
         ts = {f"k{k}": np.bincount(hist, r == k, len(begin)).astype(np.int64)[own] for k in range(1, K + 1)}
         yield _rows(3, len(own), h=hh[own].astype(np.int64), n=ch[own].astype(np.int64), x=sp[own], **ts, **{f"k{K + 1}": big[own]})
-        ends = np.flatnonzero(got & (tw >= RARE) & need[hist])
+        ends = np.flatnonzero(seen & rare_w & need[hist])
         if len(ends):
-            yield _rows(4, len(ends), h=th[ends].astype(np.int64), w=tw[ends].astype(np.int64))
+            yield _rows(4, len(ends), h=h[ends].astype(np.int64), w=w[ends].astype(np.int64))
 
 
 def _parts(heavy: Heavy, p1: np.ndarray, n_train: int, batches):
