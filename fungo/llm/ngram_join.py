@@ -1,8 +1,10 @@
 """Jaccard self-join of documents on word shingles with a token-group matrix.
 
 A document is the set of its distinct five-word shingles, as 64-bit hashes. Documents
-with equal sets are one *class*. All pairs of classes with Jaccard similarity of at least
-3/4 are found, and documents that reach each other by such links form a component.
+with equal sets are one *class*. Two classes link if their Jaccard similarity is at least
+3/4, and documents that reach each other by links form a component. ``links`` finds enough
+links to connect every component, which is all that ``membership`` needs; ``all_links``
+finds every link between classes, and ``pairs`` every pair of documents that link.
 
 * **Groups.** Similar classes are put into groups first: classes with a common min-hash
   are compared with one leader, and those that pass the exact test are joined to it; in
@@ -17,8 +19,9 @@ with equal sets are one *class*. All pairs of classes with Jaccard similarity of
   occur in one group alone are dropped; only groups that qualify are opened, and only
   their members with a common token are compared, exactly, on whole texts.
 
-Within a group nothing is compared again, so large groups of near copies cost a few
-comparisons each, not one per pair.
+For components nothing within a group is compared again, so large groups of near copies cost
+a few comparisons each, not one per pair. ``all_links`` leaves groups out and compares every
+pair that the tokens bring together; tokens of many classes are dealt to several tasks.
 
 The order of shingles affects cost, never results. It puts the ``FREQUENT`` most frequent
 shingles last; they are counted where they occur at least ``OFTEN`` times among the
@@ -26,8 +29,9 @@ shingles that a task has at hand, and this list is all that is broadcast, beside
 table of fixed size that keeps texts nobody asks for out of the shuffle.
 
 Edge cases: a null or empty text, or one without words, has no shingle and links with
-nothing. A text of one to four words is one shingle. Copies are linked. Rows that repeat
-a doc_id are rows of their own. Without documents the result is empty.
+nothing. A text of one to four words is one shingle. Copies are linked. Where rows repeat a
+doc_id, each of their texts is a class and all of them belong to the id's component. Without
+documents the result is empty.
 """
 
 from __future__ import annotations
@@ -209,8 +213,9 @@ class NgramJoin:
         rows = stored(self.docs.mapInArrow(partial(_profiles, words), "doc_id long, n long, sig long, bands array<long>, token long, count long"), "profiles")
         self.profiles = rows.where("n is not null").select("doc_id", "n", "sig", "bands")
         self.tokens = rows.where("token is not null").select("token", "count")
-        # a class of equal sets; its node is its smallest document
-        self.classes = stored(self.profiles.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+        # a class of equal sets; its node is its smallest document, or its fingerprint where an id may stand for several texts
+        classes = self.profiles.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        self.classes = stored(classes.withColumn("node", F.col("sig" if self.repeated_ids else "rep")), "classes")
 
     def _bits(self, ids: DataFrame) -> np.ndarray:
         """Bit table of fixed size over ids; a bit set by mistake only costs time."""
@@ -227,12 +232,15 @@ class NgramJoin:
         salted = pairs.join(fans, "u").select("u", F.pmod(F.xxhash64("v"), F.col("fan")).cast("int").alias("salt"), "v")
         sides = stored(salted.select(F.col("v").alias("_node"), "u", "salt", F.col("v").alias("other"))
                        .union(salted.select("u", "u", "salt", F.lit(None).cast("long")).distinct()), "sides")
-        bits = self._bits(sides.select("_node").distinct())
-        # several rows may carry a node's id: the one whose set is the class's own is meant
+        ids = sides.select("_node").distinct()
+        if self.repeated_ids:
+            ids = ids.join(self.classes, F.col("_node") == F.col("node")).select("rep").distinct()
+        bits = self._bits(ids)
+        # several rows may carry an id: those whose set is the class's own are meant
         found = self.docs.mapInArrow(partial(_asked_for, bits), "doc_id long, text string").where("doc_id is not null")
         if self.repeated_ids:
             found = (found.mapInArrow(partial(_with_sign, self.words), "doc_id long, text string, sig long")
-                     .join(self.classes.select(F.col("rep").alias("doc_id"), "sig"), ["doc_id", "sig"], "left_semi").drop("sig").dropDuplicates(["doc_id"]))
+                     .join(self.classes.select(F.col("rep").alias("doc_id"), "sig"), ["doc_id", "sig"], "left_semi").dropDuplicates(["sig"]).select(F.col("sig").alias("doc_id"), "text"))
         rows = sides.join(found, F.col("_node") == F.col("doc_id")).select("u", "salt", "other", "text")
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         rows = rows.repartition(n, "u", "salt").sortWithinPartitions("u", "salt", F.col("other").asc_nulls_first())
@@ -250,18 +258,18 @@ class NgramJoin:
         The first leader is the smallest document; later turns draw others, so that a class
         which is not close enough to one leader meets another member.
         """
-        bands = self.classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+        bands = self.classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
         rank = F.lit(0).cast("long")
-        bands = bands.withColumn("grp", F.col("rep"))
+        bands = bands.withColumn("grp", F.col("node"))
         if groups is not None:
-            rank = F.xxhash64("rep", "band", F.lit(turn))
-            bands = bands.drop("grp").join(groups.withColumnsRenamed({"node": "rep", "component": "grp"}), "rep", "left").withColumn("grp", F.coalesce("grp", "rep"))
-        leaders = bands.groupBy("band", "key").agg(F.min(F.struct(rank.alias("rank"), "rep", "n", "grp")).alias("lead"), F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b")
+            rank = F.xxhash64("node", "band", F.lit(turn))
+            bands = bands.drop("grp").join(groups.withColumnRenamed("component", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+        leaders = bands.groupBy("band", "key").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "grp")).alias("lead"), F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b")
         return (bands.join(leaders.select("band", "key", "lead"), ["band", "key"]).where("grp <> lead.grp and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)")
-                .select(F.col("lead.rep").alias("u"), F.col("rep").alias("v")).distinct())
+                .select(F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct())
 
-    def group_pairs(self, groups: DataFrame) -> DataFrame:
-        """Pairs of classes in different groups that share a leading token, where sizes allow a link."""
+    def group_pairs(self, groups: DataFrame | None) -> DataFrame:
+        """Pairs of classes in different groups that share a leading token, where sizes allow a link; without ``groups`` all such pairs."""
         top = self.tokens.groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
         token, count = top.column(0).to_numpy().astype(np.uint64), top.column(1).to_numpy()
         order = np.argsort(token)
@@ -269,19 +277,24 @@ class NgramJoin:
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.25 / PART_ROWS) + 1)
         rows = (self.docs.select("text").mapInArrow(partial(_prefixes, self.words, token[order], count[order]), PREFIX_DDL)
                 .repartition(parts, "token").mapInArrow(_shared, PREFIX_DDL))
-        own = self.classes.select("sig", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("grp"))
-        rows = stored(rows.join(own, "sig").select("token", "rep", "grp", "n", "end_rank", "end"), "matrix")
-        open_ = rows.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("token")
+        own = self.classes.select("sig", "node", F.col("node").alias("grp"))
+        if groups is not None:
+            own = self.classes.select("sig", "node").join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("grp"))
+        rows = stored(rows.join(own, "sig").select("token", "node", "grp", "n", "end_rank", "end"), "matrix")
+        fan = F.ceil(F.count("*") / FAN).cast("int").alias("fan")
+        open_ = rows.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b"), fan).where("a < b").select("token", "fan")
         rows = rows.join(open_, "token")
-        a, b = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "grp", "n", "end_rank", "end"))) for s in "ab")
+        # without groups a token's pairs are dealt to several tasks by the set that asks
+        salts = [F.pmod(F.xxhash64("node"), F.col("fan")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1))] if groups is None else [F.lit(0)] * 2
+        a, b = (rows.select("token", salt.alias("salt"), *(F.col(c).alias(f"{c}_{s}") for c in ("node", "grp", "n", "end_rank", "end"))) for salt, s in zip(salts, "ab"))
         # the larger set asks, the smaller one stands in the group
-        pairs = a.join(b, "token").where("grp_a <> grp_b and n_a >= n_b and (n_a > n_b or rep_a < rep_b) and 4 * n_b >= 3 * n_a")
+        pairs = a.join(b, ["token", "salt"]).where("grp_a <> grp_b and n_a >= n_b and (n_a > n_b or node_a < node_b) and 4 * n_b >= 3 * n_a")
         # what the set whose prefix ends first has left, beyond its leading tokens, is all that can still agree
         first = F.struct("end_rank_a", "end_a") <= F.struct("end_rank_b", "end_b")
         left = F.when(first, F.expr("(3 * n_a + 3) div 4 - 1")).otherwise(F.expr("(3 * n_b + 3) div 4 - 1"))
-        pairs = pairs.select("rep_a", "rep_b", left.alias("left"), F.expr("(3 * (n_a + n_b) + 6) div 7").alias("need"))
-        pairs = pairs.groupBy("rep_a", "rep_b").agg(F.count("*").alias("met"), F.first("left").alias("left"), F.first("need").alias("need"))
-        return pairs.where("met + left >= need").select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
+        pairs = pairs.select("node_a", "node_b", left.alias("left"), F.expr("(3 * (n_a + n_b) + 6) div 7").alias("need"))
+        pairs = pairs.groupBy("node_a", "node_b").agg(F.count("*").alias("met"), F.first("left").alias("left"), F.first("need").alias("need"))
+        return pairs.where("met + left >= need").select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
 
     def links(self) -> DataFrame:
         """Links (u, v) between class nodes that connect every component."""
@@ -290,12 +303,35 @@ class NgramJoin:
             found = found.union(self.verified(self.leader_pairs(turn, components(found))))
         return found.union(self.verified(self.group_pairs(components(found))))
 
+    def all_links(self) -> DataFrame:
+        """Every link (u, v) between classes, by fingerprint, once each."""
+        found, sig = self.verified(self.group_pairs(None)), self.classes.select("node", "sig")
+        return (found.join(sig.toDF("u", "a"), "u").join(sig.toDF("v", "b"), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+
+    def pairs(self) -> DataFrame:
+        """Every pair (u, v), u < v, of documents that link."""
+        own = self.profiles.where("n > 0 and doc_id is not null").select("sig", "doc_id").distinct()
+        links = self.all_links()
+        links = links.union(self.classes.select("sig", "sig"))
+        both = links.join(own.toDF("u", "a"), "u").join(own.toDF("v", "b"), "v").where("a <> b")
+        return both.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
     def membership(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), a row per row of the documents."""
-        found = components(self.links())
-        nodes = self.classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-        return (self.profiles.join(nodes, "sig", "left")
-                .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+        links = self.links()
+        if not self.repeated_ids:
+            nodes = self.classes.join(components(links), "node", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
+            rows = self.profiles.join(nodes, "sig", "left")
+            return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        # the texts of an id belong together
+        own = self.profiles.where("n > 0 and doc_id is not null").select("doc_id", "sig")
+        same = own.join(own.groupBy("doc_id").agg(F.min("sig").alias("u")), "doc_id").where("u <> sig").select("u", F.col("sig").alias("v"))
+        nodes = self.classes.join(components(links.union(same)), "node", "left").select("sig", "rep", F.coalesce("component", "node").alias("component"))
+        low = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
+        nodes = nodes.join(low, "component").select("sig", "component_id")
+        ids = own.join(nodes, "sig").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+        return (self.profiles.join(nodes, "sig", "left").join(ids, "doc_id", "left")
+                .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("of_id", "component_id", "doc_id").alias("component_id")))
 
     def one_of_each(self, docs: DataFrame) -> DataFrame:
         """The rows of ``docs`` without those that link to a document of a smaller id, directly or by others.
