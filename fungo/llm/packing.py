@@ -1,12 +1,21 @@
 """Packing documents into training sequences by lexical retrieval.
 
-Documents are tokenized where they are read and dealt into shards of about ``SHARD``
-bytes of text by a hash of their id, so every shard has the same size however large the
-table is. Each shard holds a BM25 inverted index over token ids of its documents. A seed
-document opens a window; the index ranks the shard's unused documents by the seed's
-``TERMS`` most telling tokens, and they fill the window in that order. A document that
-does not fit is cut; what is left of it opens the next window and is its seed. Where no
-unused document shares a token, the next unused one by id follows.
+Documents are tokenized where they are read and written as token ids. Document frequencies
+and the mean length are counted over all of them and written as a table (a row a token of
+the vocabulary), so BM25 weights are those of the whole corpus. Documents are then dealt
+into shards of about ``SHARD`` bytes by content: a sample of one document a shard's worth
+of text, at most ``MOST``, leads (their ``PROFILE`` heaviest tokens are broadcast), every
+document goes to the leader it scores highest by BM25, and a leader with more than a shard
+of documents has them dealt again among leaders of its own, ``ROUNDS`` times in all. What is
+still too large then, such as copies, is dealt by a hash of id and text; small groups of
+sibling leaders share a shard.
+
+Each shard holds a BM25 inverted index over token ids of its documents. A seed document
+opens a window; the index ranks the shard's unused documents by all tokens of the seed,
+and they fill the window in that order. A document that does not fit is cut; what is left
+of it opens the next window and is its seed. Where no unused document shares a token, the
+next unused one by id follows. Neighbours are thus looked up in a shard, not in all shards:
+README gives the share of the corpus-wide neighbours that this finds.
 
 So all windows are full, but for the last one of each shard, which is cut at powers of
 two (1500 tokens become 1024, 256, 128, 64, 16, 8 and 4): those need no padding.
@@ -15,12 +24,14 @@ Tokens are 16-bit numbers on the way to their shard if the vocabulary allows. Wo
 tokenized once a task and remembered; the tokenizer's patterns never reach across blanks.
 
 Edge cases: a null or empty text is the one closing token. A text longer than a window
-spans several. Rows that repeat are packed one by one; a null id goes to shard 0. Without
-documents there are no pieces. Results depend on ids and texts alone, not on partitions.
+spans several. Rows that repeat are packed one by one; rows that repeat id and text for
+more than a shard are dealt by their place in the table. Without documents there are no
+pieces. But for such rows, results depend on ids and texts alone, not on partitions.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -30,13 +41,16 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
 
-from fungo.llm.common import chunks, texts
+from fungo.llm.common import chunks, stored, texts
 
 LENGTH = 4096
 SHARD = 6 << 20
-TERMS = 24
+MOST = 256
+PROFILE = 256
+ROUNDS = 3
 END = 2
 K1, B = 1.2, 0.75
 MEMO = 400_000
@@ -98,49 +112,124 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+ENCODED = "doc_id long, ids binary, hash long, token int, df long, docs long, size long"
+
+
 def _encode(path: str, batches):
-    encoder = _encoder(path)
+    """Rows of documents (id, token ids, hash) and of tokens (token, documents that hold it); token -1 has the documents and all their tokens."""
+    encoder, names = _encoder(path), [x.split()[0] for x in ENCODED.split(", ")]
+    df, n, size = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int64), 0, 0
     for b in batches:
-        items = texts(b.column(2))
+        items = texts(b.column(1))
         for i, j in chunks(items):
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(encoder(items[i:j]), pa.binary())], ["shard", "doc_id", "ids"])
+            found = encoder(items[i:j])
+            for x in found:
+                ids = np.frombuffer(x, encoder.kind)
+                df[np.unique(ids)] += 1
+                size += len(ids)
+            n += j - i
+            none = pa.nulls(j - i)
+            signs = [int(np.uint64(xxhash.xxh3_64_intdigest(x)).astype(np.int64)) for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(found, pa.binary()), pa.array(signs, pa.int64()), none.cast(pa.int32()), *[none.cast(pa.int64())] * 3], names)
+    if n:
+        token = np.flatnonzero(df)
+        none, no = pa.nulls(len(token) + 1), np.zeros(len(token), np.int64)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array(np.r_[-1, token].astype(np.int32)),
+                                          pa.array(np.r_[0, df[token]]), pa.array(np.r_[n, no]), pa.array(np.r_[size, no])], names)
+
+
+class Corpus:
+    """What BM25 needs to know of all documents: the weight of each token and the mean length."""
+
+    def __init__(self, token: np.ndarray, df: np.ndarray, docs: int, size: int):
+        self.idf, self.mean = np.zeros(int(token.max(initial=0)) + 1), size / max(docs, 1)
+        self.idf[token] = np.log1p((docs - df + 0.5) / (df + 0.5))
+
+    def weights(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct tokens of a document and their BM25 weights."""
+        t, tf = np.unique(ids, return_counts=True)
+        return t, self.idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))
+
+
+def _profiles(kind: np.dtype, corpus: Corpus, batches):
+    """The heaviest tokens of documents that lead, with their weights."""
+    for b in batches:
+        terms, weights = [], []
+        for x in b.column(2).to_pylist():
+            t, w = corpus.weights(np.frombuffer(x, kind).astype(np.int64))
+            top = np.lexsort((t, -w))[:PROFILE]
+            terms.append(t[top])
+            weights.append(w[top])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(terms, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float64()))], ["grp", "place", "terms", "weights"])
+
+
+class Leaders:
+    """The leaders, given by profiles, that documents are dealt to; ``at`` is the number of the first one's group."""
+
+    def __init__(self, profiles: list[tuple[list, list]], at: int):
+        term = np.concatenate([t for t, _ in profiles])
+        order = np.argsort(term, kind="stable")
+        self.doc = np.repeat(np.arange(len(profiles)), [len(t) for t, _ in profiles])[order].astype(np.int32)
+        self.weight = np.concatenate([w for _, w in profiles])[order]
+        self.terms, first = np.unique(term[order], return_index=True)
+        self.first = np.r_[first, len(term)]
+        self.n, self.at = len(profiles), at
+
+    def of(self, ids: np.ndarray) -> int:
+        """The leader with the highest score for a document, the first of several."""
+        t = np.unique(ids)
+        i = np.minimum(np.searchsorted(self.terms, t), len(self.terms) - 1)
+        i = i[self.terms[i] == t]
+        n = self.first[i + 1] - self.first[i]
+        at = np.repeat(self.first[i] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return int(np.bincount(self.doc[at], self.weight[at], self.n).argmax())
+
+
+def _deal(kind: np.dtype, rounds: list[dict[int, Leaders]], keep: bool, batches):
+    """Documents with the group that each goes to, round by round; a round has leaders of every group that was too large."""
+    for b in batches:
+        items, own = b.column(1).to_pylist(), []
+        for x in items:
+            g, ids = 0, np.frombuffer(x, kind).astype(np.int64)
+            for leaders in rounds:
+                if g in leaders:
+                    g = leaders[g].at + leaders[g].of(ids)
+            own.append(g)
+        size = pa.array([len(x) // kind.itemsize for x in items], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), *([b.column(1)] if keep else []), b.column(2), pa.array(own, pa.int64()), size], ["doc_id", *(["ids"] if keep else []), "hash", "grp", "size"])
 
 
 class Index:
-    """BM25 over the token ids of a shard's documents."""
+    """BM25 over the token ids of a shard's documents, with the weights of ``corpus``."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus):
         n = len(docs)
         sizes = np.array([len(d) for d in docs])
         key, tf = np.unique(np.repeat(np.arange(n), sizes) << 32 | np.concatenate(docs).astype(np.int64), return_counts=True)
         doc, term = key >> 32, key & 0xFFFFFFFF
-        self.terms, at, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / sizes.mean()))
-        weight[df[at] < 2] = 0  # a token of one document finds nobody
+        terms, at, df = np.unique(term, return_inverse=True, return_counts=True)
+        weight = corpus.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / corpus.mean))
         self.first = np.searchsorted(doc, np.arange(n + 1))
-        self.at, self.weight = at, weight
+        self.at, self.df = at, df
         order = np.argsort(at, kind="stable")
-        self.post_doc, self.post_weight, self.post_first = doc[order], weight[order], np.r_[0, np.cumsum(df)]
+        self.post_doc, self.post_weight, self.post_first = doc[order].astype(np.int32), weight[order], np.r_[0, np.cumsum(df)]
         self.n = n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
-        """Unused documents that share a query token with the seed, the best first."""
-        own = slice(self.first[seed], self.first[seed + 1])
-        at, w = self.at[own], self.weight[own]
-        pick = np.lexsort((at, -w))[:TERMS]
-        pick = pick[w[pick] > 0]
-        if not len(pick):
+        """Unused documents that share a token with the seed, the best first."""
+        at = self.at[self.first[seed]:self.first[seed + 1]]
+        at = at[self.df[at] > 1]  # a token of one document finds nobody
+        if not len(at):
             return
-        spans = [slice(self.post_first[t], self.post_first[t + 1]) for t in at[pick]]
+        spans = [slice(self.post_first[t], self.post_first[t + 1]) for t in at]
         score = np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n)
         found = np.flatnonzero((score > 0) & unused)
         yield from found[np.lexsort((found, -score[found]))].tolist()
 
 
-def order_of(docs: list[np.ndarray], length: int = LENGTH) -> list[int]:
+def order_of(docs: list[np.ndarray], corpus: Corpus, length: int = LENGTH) -> list[int]:
     """The order in which documents fill the windows one after another."""
-    index, unused, out, filled, following = Index(docs), np.ones(len(docs), bool), [], 0, 0
+    index, unused, out, filled, following = Index(docs, corpus), np.ones(len(docs), bool), [], 0, 0
     seed, near = -1, iter(())
     for _ in range(len(docs)):
         nxt = next((d for d in near if unused[d]), None) if filled else None
@@ -164,12 +253,11 @@ def _bounds(total: int, length: int) -> np.ndarray:
     return np.cumsum([0, *[length] * full, *tail])
 
 
-def _pack(length: int, key, table: pa.Table) -> pa.Table:
+def _pack(length: int, kind: np.dtype, corpus: Corpus, key, table: pa.Table) -> pa.Table:
     """Pieces of one shard."""
     rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    kind = np.dtype(f"<u{table.column('width')[0].as_py()}")
     docs = [np.frombuffer(r[1], kind) for r in rows]
-    order = order_of(docs, length)
+    order = order_of(docs, corpus, length)
     bounds = _bounds(sum(map(len, docs)), length)
     shard, out, at, seq = key[0].as_py(), [], 0, 0
     for d in order:
@@ -184,16 +272,77 @@ def _pack(length: int, key, table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
 
+def dealt(rows: DataFrame, kind: np.dtype, corpus: Corpus, shard_tokens: int) -> tuple[list[dict[int, Leaders]], DataFrame]:
+    """Leaders of each round for ``rows`` (doc_id, ids, hash), and a table of (doc_id, hash, grp, size); token ids are not written again."""
+    spark, rounds, done, at = rows.sparkSession, [], set(), 1
+    while True:
+        places = stored(rows.mapInArrow(partial(_deal, kind, rounds, False), "doc_id long, hash long, grp long, size long"), "places")
+        if len(rounds) == ROUNDS:
+            return rounds, places
+        sizes = places.groupBy("grp").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+        large = [(r.grp, min(MOST, math.ceil(r.size / shard_tokens)), r.n) for r in sizes if r.size > shard_tokens and r.grp not in done]
+        if not large:
+            return rounds, places
+        done |= {g for g, _, _ in large}
+        # the texts of smallest hash lead, longer ones first; so many rows are looked at that there are enough
+        wanted = spark.createDataFrame([(g, k, min(1 << 20, int((1 << 20) * 8 * (k + 8) / n) + 1)) for g, k, n in large], "grp long, want long, below long")
+        some = (places.join(F.broadcast(wanted), "grp").where(F.pmod(F.xxhash64("hash"), F.lit(1 << 20)) < F.col("below"))
+                .groupBy("grp", "hash", "want").agg(F.min("size").alias("size")))
+        order = Window.partitionBy("grp").orderBy(F.col("size") < 64, F.xxhash64("hash"), "hash")
+        some = some.withColumn("place", F.row_number().over(order)).where("place <= want").select("hash", "grp", "place")
+        texts_ = rows.join(F.broadcast(some), "hash").groupBy("grp", "place").agg(F.min("ids").alias("ids"))
+        profiles: dict[int, list] = {}
+        for r in sorted(texts_.mapInArrow(partial(_profiles, kind, corpus), "grp long, place int, terms array<long>, weights array<double>").collect(), key=lambda r: (r.grp, r.place)):
+            profiles.setdefault(r.grp, []).append((r.terms, r.weights))
+        leaders = {}
+        for g, found in sorted(profiles.items()):
+            if len(found) > 1:
+                leaders[g] = Leaders(found, at)
+                at += len(found)
+        if not leaders:
+            return rounds, places
+        rounds.append(leaders)
+
+
+def shard_table(sizes: dict[int, int], limit: int) -> list[tuple[int, int, int]]:
+    """(group, first shard, shards) of groups of these sizes; groups that follow each other share a shard while they fit."""
+    out, shard, filled = [], 0, 0
+    for g, size in sorted(sizes.items()):
+        parts = max(1, -(-size // limit))
+        if filled and (parts > 1 or filled + size > limit):
+            shard, filled = shard + 1, 0
+        out.append((g, shard, parts))
+        shard, filled = (shard + parts, 0) if parts > 1 else (shard, filled + size)
+    return out
+
+
 def packed(docs: DataFrame, path: str, length: int = LENGTH, shard_bytes: int = SHARD) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text), see ``PIECES``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kind = Encoder(path).kind
+    rows = stored(docs.mapInArrow(partial(_encode, path), ENCODED), "encoded")
+    counts = stored(rows.where("token is not null").groupBy("token").agg(*(F.sum(x).alias(x) for x in ("df", "docs", "size"))), "frequencies").toArrow()
+    token, df = counts.column(0).to_numpy(), counts.column(1).to_numpy()
+    n, size = (int(counts.column(i).to_numpy().sum()) for i in (2, 3))
+    corpus = Corpus(token[token >= 0], df[token >= 0], n, size)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = total // shard_bytes + 1
-    shard = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(shards)), F.lit(0)).alias("shard")
-    width = Encoder(path).kind.itemsize
-    rows = docs.select(shard, "doc_id", "text").mapInArrow(partial(_encode, path), "shard long, doc_id long, ids binary")
+    shard_tokens = max(1, int(shard_bytes * size / max(total, 1)))
+    rows = rows.where("token is null").select("doc_id", "ids", "hash")
+    rounds, places = dealt(rows, kind, corpus, shard_tokens)
+
+    # what is still too large is dealt by a hash; rows that repeat id and text for more than a shard by their place
+    groups = shard_table({r.grp: r.size for r in places.groupBy("grp").agg(F.sum("size").alias("size")).collect()}, shard_tokens)
+    table = F.broadcast(docs.sparkSession.createDataFrame(groups, "grp long, first long, parts long"))
+    rows = rows.mapInArrow(partial(_deal, kind, rounds, True), "doc_id long, ids binary, hash long, grp long, size long").join(table, "grp")
+    mixed = F.xxhash64("doc_id", "hash")
+    if any(parts > 1 for _, _, parts in groups):
+        large = (places.join(table, "grp").where("parts > 1").groupBy("grp", mixed.alias("mixed")).agg(F.sum("size").alias("size"))
+                 .where(F.col("size") > shard_tokens).select("grp", "mixed", F.lit(True).alias("large")))
+        rows = rows.withColumn("mixed", mixed).withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(large), ["grp", "mixed"], "left")
+        mixed = F.when(F.col("large"), F.xxhash64("mixed", "place")).otherwise(F.col("mixed"))
+    rows = rows.select((F.col("first") + F.pmod(mixed, F.col("parts"))).alias("shard"), "doc_id", "ids")
 
     def pack(key, table):
-        return _pack(length, key, table)
+        return _pack(length, kind, corpus, key, table)
 
-    return rows.withColumn("width", F.lit(width)).groupBy("shard").applyInArrow(pack, PIECES)
+    return rows.groupBy("shard").applyInArrow(pack, PIECES)
