@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fungo.llm import chat, katz, licenses, mixing, packing, quality, quality_rules, topk, toxicity
-from fungo.llm.common import is_held_out, table
+from fungo.llm import chat, cuckoo, katz, licenses, mixing, negatives, packing, quality, quality_rules, runs, topk, toxicity
+from fungo.llm.common import WORD, is_held_out, table
 from fungo.llm.ngram_join import NgramJoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,77 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = katz.scores(docs, "crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2")
     return rows.select("doc_id", is_held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# A run of at least 24 words and three periods has two equal stretches of 16 words one period apart.
+RUNS_SQL = r"""
+WITH k AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::BIGINT, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+        xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h FROM documents, k),
+g AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS cut FROM d),
+e AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // cut) END]) END AS w FROM g),
+s AS (SELECT r, n, w, unnest(range(n - 15)) AS i FROM e WHERE n >= 24),
+u AS MATERIALIZED (SELECT r, n, i, array_to_string(w[i + 1:i + 16], ' ') AS x FROM s),
+p AS (SELECT a.r, a.i, b.i - a.i AS p FROM u a JOIN u b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+o AS (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM p),
+f AS (SELECT r, p, min(i) AS start, max(i) + 16 + p - min(i) AS length FROM o GROUP BY r, p, island),
+m AS MATERIALIZED (SELECT r, start, length, min(p) AS period FROM f WHERE length >= greatest(24, 3 * p) GROUP BY r, start, length),
+b AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+        first({'s': start, 'l': length, 'p': period} ORDER BY length / period DESC, start, period) AS best FROM m GROUP BY r),
+x AS (SELECT r, w, unnest(range(n)) AS i FROM e WHERE r IN (SELECT r FROM m)),
+y AS (SELECT DISTINCT x.r, x.i FROM x JOIN m ON x.r = m.r AND x.i >= m.start + m.period AND x.i < m.start + m.length),
+z AS (SELECT r, string_agg(w[i + 1], ' ' ORDER BY i) AS left_over FROM x ANTI JOIN y USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period, (1000 * best.l // best.p)::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(left_over, array_to_string(w, ' '))) AS collapsed_sha256
+FROM e LEFT JOIN b USING (r) LEFT JOIN z USING (r)
+"""
+
+
+@query("op11_runs", RUNS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.regexp_extract_all("text", F.lit(WORD), 0)
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words"))
+    docs = docs.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = "slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)"
+    text = F.when(F.col("a").isNull(), F.col("text")).otherwise(F.expr(f"array_join(concat(slice(words, 1, a), {tail}), ' ')"))
+    rows = runs.annotated(docs.select("doc_id", text.alias("text"))).drop("text")
+    best = F.expr("array_max(transform(runs, r -> struct(r.length / r.period as ratio, -r.start as start, -r.period as period, r.length as length)))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    rows = rows.withColumn("best", best)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+DEDUP_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER g = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t ORDER BY n DESC, doc_id, r)
+"""
+
+
+@query("op12_exact_dedup", DEDUP_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.CuckooIndex(spark).insert(table(spark, sf_dir, "documents")).decisions()
+
+
+NEGATIVES_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS y, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS a, a.v AS av, a.y, c.vec_id AS c, a.y = c.y AS same, list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a, av, y ORDER BY score DESC, c) <= 5)
+SELECT p.a AS anchor_id, p.c AS positive_id, (row_number() OVER w)::INT AS rank, s.c AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND p.av = s.av AND p.y = s.y AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+WINDOW w AS (PARTITION BY p.a, p.av, p.y, p.c, p.score ORDER BY s.score DESC, s.c)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return negatives.mined(table(spark, sf_dir, "embeddings").withColumn("label", label), "vec_id % 100 = 0")
