@@ -21,7 +21,7 @@ by ``SLACK`` of the norms, more than rounding can move them, so the interval is
 * Anchors are asked in passes of about ``ANCHORS``, broadcast to all tasks (a few MB). A
   pass reads the blocks twice, for positives and then for negatives; tasks keep the best
   few of each anchor, which are merged. Every pass writes its result.
-* Positives start from a threshold of ``SEED`` sampled rows, which more rows only raise.
+* Windows start from a threshold of ``SEED`` sampled rows, which more rows only raise.
 
 Every anchor meets every block by its interval, so the work grows with the question; no
 pair is skipped but by its bound.
@@ -226,16 +226,17 @@ def _best(blocks: DataFrame, asked, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _started(asked: Asked, sample: pa.Table, k: int) -> None:
-    """Raises the windows' lower ends to the k-th best score among sampled rows."""
+def _started(asked: Asked, sample: pa.Table) -> None:
+    """Raises the windows' lower ends to the k-th best score among the sampled rows in them."""
     v = _padded(sample.column("v").to_pylist())
-    if not len(v) or not len(asked.ids):
+    if len(v) < asked.k or not len(asked.ids):
         return
     scores = exact(asked.v, v, float(asked.norms.max() * norms(v).max()))
-    other = (sample.column("label").to_numpy() != asked.labels[:, None]) | (sample.column("vec_id").to_numpy() == asked.ids[:, None])
-    scores[other] = LEAST
-    if len(v) >= k:
-        asked.low[:, 0] = np.partition(scores, -k, axis=1)[:, -k]
+    fits = (sample.column("label").to_numpy() == asked.labels[:, None]) != asked.other
+    fits &= sample.column("vec_id").to_numpy() != asked.ids[:, None]
+    for w in range(asked.low.shape[1]):
+        inside = np.where(fits & (scores <= asked.high[:, w, None]), scores, LEAST)
+        asked.low[:, w] = np.maximum(asked.low[:, w], np.partition(inside, -asked.k, axis=1)[:, -asked.k])
 
 
 def mined(vectors: DataFrame, is_anchor: str, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, scale: int = SCALE) -> DataFrame:
@@ -258,7 +259,7 @@ def mined(vectors: DataFrame, is_anchor: str, positives: int = 5, negatives: int
     anchors, parts = anchors.withColumn("turn", F.pmod(F.xxhash64("vec_id", "label", "v"), F.lit(passes))), []
     for turn in range(passes):
         asked = Asked(anchors.where(F.col("turn") == turn).drop("turn").toArrow(), directions, positives)
-        _started(asked, sample, positives)
+        _started(asked, sample)
         sent = spark.sparkContext.broadcast(asked)
         # at most so many positives for each anchor of the pass
         found = _best(blocks, sent, positives).toArrow()
@@ -269,6 +270,7 @@ def mined(vectors: DataFrame, is_anchor: str, positives: int = 5, negatives: int
             if -(-low * s // 100) <= high * s // 100:
                 asked.low[i, p - 1], asked.high[i, p - 1] = -(-low * s // 100), high * s // 100
         asked.k, asked.other = negatives, True
+        _started(asked, sample)
         names = spark.createDataFrame([(i, p - 1, int(asked.ids[i]), d, s) for i, p, d, s in zip(at, place, ids, scores)],
                                       "anchor int, w int, anchor_id long, positive_id long, positive_score long")
         sent = spark.sparkContext.broadcast(asked)
