@@ -2,13 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from fungo.catalog import query
+from fungo.catalog import ORACLE, query
 from fungo.catalog.ingest import _EV_OUTS, _EV_RUNS, event_lines
 from fungo.functions import geo, teams
 from fungo.operators import aggregates as a
 from fungo.operators.ordered import first_n_array
-from fungo.plans import batting, environment as env, form, market, matrix, pitching, plays, scoring
+from fungo.operators.project import ZERO_ENDINGS
+from fungo.plans import batting, defaults, environment as env, form, market, matrix, pitching, plays, scoring
 from fungo.sources.readers import event_file_scan
+from fungo.sources.shelf import Shelf
+from fungo.views import VIEWS
 
 c = F.col
 PARKS = {"parks": teams.parks_sql()}
@@ -54,8 +57,8 @@ select *, sum(runs_scored) over (partition by game_pk, batting_side) - coalesce(
 _PCTX = {"full_plays": _FULL, "vals": _VALUES}
 
 
-def _values(t, season=None):
-    df = t.impact_plays_v.withColumn("_cell", F.floor(c("play") / 16))
+def _values(t, season=None, plays_v=None):
+    df = (t.impact_plays_v if plays_v is None else plays_v).withColumn("_cell", F.floor(c("play") / 16))
     return plays.play_values(df, ["game_pk", "batting_side"], ["play", "batter", "pitcher_id"], season, cell=c("_cell"))
 
 
@@ -89,7 +92,8 @@ left join bp b1 on b1.team = g.home_team and b1.game_date = g.game_date left joi
 
 @query("impact_form", "select * from (" + _IMPACT + ") z", _PCTX)
 def impact_form(t):
-    return plays.impact_form(t.staffed_games_v, _values(t))
+    fine = Shelf(t.spark).put("values", plays.summed_values(_values(t)), ["game_pk"])
+    return plays.impact_form(t.staffed_games_v, fine)
 
 
 # --- team form
@@ -322,9 +326,12 @@ m as (select s.game_pk, s.venue, {_lineup_mean('lhp')}, {_lineup_mean('rhp')} fr
 rows as (select s.game_pk, s.venue, m.lhp as lineup_ops_vs_lhp, m.rhp as lineup_ops_vs_rhp, case when opp = 'L' then m.lhp when opp = 'R' then m.rhp end as lineup_ops_vs_sp, greatest(m.k_lhp, m.k_rhp) as lineup_known_batters from side s left join m on m.game_pk = s.game_pk and m.venue = s.venue)
 select *, home_lineup_ops_vs_sp - away_lineup_ops_vs_sp as lineup_ops_vs_sp_diff from ({pivot(['lineup_ops_vs_lhp', 'lineup_ops_vs_rhp', 'lineup_ops_vs_sp', 'lineup_known_batters'], 'rows')}) y""".replace("with side as", "select * from (with side as") + ") z", {"bt": _BATTERS})
 def lineup_splits(t):
+    return batting.lineup_splits(_handed(t), _lineups(t), t.sql(_BATTERS))
+
+
+def _lineups(t):
     batters = t.lineitem.withColumns({"game_pk": c("l_orderkey"), "venue": F.when(c("l_suppkey") % 2 == 1, "home").otherwise("away")})
-    lineups = first_n_array(batters, ["game_pk", "venue"], ["l_linenumber", "l_partkey", "l_suppkey"], 9, "l_partkey", "ids")
-    return batting.lineup_splits(_handed(t), lineups, t.sql(_BATTERS))
+    return first_n_array(batters, ["game_pk", "venue"], ["l_linenumber", "l_partkey", "l_suppkey"], 9, "l_partkey", "ids")
 
 
 # --- environment and market
@@ -388,29 +395,108 @@ def feature_matrix(t):
     return matrix.form_matrix(t.games_v).select(*_MATRIX_COLS)
 
 
-@query("full_feature_matrix")
+# --- all groups together
+
+def build_full(t, shelf=None):
+    """Every feature group of the matrix, one row per staffed game.
+
+    What several groups read (games, dated appearances, a team's values of a season, run
+    values) is put on a shelf first, and so is every group that takes exchanges; the
+    groups then meet by game without any.
+    """
+    shelf = shelf or Shelf(t.spark)
+    parks = teams.parks(t.spark)
+    games = shelf.put("games", t.games_v, ["game_pk"])
+    apps = shelf.put("appearances", t.sql(VIEWS["dated_appearances_v"], games_v=games), ["pitcher_id", "game_date"])
+    g = shelf.put("staffed", t.sql(VIEWS["staffed_games_v"], games_v=games, starters_v=t.sql(VIEWS["starters_v"], appearances_v=apps)), ["game_pk"])
+    pf = shelf.put("factors", a.park_factor(games), ["team", "season"])
+    splits = shelf.put("splits", t.sql(_SPLITS, dated_appearances_v=apps), ["team", "season"])
+    stats = t.sql(VIEWS["pitcher_stats_v"], dated_appearances_v=apps)
+    fine = shelf.put("values", plays.summed_values(_values(t, plays_v=t.sql(VIEWS["impact_plays_v"], games_v=games))), ["game_pk"])
+    ops = a.weighted_mean(splits.withColumn("team_ops", c("ops_vs_lhp")), ["team", "season"], ["team_ops"], "pa_vs_lhp")
+    team_ops = shelf.put("team_ops", batting.prior_season_attach(g, ops, ["team_ops"]), ["game_pk"], dealt=True)
+    hand = lambda s: F.when(c(f"{s}_sp_id") % 3 == 0, "L").when(c(f"{s}_sp_id") % 3 == 1, "R")
+    handed = g.withColumns({"home_sp_throws": hand("home"), "away_sp_throws": hand("away")}).join(team_ops, "game_pk")
+    contact = apps.select("team", "season", c("runs_allowed").alias("barrels"), c("outs_recorded").alias("bbe"), c("is_starter").alias("hard_hit"))
+    lists = t.snapshots_v.withColumn("il_war", c("il_count") % 13)
+    heavy = {
+        "form": form.team_form(games, shelf), "meetings": form.head_to_head(games), "prior": form.prior_pythagorean(games),
+        "starter_era": pitching.starter_era(g, stats, pf).drop("home_sp_era_tier", "away_sp_era_tier"),
+        "stuff": pitching.stuff_attach(g, t.sql(_STUFF_V, pitcher_stats_v=stats)).drop("home_sp_throws", "away_sp_throws"),
+        "rest": env.rest_and_travel(games, parks), "starter_form": pitching.starter_form(g, apps, pf), "bullpen": pitching.bullpen(games, apps, pf),
+        "hands": batting.handedness_splits(handed, splits), "injured": env.injured_lists(games, lists).drop("il_diff"),
+        "contact": batting.prior_season_attach(games, batting.contact_quality(contact), ["barrel_pct", "hard_hit_pct"]),
+        "lineups": batting.lineup_splits(handed, _lineups(t), t.sql(_BATTERS)).drop("lineup_ops_vs_sp_diff"), "impact": plays.impact_form(g, fine)}
+    heavy["impact"] = heavy["impact"].select("game_pk", *[x for x in heavy["impact"].columns if x.startswith(("home_", "away_"))])
+    groups = shelf.put_all(heavy, ["game_pk"])
+    umpires = env.umpire_factor(games.withColumn("ump", c("game_pk") % 97), league_as_of=True).select("game_pk", "ump_run_factor")
+    light = [team_ops, shelf.put("umpires", umpires, ["game_pk"]), env.weather(games, t.sql(_WX, games_v=games), parks), env.park_dimensions(games, parks),
+             games.join(pf.select(c("team").alias("home_team"), "season", "park_factor"), ["home_team", "season"], "left").select("game_pk", "park_factor"),
+             t.odds_v.select("game_pk", c("p_market").alias("vegas_home_prob"))]
+    return matrix.feature_matrix(g, [*groups, *light])
+
+
+_SIZES = ["lf_dist", "cf_dist", "rf_dist", "lf_wall_ht", "altitude_ft"]
+
+
+_BLENDED = [f"sp_{x}_diff" for x in pitching.STUFF]
+
+
+def _two(*names):
+    return [f"{s}_{x}" for x in names for s in ("home", "away")]
+
+
+def _full_sql():
+    """The groups' own SQL side by side, with differences, neutral values and calendar columns."""
+    own = {
+        "team_form": _two(*_FORM_COLS), "head_to_head": ["h2h_home_win_rate", "h2h_home_run_diff"], "prior_pythagorean": _two("prior_win_pct"), "starter_era": _two("sp_era", "sp_era_adj"),
+        "stuff_attach": _two(*[f"sp_{x}" for x in pitching.STUFF], "sp_pa"), "rest_and_travel": _two("days_rest", "travel_milli"), "starter_workload": _two("sp_days_rest", "sp_outs_last"),
+        "starter_inseason": _two("sp_inseason_era", "sp_last3_era"), "bullpen_form": _two("bullpen_inseason_era", "bullpen_outs_3d"), "contact_quality": _two("barrel_pct", "hard_hit_pct"),
+        "injured_lists": _two("il_count", "il_war"), "lineup_splits": _two("lineup_ops_vs_lhp", "lineup_ops_vs_rhp", "lineup_ops_vs_sp", "lineup_known_batters"),
+        "handedness_splits": _two("batting_ops_vs_sp", "opp_sp_is_lhp", "sp_is_lhp") + ["both_sp_same_hand"], "umpire_factor_as_of": ["ump_run_factor"],
+        "weather_attach": ["temp_f", "wind_speed_mph", "humidity_pct", "wind_milli"], "park_factor_attach": ["park_factor"], "impact_form": _two("offense_re24_15g", "sp_re24_last3", "bullpen_re24_15d")}
+    tables = {f"q_{n}": ORACLE[n] for n in own}
+    joins = [f"left join q_{n} on q_{n}.game_pk = g.game_pk" for n in own]
+    joins += [f"left join rates {s} on {s}.team = g.{s}_team and {s}.season + 1 = g.season" for s in ("home", "away")]
+    raw = {x: f"q_{n}.{x}" for n, cols in own.items() for x in cols}
+    raw |= {f"{s}_team_ops": f"{s}.v" for s in ("home", "away")} | {f"{s}_platoon_advantage": f"q_handedness_splits.{s}_batting_ops_vs_sp - {s}.v" for s in ("home", "away")}
+    raw |= {f"park_{x}": f"k.{x}" for x in _SIZES} | {"vegas_home_prob": "o.p_market"}
+    wide = (f"select {', '.join('g.' + x for x in matrix.IDS)}, {', '.join(f'{e} as {n}' for n, e in raw.items())} from staffed_games_v g {' '.join(joins)} "
+            "left join parks k on k.team = g.home_team left join odds_v o on o.game_pk = g.game_pk")
+    firsts = {n: ab for n, ab in matrix.FIRST_DIFFS.items() if set(ab) <= set(raw)}
+    step = f"select *, {', '.join(f'{x} - {y} as {n}' for n, (x, y) in firsts.items())} from wide"
+    neutral = {**defaults.NEUTRAL, "away_travel_milli": 0, "wind_milli": 0}
+
+    def filled(n):
+        v = neutral.get(n, 0.0 if n.endswith(ZERO_ENDINGS) else None)
+        kind = "bigint" if n.endswith("milli") else "double"
+        return n if v is None else f"coalesce(cast({n} as {kind}), {v}::{kind}) as {n}"
+
+    named = {**raw, **firsts}
+    again = {n: ab for n, ab in defaults.DIFF_PAIRS.items() if set(ab) <= set(named)}
+    cols = ", ".join([*matrix.IDS, *map(filled, named)])
+    last = ", ".join(f"coalesce({x} - {y}, 0.0::double) as {n}" for n, (x, y) in again.items())
+    day = ("cast(month(game_date) as double) as game_month, cast(dayofyear(game_date) as double) as game_day_of_year, cast(month(game_date) in (3, 4) as double) as is_early_season, "
+           "cast(year(game_date) >= 2023 as double) as post_2023_rules")
+    # differences of blended values, in millionths, since their last digit is rounding
+    micro = ", ".join(f"cast(floor({n} * 1000000 + 0.5) as bigint) as {n}" for n in _BLENDED)
+    fill = f"select {cols}, {day} from firsts where home_rolling_rd is not null and away_rolling_rd is not null"
+    out = f"select * replace ({micro}) from (select * exclude ({', '.join(n for n in again if n in named)}), {last} from filled) y"
+    rates = (f"select team, season, cast(sum(cast(ops_vs_lhp * w as decimal(18,8))) as double) / cast(sum(cast(w as decimal(18,8))) as double) as v "
+             f"from (select *, greatest(coalesce(cast(pa_vs_lhp as double), 1.0::double), 1.0::double) as w from ({_SPLITS}) s0) s1 group by 1, 2")
+    return out, {**PARKS, "rates": rates, **tables, "wide": wide, "firsts": step, "filled": fill}
+
+
+@query("full_feature_matrix", *_full_sql())
 def full_feature_matrix(t):
-    """All groups together. Each group has its own oracle; this checks that they join."""
-    return build_full(t)
-
-
-def build_full(t):
-    g, apps, parks, pf = t.staffed_games_v, t.dated_appearances_v, teams.parks(t.spark), _factors(t)
-    handed = _handed(t).drop("home_team_ops", "away_team_ops")
-    ops = a.weighted_mean(t.sql(_SPLITS).withColumn("team_ops", c("ops_vs_lhp")), ["team", "season"], ["team_ops"], "pa_vs_lhp")
-    team_ops = batting.prior_season_attach(g, ops, ["team_ops"])
-    groups = [
-        form.team_form(g), form.head_to_head(g), form.prior_pythagorean(g), pitching.starter_era(g, t.pitcher_stats_v, pf).drop("home_sp_era_tier", "away_sp_era_tier"),
-        pitching.stuff_attach(g, _stuff(t)).drop("home_sp_throws", "away_sp_throws"), env.rest_and_travel(g, parks), pitching.starter_workload(g, apps),
-        pitching.starter_inseason(g, apps, pf), pitching.bullpen(g, apps, pf), team_ops, env.weather(g, t.sql(_WX), parks),
-        batting.handedness_splits(handed.join(team_ops, "game_pk"), t.sql(_SPLITS)),
-        env.umpire_factor(g.withColumn("ump", c("game_pk") % 97)).select("game_pk", "ump_run_factor"), env.injured_lists(g, t.snapshots_v),
-        env.park_factor_attach(g).select("game_pk", "park_factor"), plays.impact_form(g, _values(t)),
-        t.odds_v.select("game_pk", c("p_market").alias("vegas_home_prob"))]
-    return matrix.feature_matrix(g, groups)
+    """Trips and wind in thousandths, as in the groups' own queries; differences of blended values in millionths."""
+    out = build_full(t)
+    milli = {n: F.floor(c(x) * 1000 + 0.5).cast("bigint") for n, x in (("home_travel_milli", "home_travel_miles"), ("away_travel_milli", "away_travel_miles"), ("wind_milli", "wind_to_cf"))}
+    milli |= {n: F.floor(c(n) * 1000000 + 0.5).cast("bigint") for n in _BLENDED}
+    return out.withColumns(milli).drop("home_travel_miles", "away_travel_miles", "travel_diff", "wind_to_cf")
 
 
-_REQ = "select o_orderkey as game_pk, cast(o_orderdate as date) + 1 as game_date, cast(year(cast(o_orderdate as date) + 1) as int) as season, cast(o_orderkey % 30 as int) as home_team, cast((o_orderkey % 30 + 1 + o_custkey % 29) % 30 as int) as away_team from orders where o_orderstatus = 'F'"
+_REQ = "select o_orderkey as game_pk, cast(o_orderdate as date) + 1 as game_date, cast(year(cast(o_orderdate as date) + 1) as int) as season, cast(o_orderkey % 30 as int) as home_team, cast((o_orderkey % 30 + 1 + o_custkey % 29) % 30 as int) as away_team from orders"
 
 
 @query("matchup_rows", f"""
@@ -430,7 +516,7 @@ from ({pivot(scoring.STATE + ['days_rest', 'travel_milli', 'il_count', 'bullpen_
 def matchup_rows(t):
     req = t.sql(_REQ)
     relief = t.dated_appearances_v.filter("is_starter = 0")
-    out = scoring.matchup_rows(req, t.games_v, t.snapshots_v, relief, teams.parks(t.spark))
+    out = scoring.matchup_rows(req, t.games_v, t.snapshots_v, relief, teams.parks(t.spark), Shelf(t.spark))
     milli = {f"{s}_travel_milli": F.floor(c(f"{s}_travel_miles") * 1000 + 0.5).cast("bigint") for s in ("home", "away")}
     return out.withColumns(milli).drop("home_travel_miles", "away_travel_miles")
 

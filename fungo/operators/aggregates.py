@@ -39,9 +39,10 @@ def ratio_of_sums(df: DataFrame, keys: Sequence[str], ratios: Mapping[str, tuple
 
 def park_factor(games: DataFrame, seasons: int = 3) -> DataFrame:
     """Runs per game at home over runs per game away, averaged over the team's earlier seasons."""
-    runs = F.col("home_runs") + F.col("away_runs")
-    by = lambda who: games.groupBy(F.col(who).alias("team"), "season")
-    rate = by("home_team").agg(F.avg(runs).alias("_home")).join(by("away_team").agg(F.avg(runs).alias("_away")), ["team", "season"])
+    sides = F.array(F.struct(F.col("home_team").alias("team"), F.lit(True).alias("here")), F.struct(F.col("away_team").alias("team"), F.lit(False).alias("here")))
+    rows = games.select("season", (F.col("home_runs") + F.col("away_runs")).alias("runs"), F.inline(sides))
+    rate = rows.groupBy("team", "season").agg(F.avg(F.when(F.col("here"), F.col("runs"))).alias("_home"), F.avg(F.when(~F.col("here"), F.col("runs"))).alias("_away"),
+                                              F.count_if("here").alias("_n"), F.count_if(~F.col("here")).alias("_m")).filter("_n > 0 and _m > 0")
     raw = rate.select("team", "season", F.try_divide("_home", "_away").alias("season_factor"))
     # one row per team and season
     w = W.partitionBy("team").orderBy("season").rowsBetween(-seasons, -1)

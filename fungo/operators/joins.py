@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -68,6 +69,52 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     return out.select(*left.columns, F.col("_hit._asof").alias(f"{right_on}_asof"), *[F.col(f"_hit.{v}") for v in values])
 
 
+class Source(NamedTuple):
+    """One right side of ``asof_union``: the latest ``values`` before an ask, or at it if ``inclusive``."""
+
+    rows: DataFrame
+    at: str
+    values: Sequence[str]
+    inclusive: bool = True
+    tie: Sequence[str] = ()
+
+
+def asof_union(left: DataFrame, by: Sequence[str], left_on: str, sources: Mapping[str, Source],
+               sums: tuple[DataFrame, str, int] | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """As-of joins with several right sides at once, all by the same keys and days.
+
+    All points of time, asked and known, are one frame that is dealt once and carried once;
+    ``left`` gets a struct of values and ``_asof`` per source. ``sums`` (rows, column, n)
+    adds ``{column}_sum``, the sum over the n days before ``left_on`` by rows' ``left_on``:
+    a row is added to the running sum on its day and taken off n days later, so rows do
+    not depend on n. The column must be of an exact type.
+    ``asked`` is an earlier frame of a chain with the same keys and days as ``left``.
+    """
+    at = F.col(left_on)
+    asks = (left if asked is None else asked).select(*by, at.alias("_at"))
+    points, aggs, hits = asks.withColumn("_kind", F.lit(1)), [], {}
+    for name, src in sources.items():
+        row = F.struct(F.col(src.at).alias("_asof"), *src.values)
+        tied = F.struct(F.struct(F.col(src.at), *src.tie).alias("tie"), row.alias("row"))
+        known = src.rows.select(*by, F.col(src.at).alias("_at"), F.lit(0 if src.inclusive else 2).alias("_kind"), tied.alias(f"_{name}"))
+        points = points.unionByName(known, allowMissingColumns=True)
+        aggs.append(F.max_by(f"_{name}.row", f"_{name}.tie").alias(f"_{name}"))
+        hits[name] = ("last", f"_{name}")
+    if sums is not None:
+        rows, column, n = sums
+        steps = F.array(F.struct(at.alias("_at"), F.lit(1).alias("_sign")), F.struct(F.date_add(at, n).alias("_at"), F.lit(-1).alias("_sign")))
+        moves = rows.filter(F.col(column).isNotNull()).select(*by, F.col(column).alias("_x"), F.inline(steps))
+        points = points.unionByName(moves.withColumns({"_kind": F.lit(2), "_x": F.col("_x") * F.col("_sign")}), allowMissingColumns=True)
+        aggs += [F.sum("_x").alias("_x"), F.sum("_sign").alias("_n")]
+        hits |= {f"{column}_sum": ("sum", "_x"), "_c": ("sum", "_n")}
+    points = points.groupBy(*by, "_at", "_kind").agg(*aggs).withColumn("_cell", F.to_date("_at"))
+    found = ordered.expanding(points, by, ["_at", "_kind"], hits, cell="_cell").filter("_kind = 1").select(*by, "_at", *hits)
+    out = left.join(found.withColumnRenamed("_at", left_on), [*by, left_on], "left")
+    if sums is None:
+        return out
+    return out.withColumn(f"{sums[1]}_sum", F.when(F.col("_c") > 0, F.col(f"{sums[1]}_sum"))).drop("_c")
+
+
 def entity_fallback_join(fact: DataFrame, tiers: Sequence[tuple[str, DataFrame, Sequence[str]]],
                          cols: Sequence[str]) -> DataFrame:
     """First tier with a match wins: (label, dimension, keys) in order of preference.
@@ -107,13 +154,13 @@ def window_range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], da
                       sums: Mapping[str, str]) -> DataFrame:
     """Per left row, sums over right rows dated in [day - days, day) of the same key.
 
-    Right rows are summed per (key, day) and each day's sum goes to the ``days``
-    following days, so the join is an equality and its size is bounded.
+    Right rows are summed per (key, day) beside the days that are asked for, and a frame
+    over those days adds them up, so the number of rows does not depend on ``days``.
     """
-    per_day = right.groupBy(*keys, day).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    ahead = F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, days)))
-    reach = per_day.select(*keys, ahead.alias("_day"), *sums).groupBy(*keys, "_day").agg(*[F.sum(n).alias(n) for n in sums])
-    return left.join(reach.withColumnRenamed("_day", day), [*keys, day], "left")
+    asked = left.select(*keys, day).distinct().select(*keys, day, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in dict.fromkeys(sums.values())])
+    both = right.select(*keys, day, *dict.fromkeys(sums.values())).union(asked)
+    found = ordered.calendar_range(both, keys, day, {n: ("sum", c) for n, c in sums.items()}, days)
+    return left.join(found, [*keys, day], "left")
 
 
 def grid_cross(df: DataFrame, **axes: Sequence[float]) -> DataFrame:

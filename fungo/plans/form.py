@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fungo.operators import joins as j, ordered as o, project as p
 from fungo.plans.sides import team_games, to_game
+from fungo.sources.shelf import Shelf
 
 ORDER = ["game_date", "game_pk"]
 # Frame lengths and least games.
@@ -16,14 +17,17 @@ def won() -> Column:
     return F.when(F.col("run_diff") > 0, 1).when(F.col("run_diff").isNotNull(), 0)
 
 
-def form_rows(rows: DataFrame, inclusive: bool = False) -> DataFrame:
+def form_rows(rows: DataFrame, inclusive: bool = False, shelf: Shelf | None = None) -> DataFrame:
     """Rolling form per (team, game): going into the game, or after it if ``inclusive``.
 
     Everything that works on team-days comes first and shares one shuffle; the two
-    rolling frames follow.
+    rolling frames follow. With a ``shelf`` the placed rows are written there by team and
+    day, so that the four running aggregates read them without one.
     """
     kw = {"inclusive": inclusive}
     placed = o.expanding(rows, ["team"], ORDER, {"_at_team": ("count", F.lit(1)), "_scored": ("count", "run_diff")}, inclusive=True)
+    if shelf is not None:
+        placed = rows = shelf.put("placed_after" if inclusive else "placed", placed, ["team", "game_date"])
     out = o.signed_streak(placed, ["team"], ORDER, "run_diff", source=placed, counted="_scored", **kw)
     out = o.ranked(out, ["team", "venue"], ORDER, "_at_venue", source=rows)
     out = o.expanding(out, ["team", "season"], ORDER, {"_wins": ("sum", won()), "_games": ("count", won())}, source=rows, **kw)
@@ -35,10 +39,10 @@ def form_rows(rows: DataFrame, inclusive: bool = False) -> DataFrame:
         "momentum": F.col("last7_rd") - F.col("rolling_rd")}).drop("_wins", "_games", "_at_team", "_at_venue", "_scored")
 
 
-def team_form(games: DataFrame) -> DataFrame:
+def team_form(games: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     """Form of both teams going into each game; the venue form of a team is known only at that venue."""
     at = lambda v: F.when(F.col("venue") == v, F.col("venue_rd"))
-    return to_game(form_rows(team_games(games)), {
+    return to_game(form_rows(team_games(games), shelf=shelf), {
         "rolling_rd": "rolling_rd", "rolling_rs": "rolling_rs", "last7_rd": "last7_rd", "momentum": "momentum", "streak": "streak",
         "season_win_pct": "season_win_pct", "home_rd": at("home"), "away_rd": at("away")})
 

@@ -19,15 +19,18 @@ def combine(games: DataFrame, groups: Sequence[DataFrame]) -> DataFrame:
     return functools.reduce(lambda df, g: df.join(g, "game_pk", "left"), groups, games)
 
 
+# Difference -> its two sides, before any fill.
+FIRST_DIFFS = {**{n: (f"home_{x}", f"away_{x}") for n, x in d.FORM_DIFFS.items()}, **d.DIFF_PAIRS,
+               "travel_diff": ("away_travel_miles", "home_travel_miles"), "rd_venue_diff": ("home_home_rd", "away_away_rd"),
+               "home_season_win_pct_delta": ("home_season_win_pct", "home_prior_win_pct"),
+               "away_season_win_pct_delta": ("away_season_win_pct", "away_prior_win_pct"),
+               "home_rd_split": ("home_home_rd", "home_away_rd"), "away_rd_split": ("away_home_rd", "away_away_rd")}
+
+
 def differences(df: DataFrame) -> DataFrame:
     """Every difference whose two sides exist, and calendar columns."""
     have = set(df.columns)
-    pairs = {**{n: (f"home_{x}", f"away_{x}") for n, x in d.FORM_DIFFS.items()}, **d.DIFF_PAIRS,
-             "travel_diff": ("away_travel_miles", "home_travel_miles"), "rd_venue_diff": ("home_home_rd", "away_away_rd"),
-             "home_season_win_pct_delta": ("home_season_win_pct", "home_prior_win_pct"),
-             "away_season_win_pct_delta": ("away_season_win_pct", "away_prior_win_pct"),
-             "home_rd_split": ("home_home_rd", "home_away_rd"), "away_rd_split": ("away_home_rd", "away_away_rd")}
-    first = {n: F.col(a) - F.col(b) for n, (a, b) in pairs.items() if {a, b} <= have}
+    first = {n: F.col(a) - F.col(b) for n, (a, b) in FIRST_DIFFS.items() if {a, b} <= have}
     return p.calendar_features(df.withColumns(first), "game_date")
 
 
@@ -37,7 +40,7 @@ def feature_matrix(games: DataFrame, groups: Sequence[DataFrame]) -> DataFrame:
     # kept only where both teams have enough earlier games
     ready = p.drop_incomplete(wide, REQUIRED)
     filled = p.fill_neutral(ready, {k: v for k, v in d.NEUTRAL.items() if k not in IDS})
-    return p.recompute_diffs(filled, {n: ab for n, ab in d.DIFF_PAIRS.items() if n in filled.columns})
+    return p.recompute_diffs(filled, d.DIFF_PAIRS)
 
 
 def form_matrix(games: DataFrame) -> DataFrame:
