@@ -10,6 +10,7 @@ from fungo.functions import teams
 from fungo.operators import decision as d, ordered as o
 from fungo.session import checkpoint_root
 from fungo.sources import planners as pl, readers as r, sinks as s
+from fungo.sources.versions import VersionedTable
 
 c = F.col
 
@@ -188,11 +189,11 @@ def table_replace(t):
 
 @query("table_upsert", "select game_pk, case when game_pk % 3 = 0 then home_runs + 100 else home_runs end as home_runs from games_v where game_pk % 3 = 0 or game_pk % 5 <> 0")
 def table_upsert(t):
-    path = scratch(t, "upsert")
-    g = t.games_v.select("game_pk", "home_runs")
-    s.upsert(t.spark, path, g.filter("game_pk % 5 <> 0"), ["game_pk"])
-    s.upsert(t.spark, path, g.filter("game_pk % 3 = 0").withColumn("home_runs", c("home_runs") + 100), ["game_pk"])
-    return t.spark.read.parquet(path)
+    table = VersionedTable(t.spark, scratch(t, "upsert"), "season")
+    g = t.games_v.select("game_pk", "season", "home_runs")
+    table.upsert(g.filter("game_pk % 5 <> 0"), ["game_pk"])
+    table.upsert(g.filter("game_pk % 3 = 0").withColumn("home_runs", c("home_runs") + 100), ["game_pk"])
+    return table.read().drop("season")
 
 
 @query("append_log", "select season, count(*) as n from games_v group by season")
@@ -217,9 +218,8 @@ def registry_append(t):
     path = scratch(t, "registry")
     runs = t.games_v.groupBy("season").agg(F.count("*").alias("rows")).select(
         F.concat(F.lit("m"), (c("season") % 4).cast("string")).alias("model_id"), c("season").alias("last_season"), "rows")
-    s.upsert(t.spark, path, runs.filter("last_season <= 1998"), ["model_id"], ["last_season"])
-    s.upsert(t.spark, path, runs.filter("last_season > 1998"), ["model_id"], ["last_season"])
-    return t.spark.read.parquet(path)
+    s.registry_append(t.spark, path, runs.filter("last_season <= 1998"), order=["last_season"])
+    return s.registry_append(t.spark, path, runs.filter("last_season > 1998"), order=["last_season"]).read().drop("_all")
 
 
 # --- planners

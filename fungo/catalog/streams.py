@@ -6,7 +6,7 @@ from fungo.catalog import query
 from fungo.catalog.decisions import CAND, DECIDED, RULES_SQL, _KELLY, cents, rules
 from fungo.catalog.ingest import scratch
 from fungo.operators import decision as d
-from fungo.sources import sinks
+from fungo.sources.versions import VersionedTable
 from fungo.streaming import jobs, run
 
 c = F.col
@@ -90,8 +90,11 @@ def alert_stream(t):
 
 @query("alert_dedupe", "select distinct game_date, alert_type, home_team, away_team from alerts", _ACTX)
 def alert_dedupe(t):
-    out = run.drain(jobs.alert_dedupe(_alerts(t)).select("game_date", "alert_type", "home_team", "away_team"), scratch(t, "dedupe"))
-    return out.drop("_batch")
+    path = scratch(t, "dedupe")
+    table = VersionedTable(t.spark, f"{path}/alerts", "month")
+    alerts = _alerts(t).select(*jobs.ALERT_KEY, "ts", F.trunc("game_date", "month").alias("month"))
+    jobs.alert_dedupe(alerts, table, path)
+    return table.read().select(*jobs.ALERT_KEY)
 
 
 @query("alert_time_gate", """
@@ -107,21 +110,10 @@ select team, cast(case when s > 0 then n else -n end as bigint) as streak from (
     select *, case when s = lag(s) over (partition by team order by game_date, game_pk) then 0 else 1 end as chg from (select game_pk, team, game_date, case when run_diff > 0 then 1 else -1 end as s from team_games_v) a) b) c) d
 qualify row_number() over (partition by team order by game_date desc, game_pk desc) = 1""")
 def streak_replay(t):
-    """Snapshot of the seasons before 2001, newer games replayed from the stream."""
-    from fungo.operators import ordered as o
-    order = ["game_date", "game_pk"]
+    """All results of the stream, in whatever order their files come."""
     path = scratch(t, "streaks")
-    before = o.signed_streak(t.team_games_v.filter("season < 2001"), ["team"], order, "run_diff", inclusive=True)
-    sinks.replace_table(o.latest(before, ["team"], order, ["streak"]), f"{path}/table/v=-1")
-
-    def handle(batch, n):
-        old = t.spark.read.parquet(f"{path}/table/v={n - 1}")
-        sinks.replace_table(jobs.fold_streaks(old, batch.select("team", "run_diff", *order), order).withColumn("n", F.lit(n)), f"{path}/table/v={n}")
-
-    run.each_batch(_team_results(t).filter("season >= 2001"), path, handle)
-    versions = t.spark.read.parquet(f"{path}/table")
-    newest = versions.agg(F.max("v").alias("v"))
-    return versions.join(F.broadcast(newest), "v", "left_semi").select("team", "streak")
+    months = run.drain(jobs.month_runs(_team_results(t)), path, "update")
+    return jobs.streaks_of(run.latest_per_key(months, ["team", "month"]))
 
 
 @query("season_pct_replay", """
@@ -158,12 +150,13 @@ def pending_settlement(t):
 select game_pk, game_date, case when game_pk % 5 = 0 and game_date >= (select max(game_date) from games_v) - 21 then home_runs + 1 else home_runs end as home_runs from games_v""")
 def late_correction(t):
     path = scratch(t, "late")
-    table = f"{path}/games"
-    sinks.replace_table(t.games_v.select("game_pk", "game_date", "home_runs"), table)
+    table = VersionedTable(t.spark, f"{path}/games", "month")
+    month = F.trunc("game_date", "month").alias("month")
+    table.replace(t.games_v.select("game_pk", "game_date", "home_runs", month))
     newest = str(t.games_v.agg(F.max("game_date")).first()[0])
-    fixes = _results(t).filter("game_pk % 5 = 0").select("game_pk", "game_date", (c("home_runs") + 1).alias("home_runs"))
-    run.each_batch(fixes, path, lambda batch, n: jobs.apply_corrections(t.spark, table, batch, ["game_pk"], "game_date", newest))
-    return t.spark.read.parquet(table)
+    fixes = _results(t).filter("game_pk % 5 = 0").select("game_pk", "game_date", (c("home_runs") + 1).alias("home_runs"), month)
+    run.each_batch(fixes, path, lambda batch, n: jobs.apply_corrections(table, batch, ["game_pk"], "game_date", newest))
+    return table.read().drop("month")
 
 
 @query("snapshot_asof_stream", """

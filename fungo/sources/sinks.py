@@ -1,4 +1,4 @@
-"""Tables and reports on disk. Tables are plain parquet folders.
+"""Reports, logs, policies and plain tables on disk; tables that change by key are in ``versions``.
 
 A write that also reads its target goes through a checkpoint in the shared folder,
 never through a local copy, so a lost executor cannot leave half a table behind the
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fungo.operators import ordered
 from fungo.session import checkpoint_root
+from fungo.sources.versions import VersionedTable
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -29,27 +30,15 @@ def replace_table(df: DataFrame, path: str, reads_target: bool = False) -> None:
     (_detached(df) if reads_target else df).write.mode("overwrite").parquet(path)
 
 
-def keep_last(base: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """Insert or replace by key: the new row wins, then the last under ``order``."""
-    both = base.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    return ordered.latest(both, keys, ["_new", *order]).select(*base.columns)
-
-
-def upsert(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> None:
-    """Upsert into a parquet folder. A table format with MERGE would use ``DataFrame.mergeInto`` here."""
-    if not exists(spark, path):
-        first = ordered.latest(new, keys, [*order]) if order else new.dropDuplicates(list(keys))
-        replace_table(first.select(*new.columns), path)
-        return
-    replace_table(keep_last(spark.read.parquet(path), new, keys, order), path, reads_target=True)
-
-
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def registry_append(spark: SparkSession, path: str, entry: DataFrame, key: str = "model_id") -> None:
-    upsert(spark, path, entry, [key])
+def registry_append(spark: SparkSession, path: str, entry: DataFrame, key: str = "model_id", order: Sequence[str] = ()) -> VersionedTable:
+    """One row per model, the newest entry; a registry is one small partition."""
+    table = VersionedTable(spark, path, "_all")
+    table.upsert(entry.withColumn("_all", F.lit(0)), [key], order)
+    return table
 
 
 def refresh_partition(df: DataFrame, path: str, partition: str = "year") -> None:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, Window as W, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from fungo.functions import labels, odds
-from fungo.operators import decision as d, joins as j, ordered as o
-from fungo.sources import planners, sinks
+from fungo.operators import decision as d, joins as j
+from fungo.sources.versions import VersionedTable
+from fungo.streaming import run
 
 
 def quote_parts(quotes: DataFrame, length: str, slide: str | None = None) -> DataFrame:
@@ -35,9 +37,16 @@ def time_gate(alerts: DataFrame, first_hour: int = 10, last_hour: int = 23, leas
     return alerts.filter((hour >= first_hour) & (hour < last_hour) & (F.col("start_ts").isNull() | (minutes >= least_minutes)))
 
 
-def alert_dedupe(alerts: DataFrame, keys: Sequence[str] = ("game_date", "alert_type", "home_team", "away_team"), delay: str = "1 day") -> DataFrame:
-    """One alert per key while the watermark remembers it."""
-    return alerts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
+ALERT_KEY = ("game_date", "alert_type", "home_team", "away_team")
+
+
+def alert_dedupe(alerts: DataFrame, table: VersionedTable, path: str, keys: Sequence[str] = ALERT_KEY) -> None:
+    """One alert per key in ``table``, the one of the smallest event time, whatever order they arrive in.
+
+    No watermark, so nothing is ever too late; a repeated batch changes nothing. The
+    table's partition column must be of the alerts.
+    """
+    run.each_batch(alerts, path, lambda batch, n: table.first_wins(batch, keys, ["ts", *keys]))
 
 
 def alert_stream(quotes: DataFrame, games: DataFrame, rules: DataFrame, bankroll: float, frac: float = 0.25, cap: float = 0.05,
@@ -63,19 +72,54 @@ def alert_stream(quotes: DataFrame, games: DataFrame, rules: DataFrame, bankroll
     return staked.withColumn("alert_type", F.explode(kinds))
 
 
-def fold_streaks(state: DataFrame, batch: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Streaks after a batch of newer games: the batch's own run, joined to the old one if it fills the batch.
+class SliceOfResults(StatefulProcessor):
+    """Keeps the results of one team and month, and sends on the runs at both ends of the month.
 
-    ``state`` has team and streak, ``batch`` team, run_diff and the order columns.
+    A month of one team has few games, so the state of a key is small, and months are
+    disjoint in time, so their runs can be joined in any order of arrival.
     """
-    after = o.signed_streak(batch, ["team"], order, "run_diff", "_run", inclusive=True)
-    new = o.latest(after, ["team"], order, ["_run"]).join(
-        batch.groupBy("team").agg(F.count("run_diff").alias("_n"), F.count_if(F.col("run_diff") > 0).alias("_w")), "team")
-    both = state.join(new, "team", "full")
-    old = F.coalesce("streak", F.lit(0).cast("long"))
-    whole = ((F.col("_w") == F.col("_n")) & (old > 0)) | ((F.col("_w") == 0) & (old < 0))
-    streak = F.when(F.col("_n").isNull() | (F.col("_n") == 0), old).when(whole, old + F.col("_run")).otherwise(F.col("_run"))
-    return both.select("team", streak.cast("long").alias("streak"))
+
+    def init(self, handle) -> None:
+        self.games = handle.getMapState("games", "game_date date, game_pk long", "won boolean")
+
+    def handleInputRows(self, key, rows, timer_values):  # noqa: N802
+        for r in rows:
+            if r.run_diff is not None:
+                self.games.updateValue((r.game_date, r.game_pk), (r.run_diff > 0,))
+        won = [w for _, w in sorted((tuple(k), v[0]) for k, v in self.games.iterator())]
+        if won:
+            tail = next((i for i, w in enumerate(reversed(won)) if w != won[-1]), len(won))
+            yield Row(team=key[0], month=key[1], games=len(won), tail=tail, won_last=won[-1])
+
+    def close(self) -> None:
+        pass
+
+
+def month_runs(results: DataFrame) -> DataFrame:
+    """Per team and month of a stream of results the number of games and the run that ends it (update mode).
+
+    ``results`` has team, game_date, game_pk and run_diff; rows may come in any order and
+    more than once.
+    """
+    # keyed state of several values needs the store that keeps columns
+    results.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = results.select("team", F.trunc("game_date", "month").alias("month"), "game_date", "game_pk", "run_diff")
+    return keyed.groupBy("team", "month").transformWithState(
+        SliceOfResults(), "team int, month date, games long, tail long, won_last boolean", "Update", "None")
+
+
+def streaks_of(months: DataFrame) -> DataFrame:
+    """Signed streak per team after its last game, from ``month_runs``.
+
+    A month that is one run joins the run before it. There is a row per team and month.
+    """
+    w = W.partitionBy("team").orderBy("month")
+    back = W.partitionBy("team").orderBy(F.desc("month"))
+    breaks = (F.col("tail") < F.col("games")) | F.lag("won_last").over(w).isNull() | (F.lag("won_last").over(w) != F.col("won_last"))
+    # the last run reaches back to the newest month that does not join the one before
+    rows = months.withColumn("_b", breaks.cast("int")).withColumn("_later", F.coalesce(F.sum("_b").over(back.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    last = rows.filter("_later = 0").groupBy("team").agg(F.sum("tail").alias("n"), F.max_by("won_last", "month").alias("won"))
+    return last.select("team", F.when(F.col("won"), F.col("n")).otherwise(-F.col("n")).cast("long").alias("streak"))
 
 
 def season_pct(games: DataFrame) -> DataFrame:
@@ -112,10 +156,12 @@ def _settled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("won", won).withColumn("pnl", odds.pnl(F.col("stake"), F.col("odds"), F.col("won")))
 
 
-def apply_corrections(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], day: str, newest: str, horizon: int = 21) -> None:
-    """Replace re-fetched keys in a table; corrections older than the horizon are left out."""
-    fresh = batch.filter(F.col(day) >= F.date_sub(F.lit(newest).cast("date"), horizon))
-    sinks.replace_table(planners.replace_by_fetched_keys(spark.read.parquet(path), fresh, keys), path, reads_target=True)
+def apply_corrections(table: VersionedTable, batch: DataFrame, keys: Sequence[str], day: str, newest: str, horizon: int = 21) -> None:
+    """Replace re-fetched keys in a table; corrections older than the horizon are left out.
+
+    Only partitions with corrections are written, so with a table by month at most three are.
+    """
+    table.replace_keys(batch.filter(F.col(day) >= F.date_sub(F.lit(newest).cast("date"), horizon)), keys)
 
 
 def fresh_or_monthly(asks: DataFrame, live: DataFrame, monthly: DataFrame, value: str, days: int = 14) -> DataFrame:

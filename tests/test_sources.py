@@ -9,7 +9,6 @@ from fungo.functions import labels, names, odds
 from fungo.ml import blend, metrics
 from fungo.operators import decision as d
 from fungo.sources import readers as r, sinks as s
-from fungo.streaming import jobs
 
 
 @pytest.mark.parametrize("raw, want", [
@@ -36,14 +35,14 @@ def test_text_lines_keep_their_order(spark, tmp_path):
     assert [(x["game_id"], x["f3"]) for x in out] == [("NYA202404050", "a"), ("BOS202404060", "b")]
 
 
-def test_upsert_append_refresh(spark, tmp_path):
-    path = str(tmp_path / "t")
-    make = lambda rows: spark.createDataFrame(rows, "k int, v string")
-    s.upsert(spark, path, make([(1, "a"), (2, "b")]), ["k"])
-    s.upsert(spark, path, make([(2, "c"), (3, "d")]), ["k"])
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
-    s.append_log(make([(9, "z")]), path)
-    assert spark.read.parquet(path).count() == 4
+def test_append_and_registry(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "model_id string, v int")
+    for rows in ([("a", 1)], [("a", 1)]):
+        s.append_log(make(rows), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    s.registry_append(spark, str(tmp_path / "r"), make([("a", 1), ("b", 2), ("b", 3)]), order=["v"])
+    table = s.registry_append(spark, str(tmp_path / "r"), make([("b", 0), ("c", 4)]))
+    assert sorted((r.model_id, r.v) for r in table.read().collect()) == [("a", 1), ("b", 0), ("c", 4)]
 
 
 @pytest.mark.parametrize("bucket, phase, want", [("x", "late", 1.0), ("x", "mid", 2.0), ("y", "early", 3.0), ("y", "mid", 4.0), (None, "mid", None)])
@@ -70,13 +69,6 @@ def test_auc_identities(spark):
     assert all(x["b"] == pytest.approx(x["p"]) for x in alone.collect())
 
 
-def test_streaks_fold_over_batches(spark):
-    state = spark.createDataFrame([("A", 3), ("B", -2), ("C", 1)], "team string, streak long")
-    rows = [("A", 1, 2), ("A", 2, 1), ("B", 1, 4), ("B", 2, -1), ("D", 1, -1)]
-    out = jobs.fold_streaks(state, spark.createDataFrame(rows, "team string, n int, run_diff int"), ["n"])
-    assert {x["team"]: x["streak"] for x in out.collect()} == {"A": 5, "B": -1, "C": 1, "D": -1}
-
-
 def test_labels(spark):
     df = spark.createDataFrame([("1 2 x 3 4 5 6 7 8 9 10",)], "ids string")
     assert df.select(labels.split_ids(F.col("ids"))).first()[0] == list(range(1, 10))

@@ -24,11 +24,16 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-STREAMS = ("quote_windows_tumbling", "quote_windows_sliding", "alert_stream", "alert_time_gate", "season_pct_replay", "pending_settlement", "late_correction", "snapshot_asof_stream")
+STREAMS = ("quote_windows_tumbling", "quote_windows_sliding", "alert_stream", "alert_time_gate", "season_pct_replay", "pending_settlement", "late_correction", "snapshot_asof_stream",
+           "alert_dedupe", "streak_replay")
 
 
+@pytest.mark.parametrize("each", [None, 1])
 @pytest.mark.parametrize("name", STREAMS)
-def test_folder_tables(spark, folder, name):
+def test_folder_tables(spark, folder, name, each, monkeypatch):
+    """All files in one batch, or one file a batch with the newest rows first."""
+    read = run.file_stream
+    monkeypatch.setattr(run, "file_stream", lambda spark, folder, table, schema: read(spark, folder, table, schema, each))
     df = catalog.QUERIES[name](spark, folder)
     cur = connect(SF).execute(catalog.ORACLE[name])
     names = [d[0] for d in cur.description]
