@@ -96,6 +96,19 @@ def impact_form(t):
     return plays.impact_form(t.staffed_games_v, fine)
 
 
+def _variant_sql(name, lengths):
+    n, m, d = lengths
+    text = _IMPACT.replace("between 15 preceding", f"between {n} preceding").replace(">= 5 then", f">= {max(3, n // 3)} then").replace("between 3 preceding", f"between {m} preceding")
+    text = text.replace(">= 2 then", f">= {max(2, m // 2)} then").replace("interval 15 days", f"interval {d} days")
+    return f"select '{name}' as variant, * from ({text}) v_{name}"
+
+
+@query("impact_variants", " union all ".join(_variant_sql(n, v) for n, v in plays.VARIANTS.items()), _PCTX)
+def impact_variants(t):
+    fine = Shelf(t.spark).put("values", plays.summed_values(_values(t)), ["game_pk"])
+    return plays.impact_variants(t.staffed_games_v, fine)
+
+
 # --- team form
 
 _FORM_ROWS = """

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 BLOCK_ROWS = 65_536
 
@@ -125,6 +125,22 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out.withColumns({n: F.col(f"_prev.{n}") for n in cols}).drop("_prev")
 
 
+def _in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], span: int, cell: str | None, block_rows: int,
+               source: DataFrame | None, position: str | None) -> DataFrame:
+    """Rows with their 0-based place ``_at`` and ``_block``; a block also has the ``span`` rows before it, not ``_own``."""
+    size = max(block_rows, span)
+    at = F.col("_at")
+    own, nxt = F.floor(at / size), F.floor(at / size) + 1
+    homes = F.when(
+        at % size >= size - span,
+        F.array(F.struct(own.alias("_block"), F.lit(True).alias("_own")),
+                F.struct(nxt.alias("_block"), F.lit(False).alias("_own"))),
+    ).otherwise(F.array(F.struct(own.alias("_block"), F.lit(True).alias("_own"))))
+    if position is None:
+        df = ranked(df, keys, order, "_pos", cell, source)
+    return df.withColumn("_at", F.col(position or "_pos") - 1).select("*", F.inline(homes))
+
+
 def rolling_prior(
     df: DataFrame,
     keys: Sequence[str],
@@ -143,18 +159,7 @@ def rolling_prior(
     towards ``min_periods``. All frames share one sort. ``position`` names a column
     that already holds the row's 1-based place in its key.
     """
-    span = max(n for _, _, n, _ in aggs.values())
-    size = max(block_rows, span)
-    at = F.col("_at")
-    own, nxt = F.floor(at / size), F.floor(at / size) + 1
-    homes = F.when(
-        at % size >= size - span,
-        F.array(F.struct(own.alias("_block"), F.lit(True).alias("_own")),
-                F.struct(nxt.alias("_block"), F.lit(False).alias("_own"))),
-    ).otherwise(F.array(F.struct(own.alias("_block"), F.lit(True).alias("_own"))))
-    if position is None:
-        df = ranked(df, keys, order, "_pos", cell, source)
-    placed = df.withColumn("_at", F.col(position or "_pos") - 1).select("*", F.inline(homes))
+    placed = _in_blocks(df, keys, order, max(n for _, _, n, _ in aggs.values()), cell, block_rows, source, position)
     w = W.partitionBy(*keys, "_block").orderBy("_at")
     fns = {"avg": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     outs = {}
@@ -165,19 +170,54 @@ def rolling_prior(
     return placed.withColumns(outs).filter("_own").drop("_pos", "_at", "_block", "_own")
 
 
+def prefix_frames(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    frames: Mapping[str, tuple[int, int]],
+    cell: str | None = None,
+    block_rows: int = BLOCK_ROWS,
+    source: DataFrame | None = None,
+    position: str | None = None,
+) -> DataFrame:
+    """Means of ``value`` over any number of frames of earlier rows, from one running sum.
+
+    ``frames`` maps an output name to (n, min_periods): the last n rows before the current
+    one. The rows of a block are summed once; a frame is the running sum one row back less
+    the one n rows further back, so a row costs two lookups per frame, not n additions.
+    The value must be an integer or a decimal, so that differences of sums are exact.
+    """
+    placed = _in_blocks(df, keys, order, max(n for n, _ in frames.values()), cell, block_rows, source, position)
+    w = W.partitionBy(*keys, "_block").orderBy("_at")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    kind = df.schema[value].dataType
+    # a digit less than the most, so that a difference keeps its scale
+    total_kind = T.DecimalType(37, kind.scale) if isinstance(kind, T.DecimalType) else T.LongType()
+    summed = placed.withColumns({"_s": F.coalesce(F.sum(value).over(upto), F.lit(0)).cast(total_kind), "_c": F.count(value).over(upto)})
+    back = lambda c, n: F.coalesce(F.lag(c, n).over(w), F.lit(0).cast(total_kind if c == "_s" else "bigint"))
+    outs = {}
+    for name, (n, least) in frames.items():
+        total, count = back("_s", 1) - back("_s", n + 1), back("_c", 1) - back("_c", n + 1)
+        outs[name] = F.when(count >= max(least, 1), total.cast("double") / count)
+    return summed.withColumns(outs).filter("_own").drop("_pos", "_at", "_block", "_own", "_s", "_c")
+
+
 def calendar_range(df: DataFrame, keys: Sequence[str], day: str,
-                   aggs: Mapping[str, tuple[str, str | Column]], days: int) -> DataFrame:
+                   aggs: Mapping[str, tuple], days: int = 0) -> DataFrame:
     """One row per (key, day) with aggregates over the days [day - days, day).
 
-    ``aggs`` maps an output name to (sum | count | avg, column).
+    ``aggs`` maps an output name to (sum | count | avg, column), or with a number of days
+    of its own as a third entry; all share one sort.
     """
     per_day = df.groupBy(*keys, day).agg(
-        *[F.sum(_col(c)).alias(f"_s_{n}") for n, (_, c) in aggs.items()],
-        *[F.count(_col(c)).alias(f"_n_{n}") for n, (_, c) in aggs.items()],
+        *[F.sum(_col(g[1])).alias(f"_s_{n}") for n, g in aggs.items()],
+        *[F.count(_col(g[1])).alias(f"_n_{n}") for n, g in aggs.items()],
     )
-    w = W.partitionBy(*keys).orderBy(F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))).rangeBetween(-days, -1)
+    ordered = W.partitionBy(*keys).orderBy(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")))
     outs = []
-    for n, (fn, _) in aggs.items():
+    for n, (fn, _, *own) in aggs.items():
+        w = ordered.rangeBetween(-(own[0] if own else days), -1)
         total, count = F.sum(f"_s_{n}").over(w), F.sum(f"_n_{n}").over(w)
         outs.append({"sum": total, "count": F.coalesce(count, F.lit(0)),
                      "avg": total / F.nullif(count, F.lit(0))}[fn].alias(n))

@@ -123,3 +123,21 @@ def test_quota(spark):
     out = p.quota_topk(df, ["day"], "roi", "id", F.col("ok"))
     assert sorted(r["id"] for r in out.filter("selected").collect()) == [6, 8, 10]
     assert out.count() == 11
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_prefix_frames_equal_plain_windows(spark, block):
+    rng = random.Random(block)
+    rows = [(rng.choice("ab"), i, None if rng.random() < 0.2 else rng.randint(-10**6, 10**6)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, n int, x long").withColumn("d", (F.col("x") / 1000).cast("decimal(28,8)"))
+    frames = {"f1": (1, 1), "f4": (4, 2), "f15": (15, 15), "f300": (300, 0)}
+    for value in ("x", "d"):
+        got = {(r.k, r.n): r for r in o.prefix_frames(df, ["k"], ["n"], value, frames, block_rows=block).collect()}
+        assert len(got) == 200
+        for k in "ab":
+            own = sorted((n, x) for kk, n, x in rows if kk == k)
+            for i, (n, _) in enumerate(own):
+                for name, (size, least) in frames.items():
+                    seen = [x for _, x in own[max(0, i - size):i] if x is not None]
+                    want = sum(seen) / len(seen) / (1 if value == "x" else 1000) if len(seen) >= max(least, 1) else None
+                    assert got[k, n][name] == (None if want is None else pytest.approx(want, rel=1e-12))
