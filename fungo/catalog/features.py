@@ -57,9 +57,9 @@ select *, sum(runs_scored) over (partition by game_pk, batting_side) - coalesce(
 _PCTX = {"full_plays": _FULL, "vals": _VALUES}
 
 
-def _values(t, season=None, plays_v=None):
+def _values(t, season=None, plays_v=None, shelf=None):
     df = (t.impact_plays_v if plays_v is None else plays_v).withColumn("_cell", F.floor(c("play") / 16))
-    return plays.play_values(df, ["game_pk", "batting_side"], ["play", "batter", "pitcher_id"], season, cell=c("_cell"))
+    return plays.play_values(df, ["game_pk", "batting_side"], ["play", "batter", "pitcher_id"], season, cell=c("_cell"), shelf=shelf)
 
 
 @query("run_expectancy_deltas", "select game_pk, play, batter, pitcher_id, re_before, re_after, offense_re24, -offense_re24 as pitching_re24 from vals", _PCTX)
@@ -92,7 +92,8 @@ left join bp b1 on b1.team = g.home_team and b1.game_date = g.game_date left joi
 
 @query("impact_form", "select * from (" + _IMPACT + ") z", _PCTX)
 def impact_form(t):
-    fine = Shelf(t.spark).put("values", plays.summed_values(_values(t)), ["game_pk"])
+    shelf = Shelf(t.spark)
+    fine = shelf.put("values", plays.summed_values(_values(t, shelf=shelf)), ["game_pk"], dealt=True)
     return plays.impact_form(t.staffed_games_v, fine)
 
 
@@ -105,7 +106,8 @@ def _variant_sql(name, lengths):
 
 @query("impact_variants", " union all ".join(_variant_sql(n, v) for n, v in plays.VARIANTS.items()), _PCTX)
 def impact_variants(t):
-    fine = Shelf(t.spark).put("values", plays.summed_values(_values(t)), ["game_pk"])
+    shelf = Shelf(t.spark)
+    fine = shelf.put("values", plays.summed_values(_values(t, shelf=shelf)), ["game_pk"], dealt=True)
     return plays.impact_variants(t.staffed_games_v, fine)
 
 
@@ -425,7 +427,7 @@ def build_full(t, shelf=None):
     pf = shelf.put("factors", a.park_factor(games), ["team", "season"])
     splits = shelf.put("splits", t.sql(_SPLITS, dated_appearances_v=apps), ["team", "season"])
     stats = t.sql(VIEWS["pitcher_stats_v"], dated_appearances_v=apps)
-    fine = shelf.put("values", plays.summed_values(_values(t, plays_v=t.sql(VIEWS["impact_plays_v"], games_v=games))), ["game_pk"])
+    fine = shelf.put("values", plays.summed_values(_values(t, plays_v=t.sql(VIEWS["impact_plays_v"], games_v=games), shelf=shelf)), ["game_pk"], dealt=True)
     ops = a.weighted_mean(splits.withColumn("team_ops", c("ops_vs_lhp")), ["team", "season"], ["team_ops"], "pa_vs_lhp")
     team_ops = shelf.put("team_ops", batting.prior_season_attach(g, ops, ["team_ops"]), ["game_pk"], dealt=True)
     hand = lambda s: F.when(c(f"{s}_sp_id") % 3 == 0, "L").when(c(f"{s}_sp_id") % 3 == 1, "R")
