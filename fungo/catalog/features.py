@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from fungo.catalog import ORACLE, query
-from fungo.catalog.ingest import _EV_OUTS, _EV_RUNS, event_lines
+from fungo.catalog.ingest import _EV, _EV_OUTS, _EV_RUNS, event_lines
 from fungo.functions import geo, teams
+from fungo.functions.plays import outs_on_play
 from fungo.operators import aggregates as a
 from fungo.operators.ordered import first_n_array
 from fungo.operators.project import ZERO_ENDINGS
@@ -30,13 +31,72 @@ def pivot(cols, src, alias=None):
 
 # --- play-by-play
 
-@query("play_by_play_states")
+def _states_sql(plays_sql, columns, most=4):
+    """States by recursion over the plays of a half, one play of every half a step.
+
+    ``plays_sql`` gives half, hn (1, 2, ... in the half), batter, ev, outs_made and ``columns``.
+    """
+    kind = "trim(regexp_extract(ev, '^([^./]*)', 1))"
+    begins = lambda *hs: "(" + " or ".join(f"starts_with(kind, '{h}')" for h in hs) + ")"
+    steps = (f"case when {begins('HR')} then 4 when {begins('T')} and not {begins('TP')} then 3 when {begins('D')} and not {begins('DI')} then 2 "
+             f"when {begins('S')} and not {begins('SB')} then 1 when {begins('E', 'FC')} then 1 else 0 end")
+    adv = ", ".join(f"regexp_extract(trim(coalesce(string_split(regexp_extract(ev, '^[^.]*\\.(.*)$', 1), ';')[{k}], '')), '^[B123][-X][123H]') as m{k}" for k in range(1, most + 1))
+    parsed = f"select *, {steps} as steps, ({begins('W', 'IW', 'HP')} and not {begins('WP')}) as walk, {adv} from (select *, {kind} as kind from ({plays_sql}) p0) p1"
+    people = lambda *xs: f"list_distinct(list_filter([{', '.join(xs)}], lambda x: x is not null))"
+    case = lambda *vs: "case steps " + " ".join(f"when {4 - i} then {v}" for i, v in enumerate(vs[:4])) + f" else case when walk then {vs[4]} else {vs[5]} end end"
+    none = "null::varchar"
+    full = "s1 is not null and s2 is not null"
+    step = f"""select *, {case(none, none, none, 'batter', 'batter', 's1')} as n1, {case(none, none, 'batter', 's1', 'case when s1 is not null then s1 else s2 end', 's2')} as n2,
+ {case(none, 'batter', 's1', 's2', f'case when {full} then s2 else s3 end', 's3')} as n3,
+ {case(people('batter', 's1', 's2', 's3'), people('s1', 's2', 's3'), people('s2', 's3'), people('s3'), f'case when {full} then ' + people('s3') + ' else []::varchar[] end', '[]::varchar[]')} as sc
+ from (select st.b1 as s1, st.b2 as s2, st.b3 as s3, st.outs as ob, st.runs + st.scored as so_far, p.* from st join parsed p on p.half = st.half and p.hn = st.hn + 1) q0"""
+    for k in range(1, most + 1):
+        m = f"m{k}"
+        who = f"case {m}[1] when 'B' then batter when '1' then s1 when '2' then s2 when '3' then s3 end"
+        base = lambda i: f"case when who is null then n{i} when {m}[2] = '-' and {m}[3] = '{i}' then who when n{i} = who then null else n{i} end as n{i}"
+        rest = "list_filter(sc, lambda x: x <> who)"
+        step = (f"select * replace ({base(1)}, {base(2)}, {base(3)}, case when who is null then sc when {m}[2] = '-' and {m}[3] = 'H' then list_append({rest}, who) else {rest} end as sc) "
+                f"from (select * {'' if k == 1 else 'exclude (who)'}, {who} as who from ({step}) x{k}) y{k}")
+    out = "least(3, ob + outs_made)"
+    left = [f"case when {out} < 3 then n{i} end as b{i}" for i in (1, 2, 3)]
+    key = lambda o, bs: f"{o} || '_' || (" + " + ".join(f"case when {b} is not null then {2 ** i} else 0 end" for i, b in enumerate(bs)) + ")"
+    final = f"select half, hn, {', '.join(left)}, {out} as outs, so_far as runs, len(sc) as scored, {key('ob', ['s1', 's2', 's3'])} as before, ob from ({step}) z"
+    rec = f"""with recursive parsed as materialized ({parsed}),
+st as (select distinct half, 0::bigint as hn, {none} as b1, {none} as b2, {none} as b3, 0 as outs, 0::bigint as runs, 0::bigint as scored, '' as before, 0 as ob from parsed union all {final})
+select {columns}, before as state_before, {key('outs', ['b1', 'b2', 'b3'])} as state_after, ob::int as outs_before, outs::int as outs_after, scored::int as runs_scored, runs::int as runs_before
+from st join parsed p on p.half = st.half and p.hn = st.hn"""
+    return f"select * from ({rec}) final_states"
+
+
+_EVENT_OUTS = f"{_EV_OUTS}[(l_partkey + l_suppkey) % 10 + 1]"
+_EVENT_TEXT = "[" + ", ".join(f"'{x}'" for x in _EV) + "][(l_partkey + l_suppkey) % 10 + 1]"
+
+
+@query("play_by_play_states", _states_sql(f"""
+select *, game_id || '/' || half_seq as half, row_number() over (partition by game_id, half_seq order by line) as hn from (
+ select *, cast(sum(chg) over (partition by game_id order by line rows unbounded preceding) - 1 as int) as half_seq from (
+  select *, case when lag(inning || '/' || side) over (partition by game_id order by line) = inning || '/' || side then 0 else 1 end as chg from (
+   select 'NYA1999' || lpad((l_orderkey % 12 + 1)::varchar, 2, '0') || lpad((l_orderkey % 28 + 1)::varchar, 2, '0') || l_orderkey as game_id, (l_linenumber::bigint * 2 + l_suppkey % 2) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 + 100 as line,
+    l_linenumber as inning, l_suppkey % 2 as side, 'b' || l_partkey as batter, {_EVENT_TEXT} as ev, {_EVENT_OUTS} as outs_made from lineitem where l_orderkey in (select o_orderkey from orders)) a) b) c""", "game_id, half_seq, line"))
 def play_by_play_states(t):
-    """No SQL: runner movement is a fold. Tested on hand-made games."""
     out = plays.base_states(event_file_scan(event_lines(t)))
     return out.select("game_id", "half_seq", "line", "state_before", "state_after", "outs_before", "outs_after", "runs_scored", "runs_before")
 
 
+@query("half_inning_states", _states_sql(f"""
+select *, game || '/' || half_seq as half, row_number() over (partition by game, half_seq order by place, part, supp) as hn from (
+ select l_orderkey // 40 as game, cast(l_orderkey % 40 // 5 as int) as half_seq, l_orderkey * 8 + l_linenumber as place, l_partkey as part, l_suppkey as supp, 'b' || l_partkey as batter, {_EVENT_TEXT} as ev, {_EVENT_OUTS} as outs_made from lineitem) a""",
+    "game, half_seq, place, part, supp"))
+def half_inning_states(t):
+    """Half innings of some twenty plays: the lines of five orders."""
+    ev = F.element_at(F.array(*[F.lit(x) for x in _EV]), ((c("l_partkey") + c("l_suppkey")) % len(_EV)).cast("int") + 1)
+    rows = t.lineitem.select(F.floor(c("l_orderkey") / 40).cast("bigint").alias("game"), F.floor(c("l_orderkey") % 40 / 5).cast("int").alias("half_seq"),
+                             (c("l_orderkey") * 8 + c("l_linenumber")).alias("place"), c("l_partkey").alias("part"), c("l_suppkey").alias("supp"),
+                             F.concat(F.lit("b"), c("l_partkey").cast("string")).alias("batter_id"), ev.alias("event"))
+    out = plays.half_inning_states(rows.withColumn("outs_made", outs_on_play(c("event"))), ["game", "half_seq"], ["place", "part", "supp"])
+    return out.drop("batter_id", "event", "outs_made")
+
+
 @query("event_pitcher_logs", f"""
 select o_orderkey as block, s.side as team_side, case when s.side = 0 then 'a' || o_orderkey % 50 else 'h' || o_orderkey % 60 end as pitcher_id,
  cast(coalesce(x.outs, 0) as bigint) as outs_recorded, cast(coalesce(x.runs, 0) as bigint) as runs_allowed, 'u' || o_orderkey % 97 as ump_name, 'NYY' as home_team, 'CHC' as away_team
