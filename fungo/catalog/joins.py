@@ -153,14 +153,14 @@ def id_crosswalk_join(t):
 
 
 @query("result_match_join", """
-select g.game_pk, case when g.home_runs > g.away_runs then g.home_team else g.away_team end as winner from games_v g where g.game_number = 1 and g.game_pk % 3 = 0
-union all select game_pk, null from games_v where game_number = 1 and game_pk % 3 <> 0""")
+select g.game_pk, case when g.home_runs > g.away_runs then g.home_team else g.away_team end as winner from games_v g where g.game_pk % 3 = 0
+union all select game_pk, null from games_v where game_pk % 3 <> 0""")
 def result_match_join(t):
-    g = t.games_v.filter("game_number = 1")
+    g = t.games_v
     text = lambda x: c(x).cast("string")
-    bets = g.select("game_pk", "game_date", F.concat_ws(" @ ", text("away_team"), text("home_team")).alias("matchup"))
+    bets = g.select("game_pk", "game_date", "game_number", F.concat_ws(" @ ", text("away_team"), text("home_team")).alias("matchup"))
     finals = g.filter("game_pk % 3 = 0").select(
-        "game_date", text("home_team").alias("home"), text("away_team").alias("away"),
+        "game_date", "game_number", text("home_team").alias("home"), text("away_team").alias("away"),
         F.when(c("home_runs") > c("away_runs"), c("home_team")).otherwise(c("away_team")).alias("winner"))
     return j.result_match_join(bets, finals).select("game_pk", "winner")
 

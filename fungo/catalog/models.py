@@ -26,11 +26,11 @@ def feature_table(t):
 
 @query("walk_forward_split", """
 select y.season as test_season, (select count(*) from games_v g where g.season < y.season) as train_games, (select count(*) from games_v g where g.season = y.season) as test_games
-from (select distinct season from games_v where season >= 1998) y""")
+from (select distinct season from games_v where season >= (select min(season) from games_v) + 3) y""")
 def walk_forward_split(t):
     g = t.games_v.groupBy("season").agg(F.count("*").alias("n"))
     parts = None
-    for y in (1998, 1999, 2000, 2001):
+    for y in splits.test_seasons(g, least=3):
         tr, te = splits.walk_forward_split(g, "season", y)
         row = tr.agg(F.lit(y).alias("test_season"), F.sum("n").alias("train_games")).withColumn("test_games", te.agg(F.sum("n").alias("n")).scalar())
         parts = row if parts is None else parts.unionByName(row)
@@ -61,17 +61,20 @@ def standardize(t):
 
 @query("logistic_regression")
 def logistic_regression(t):
-    return train.walk_forward(feature_table(t), [2000, 2001], train.logistic(FEATURES, weight="_w")).select("game_pk", "season", "p")
+    df = feature_table(t)
+    return train.walk_forward(df, splits.test_seasons(df, least=3), train.logistic(FEATURES, weight="_w")).select("game_pk", "season", "p")
 
 
 @query("gradient_boosting")
 def gradient_boosting(t):
-    return train.walk_forward(feature_table(t), [2001], train.boosted_trees(FEATURES, weight="_w", trees=10)).select("game_pk", "season", "p")
+    df = feature_table(t)
+    return train.walk_forward(df, splits.test_seasons(df, least=3), train.boosted_trees(FEATURES, weight="_w", trees=10)).select("game_pk", "season", "p")
 
 
 @query("isotonic_calibration")
 def isotonic_calibration(t):
-    tr, te = splits.walk_forward_split(feature_table(t), "season", 2001)
+    df = feature_table(t)
+    tr, te = splits.walk_forward_split(df, "season", splits.test_seasons(df)[-1])
     return train.calibrated(train.logistic(FEATURES), tr, te, ["game_date", "game_pk"]).select("game_pk", "p")
 
 
@@ -123,7 +126,7 @@ def blend_grid(t):
 @query("stacking")
 def stacking(t):
     wide = t.market_v.select("game_pk", "season", c("home_win").cast("double").alias("home_win"), "p_model", "p_market", ((c("p_model") + c("p_market")) / 2).alias("equal"))
-    return train.stacking(wide, ["p_model", "p_market"], [1998, 1999, 2000, 2001], "equal").select("game_pk", "season", "p")
+    return train.stacking(wide, ["p_model", "p_market"], splits.test_seasons(wide, least=3), "equal").select("game_pk", "season", "p")
 
 
 _MET = f"""
@@ -154,20 +157,21 @@ def calibration_curve(t):
 @query("feature_importance")
 def feature_importance(t):
     df = feature_table(t)
-    model = train.boosted_trees(FEATURES, trees=10).fit(df.filter("season < 2001"))
+    model = train.boosted_trees(FEATURES, trees=10).fit(splits.walk_forward_split(df, "season", splits.test_seasons(df)[-1])[0])
     return train.feature_importance(model, FEATURES, df)
 
 
 @query("ablation")
 def ablation(t):
     configs = {"none": [], "meetings": ["h2h_home_win_rate"], "both": ["h2h_home_win_rate", "streak_diff"]}
-    return train.ablation(feature_table(t), configs, FEATURES, ["h2h_home_win_rate", "streak_diff"], [2001], confirm=1)
+    df = feature_table(t)
+    return train.ablation(df, configs, FEATURES, ["h2h_home_win_rate", "streak_diff"], splits.test_seasons(df, least=4), confirm=1)
 
 
 @query("market_comparison")
 def market_comparison(t):
     df = feature_table(t).join(t.odds_v.select("game_pk", F.when(c("game_pk") % 4 != 0, c("p_market")).alias("market")), "game_pk")
-    return train.market_comparison(df, FEATURES, "market", 2001)
+    return train.market_comparison(df, FEATURES, "market", splits.test_seasons(df)[-1])
 
 
 @query("batch_scoring")
@@ -178,7 +182,8 @@ def batch_scoring(t):
     from fungo.plans import scoring
 
     cols = ["rd_diff", "rs_diff", "last7_rd_diff", "streak_diff"]
-    model = train.logistic(cols).fit(feature_table(t).filter("season < 2001"))
+    df = feature_table(t)
+    model = train.logistic(cols).fit(splits.walk_forward_split(df, "season", splits.test_seasons(df)[-1])[0])
     raw = scoring.matchup_rows(t.sql(_REQ), t.games_v, t.snapshots_v, t.dated_appearances_v.filter("is_starter = 0"), teams.parks(t.spark))
     diff = lambda x: F.coalesce((c(f"home_{x}") - c(f"away_{x}")).cast("double"), F.lit(0.0))
     rows = raw.select("game_pk", diff("rolling_rd").alias("rd_diff"), diff("rolling_rs").alias("rs_diff"), diff("last7_rd").alias("last7_rd_diff"), diff("streak").alias("streak_diff"))
@@ -189,9 +194,10 @@ def batch_scoring(t):
 def model_io(t):
     path = scratch(t, "model")
     df = feature_table(t)
-    train.save_model(train.logistic(FEATURES).fit(df.filter("season < 2001")), path)
+    before, last = splits.walk_forward_split(df, "season", splits.test_seasons(df)[-1])
+    train.save_model(train.logistic(FEATURES).fit(before), path)
     loaded = train.load_model(path)
-    return train.score(loaded, df.filter("season = 2001").select("game_pk", *train.feature_list(loaded))).select("game_pk", "p")
+    return train.score(loaded, last.select("game_pk", *train.feature_list(loaded))).select("game_pk", "p")
 
 
 @query("artifact_manifest", """

@@ -14,6 +14,11 @@ def walk_forward_split(df: DataFrame, season: str, test: int) -> tuple[DataFrame
     return df.filter(F.col(season) < test), df.filter(F.col(season) == test)
 
 
+def test_seasons(df: DataFrame, season: str = "season", least: int = 1) -> list[int]:
+    """Seasons of the data that have at least ``least`` seasons before them; a value a season comes to the driver."""
+    return sorted(r[0] for r in df.select(season).where(F.col(season).isNotNull()).distinct().collect())[least:]
+
+
 def time_series_folds(df: DataFrame, order: Sequence[str], k: int, name: str = "fold") -> DataFrame:
     """k expanding folds over rows in time order: the fold a row is tested in, -1 for the first stretch.
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import functools
 import itertools
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -20,6 +23,8 @@ from fungo.ml.splits import time_series_folds, walk_forward_split
 from fungo.operators import aggregates as a
 from fungo.operators.decision import exact_sum
 
+T = TypeVar("T")
+
 # Limits of calibrated edges and probabilities.
 EDGE_LIMIT, PROB_LIMITS = 0.20, (0.01, 0.99)
 
@@ -31,19 +36,44 @@ def prob(column: str = "probability") -> Column:
 # --- preparation ----------------------------------------------------------
 
 def median_impute(df: DataFrame, cols: Sequence[str], train: DataFrame | None = None) -> DataFrame:
-    """Fill nulls with exact medians of the training rows."""
-    mid = a.median(df if train is None else train, [], cols)
-    return df.withColumns({c: F.coalesce(F.col(c), mid.select(c).scalar()) for c in cols})
+    """Fill nulls with exact medians of the training rows, all found by one subquery."""
+    mid = a.median(df if train is None else train, [], cols).select(F.struct(*cols).alias("m")).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c), mid[c]) for c in cols})
 
 
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Zero mean and unit (population) variance; a constant column becomes 0."""
-    mean = {c: df.agg((exact_sum(F.col(c)) / F.count(c)).alias("m")).scalar() for c in cols}
+    """Zero mean and unit (population) variance; a constant column becomes 0.
+
+    Two passes whatever the number of columns: all means, then all spreads around them.
+    """
+    one = lambda rows, value: rows.agg(F.struct(*[value(c).alias(c) for c in cols]).alias("x")).scalar()
+    mean = one(df, lambda c: exact_sum(F.col(c)) / F.count(c))
     gaps = df.withColumns({c: F.col(c) - mean[c] for c in cols})
-    spread = {c: gaps.agg(F.sqrt(exact_sum(F.col(c) * F.col(c)) / F.count(c)).alias("s")).scalar() for c in cols}
+    spread = one(gaps, lambda c: F.sqrt(exact_sum(F.col(c) * F.col(c)) / F.count(c)))
     return gaps.withColumns({c: F.coalesce(F.try_divide(F.col(c), spread[c]), F.lit(0.0)) for c in cols})
 
 
+# --- several fits at once ---------------------------------------------------
+
+def together(tasks: Sequence[Callable[[], T]], at_once: int = 4) -> list[T]:
+    """Results of independent tasks, ``at_once`` of them as concurrent jobs of the fair pool 'fits'.
+
+    Fits of small data leave most of a cluster idle while they wait for each other's
+    steps; jobs of several fits fill it.
+    """
+    def run(task: Callable[[], T]) -> T:
+        SparkContext.getOrCreate().setLocalProperty("spark.scheduler.pool", "fits")
+        return task()
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(run, tasks))
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` read once and kept, on disk where memory is short, for fits that read it many times."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 # --- estimators -----------------------------------------------------------
 
 def logistic(features: Sequence[str], label: str = "home_win", weight: str | None = None, c: float = 1.0) -> Pipeline:
@@ -77,12 +107,15 @@ def _isotonic(df: DataFrame, x: str, y: str, weight: str | None = None):
 def calibrated(pipeline: Pipeline, train: DataFrame, test: DataFrame, order: Sequence[str], folds: int = 3, label: str = "home_win",
                weight: str | None = None, name: str = "p") -> DataFrame:
     """Mean over time folds of a model fitted before the fold and an isotonic curve fitted on the fold."""
-    marked = time_series_folds(train, order, folds)
-    out, parts = test, []
-    for k in range(folds):
+    marked = held(time_series_folds(train, order, folds))
+
+    def fold(k: int):
         model = pipeline.fit(marked.filter(F.col("fold") < k))
-        held = score(model, marked.filter(F.col("fold") == k), "_x").withColumn("_y", F.col(label).cast("double"))
-        curve = _isotonic(held, "_x", "_y", weight)
+        rest = score(model, marked.filter(F.col("fold") == k), "_x").withColumn("_y", F.col(label).cast("double"))
+        return model, _isotonic(rest, "_x", "_y", weight)
+
+    out, parts = test, []
+    for k, (model, curve) in enumerate(together([functools.partial(fold, k) for k in range(folds)])):
         out = curve.transform(score(model, out, "_x")).withColumnRenamed("_iso", f"_p{k}").drop("_x")
         parts.append(f"_p{k}")
     mean = functools.reduce(lambda x, y: x + y, [F.col(p) for p in parts]) / folds
@@ -95,13 +128,14 @@ def random_search(train: DataFrame, features: Sequence[str], order: Sequence[str
     rng = random.Random(seed)
     grid = [dict(zip(space, v)) for v in itertools.product(*space.values())]
     picks = rng.sample(grid, min(draws, len(grid)))
-    marked = time_series_folds(train, order, folds)
-    scored = []
-    for i, setting in enumerate(picks):
-        for k in range(folds):
-            model = boosted_trees(features, label, **setting).fit(marked.filter(F.col("fold") < k))
-            held = score(model, marked.filter(F.col("fold") == k))
-            scored.append(held.select(F.lit(i).alias("draw"), F.lit(str(setting)).alias("setting"), F.lit(k).alias("model"), F.lit(k).alias("season"), label, "p"))
+    marked = held(time_series_folds(train, order, folds))
+
+    def fold(i: int, setting: dict, k: int) -> DataFrame:
+        model = boosted_trees(features, label, **setting).fit(marked.filter(F.col("fold") < k))
+        rest = score(model, marked.filter(F.col("fold") == k))
+        return rest.select(F.lit(i).alias("draw"), F.lit(str(setting)).alias("setting"), F.lit(k).alias("model"), F.lit(k).alias("season"), label, "p")
+
+    scored = together([functools.partial(fold, i, setting, k) for i, setting in enumerate(picks) for k in range(folds)])
     by_fold = metrics.by_year(functools.reduce(DataFrame.unionByName, scored), ("draw", "setting", "model"), y=label)
     return by_fold.groupBy("draw", "setting").agg(F.count(F.lit(1)).alias("folds"), F.avg("log_loss").alias("mean_log_loss")).orderBy("mean_log_loss", "draw")
 
@@ -119,13 +153,17 @@ def edge_isotonic(bets: DataFrame, train: DataFrame | None = None) -> DataFrame:
 # --- experiments ----------------------------------------------------------
 
 def walk_forward(df: DataFrame, years: Sequence[int], pipeline: Pipeline, season: str = "season", name: str = "p", weighted: bool = True) -> DataFrame:
-    """Out-of-sample probabilities: each year scored by a model of the years before it."""
-    w = df.withColumn("_w", recency_weight(F.col(season))) if weighted else df.withColumn("_w", F.lit(1.0))
-    parts = []
-    for y in years:
+    """Out-of-sample probabilities: each year scored by a model of the years before it.
+
+    The table is read once, however many years there are; years are fitted concurrently.
+    """
+    w = held(df.withColumn("_w", recency_weight(F.col(season)) if weighted else F.lit(1.0)))
+
+    def year(y: int) -> DataFrame:
         train, test = walk_forward_split(w, season, y)
-        parts.append(score(pipeline.fit(train), test, name).drop("_w"))
-    return functools.reduce(DataFrame.unionByName, parts)
+        return score(pipeline.fit(train), test, name).drop("_w")
+
+    return functools.reduce(DataFrame.unionByName, together([functools.partial(year, y) for y in years]))
 
 
 def stacking(wide: DataFrame, models: Sequence[str], years: Sequence[int], fallback: str, season: str = "season", label: str = "home_win") -> DataFrame:
@@ -133,15 +171,16 @@ def stacking(wide: DataFrame, models: Sequence[str], years: Sequence[int], fallb
 
     The first year has nothing before it and takes ``fallback``.
     """
-    parts = []
-    for y in years:
+    wide = held(wide)
+
+    def year(y: int) -> DataFrame:
         train, test = walk_forward_split(wide, season, y)
         if y == min(years):
-            parts.append(test.withColumn("p", F.col(fallback)))
-            continue
+            return test.withColumn("p", F.col(fallback))
         train = train.filter(F.col(season) >= min(years)).withColumn("_w", F.when(F.col(season) >= y - 2, 1.35).otherwise(1.0))
-        parts.append(score(logistic(models, label, "_w", c=0.5).fit(train), test))
-    return functools.reduce(DataFrame.unionByName, parts)
+        return score(logistic(models, label, "_w", c=0.5).fit(train), test)
+
+    return functools.reduce(DataFrame.unionByName, together([functools.partial(year, y) for y in years]))
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str], df: DataFrame) -> DataFrame:
@@ -157,6 +196,8 @@ def ablation(df: DataFrame, configs: Mapping[str, Sequence[str]], features: Sequ
 
     The screen uses logistic regression, the confirmation the mean of it and boosted trees.
     """
+    df = held(df)
+
     def kept(keep: Sequence[str]) -> DataFrame:
         return df.withColumns({c: F.lit(0.0) for c in groups if c not in keep}) if set(groups) - set(keep) else df
 
@@ -169,11 +210,12 @@ def ablation(df: DataFrame, configs: Mapping[str, Sequence[str]], features: Sequ
         return out.select(F.lit(stage).alias("stage"), F.lit(name).alias("config"), season, label, "p")
 
     per = lambda frames: metrics.by_year(functools.reduce(DataFrame.unionByName, frames), ("stage", "config", season), y=label)
-    screen = per([run(n, k, "screen", False) for n, k in configs.items()])
+    screen = per(together([functools.partial(run, n, k, "screen", False) for n, k in configs.items()]))
     summary = lambda by_year: a.year_macro_average(by_year, ["stage", "config"], ["accuracy", "log_loss", "brier", "auc"])
-    screened = summary(screen)
+    # read for the ranking and for the result
+    screened = held(summary(screen))
     best = [r["config"] for r in screened.orderBy("avg_log_loss", "config").select("config").limit(confirm).collect()]
-    return screened.unionByName(summary(per([run(n, configs[n], "confirm", True) for n in best])))
+    return screened.unionByName(summary(per(together([functools.partial(run, n, configs[n], "confirm", True) for n in best]))))
 
 
 def market_comparison(df: DataFrame, features: Sequence[str], market: str, test: int, season: str = "season", label: str = "home_win") -> DataFrame:

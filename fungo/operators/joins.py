@@ -179,10 +179,11 @@ def id_crosswalk_join(fact: DataFrame, crosswalk: DataFrame, attributes: DataFra
 
 
 def result_match_join(bets: DataFrame, finals: DataFrame, day: str = "game_date") -> DataFrame:
-    """Match pending bets with finals by day and the text 'AWAY @ HOME'."""
+    """Match pending bets with finals by day, the text 'AWAY @ HOME' and, where both have it, the game number."""
     parts = F.split("matchup", " @ ")
     keyed = bets.withColumns({"away": F.trim(F.try_element_at(parts, F.lit(1))), "home": F.trim(F.try_element_at(parts, F.lit(2)))})
-    return keyed.join(finals, [day, "away", "home"], "left")
+    number = ["game_number"] if "game_number" in bets.columns and "game_number" in finals.columns else []
+    return keyed.join(finals, [day, "away", "home", *number], "left")
 
 
 def pivot_back_join(games: DataFrame, wide: DataFrame, keys: Sequence[str]) -> DataFrame:

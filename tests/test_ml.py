@@ -83,3 +83,43 @@ def test_calibrated_probabilities_follow_the_model(games):
 def test_random_search_ranks_draws_by_log_loss(games):
     got = train.random_search(games, ["a", "b"], ["season", "game_pk"], {"trees": [2, 3], "depth": [2], "rate": [0.1]}, draws=2, folds=2).collect()
     assert len(got) == 2 and all(r.folds == 2 for r in got) and got[0].mean_log_loss <= got[1].mean_log_loss < 0.72
+
+
+def test_years_read_the_table_once(spark, games, tmp_path):
+    """However many years are fitted, the table's files are scanned once."""
+    games.write.parquet(str(tmp_path / "t"))
+    scans = {}
+    for years in ([2001], [1999, 2000, 2001]):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches, seen=seen):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        df = spark.read.parquet(str(tmp_path / "t"))
+        out = train.walk_forward(df.mapInArrow(count, df.schema), years, train.logistic(["a", "b"], weight="_w"))
+        assert out.count() == 100 * len(years)
+        scans[len(years)] = seen.value
+    assert scans == {1: 400, 3: 400}
+
+
+def test_stacking_weighs_and_falls_back(games):
+    wide = games.select("game_pk", "season", "home_win", (1 / (1 + F.exp(-F.col("a")))).alias("m"), F.lit(0.5).alias("equal"))
+    got = {r.game_pk: (r.season, r.p) for r in train.stacking(wide, ["m"], [1999, 2000, 2001], "equal").collect()}
+    assert sorted(got) == list(range(100, 400)) and all(p == 0.5 for s, p in got.values() if s == 1999)
+    alone = train.logistic(["m"], c=0.5).fit(wide.where("season = 1999"))
+    want = {r.game_pk: r.p for r in train.score(alone, wide.where("season = 2000")).collect()}
+    assert {g: p for g, (s, p) in got.items() if s == 2000} == pytest.approx(want, rel=1e-6)
+
+
+def test_ablation_zeroes_what_a_configuration_leaves_out(games):
+    got = {(r.stage, r.config): r for r in train.ablation(games, {"none": [], "all": ["a", "b"]}, ["a", "b"], ["a", "b"], [2000, 2001], confirm=1).collect()}
+    assert set(got) == {("screen", "none"), ("screen", "all"), ("confirm", "all")}
+    assert got["screen", "all"].avg_log_loss < got["screen", "none"].avg_log_loss and got["screen", "none"].avg_auc == pytest.approx(0.5)
+
+
+def test_market_comparison_has_every_model_and_subset(games):
+    df = games.withColumn("market", F.when(F.col("game_pk") % 2 == 0, 1 / (1 + F.exp(-F.col("a")))))
+    got = {(r.model, r.subset): r.games for r in train.market_comparison(df, ["a", "b"], "market", 2001).collect()}
+    assert got == {("blind", "all"): 100, ("aware", "all"): 100, ("blind", "with odds"): 50, ("aware", "with odds"): 50, ("market", "with odds"): 50}
