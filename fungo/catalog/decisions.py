@@ -174,6 +174,28 @@ def tune_thresholds(t):
     return d.tune_thresholds(candidates(t))
 
 
+_SEASONAL = {"cand": CAND, "tuned": _TUNE, "picked": "select test_season, odds_bucket, edge_threshold from tuned where reason = 'selected'",
+             "seasonal": "select * from picked union all select distinct test_season, '+130:+170', 0.06::double from tuned where test_season not in (select test_season from picked)",
+             "walked": "select k.*, r.edge_threshold as min_edge, coalesce(k.edge > r.edge_threshold, false) as should_bet from cand k left join seasonal r on r.test_season = k.season and r.odds_bucket = k.odds_bucket"}
+
+
+@query("walk_forward_rules", """
+select game_pk, season, odds_bucket, min_edge, should_bet, case when min_edge is null then odds_bucket || ' excluded by walk-forward'
+ when should_bet then 'walk-forward: ' || odds_bucket || ' edge > ' || cast(floor(min_edge * 100 + 0.5) as bigint) || '%' else 'edge <= ' || cast(floor(min_edge * 100 + 0.5) as bigint) || '% threshold' end as policy_reason
+from walked""", _SEASONAL)
+def walk_forward_rules(t):
+    """Rules tuned on earlier seasons, each applied to the season it is valid for."""
+    return d.walk_forward_rules(candidates(t)).select("game_pk", "season", "odds_bucket", "min_edge", "should_bet", "policy_reason")
+
+
+@query("walk_forward_summary", """
+select season, count(*) as candidates, count(*) filter (should_bet) as bets, count(*) filter (should_bet and won) as wins,
+ cast(sum(cast(case when should_bet then edge end as decimal(18,8))) as double) / nullif(count(*) filter (should_bet), 0) as avg_edge,
+ cast(sum(cast(case when should_bet then case when won then net else -1 end end as decimal(18,8))) as double) / nullif(count(*) filter (should_bet), 0) as flat_roi from walked group by season""", _SEASONAL)
+def walk_forward_summary(t):
+    return d.season_summary(d.walk_forward_rules(candidates(t)))
+
+
 @query("threshold_simulation", """
 select t.thr as min_edge, count(k.game_pk) as bets, cast(count(*) filter (won) as double) / nullif(count(k.game_pk), 0) as win_rate,
  cast(sum(cast(edge as decimal(18,8))) as double) / nullif(count(k.game_pk), 0) as avg_raw_edge, cast(sum(cast(edge as decimal(18,8))) as double) / nullif(count(k.game_pk), 0) as avg_calibrated_edge,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from fungo.catalog import query
 from fungo.catalog.decisions import CAND, DECIDED, RULES_SQL, rules
-from fungo.functions import teams
+from fungo.functions import odds, teams
 from fungo.operators import decision as d, ordered as o
 from fungo.session import checkpoint_root
 from fungo.sources import planners as pl, readers as r, sinks as s
@@ -222,6 +222,26 @@ def registry_append(t):
     return s.registry_append(t.spark, path, runs.filter("last_season > 1998"), order=["last_season"]).read().drop("_all")
 
 
+_PRICED = "select game_pk, case when game_pk % 11 = 0 then 40.0::double when game_pk % 13 = 0 then null else home_ml end as home_ml, case when game_pk % 17 = 0 then 900.0::double when game_pk % 19 = 0 then -40000.0::double else away_ml end as away_ml from odds_v"
+_PRICE_REASON = """case when home_ml is null or away_ml is null then 'price missing' when abs(home_ml) < 100 or abs(away_ml) < 100 then 'no such price'
+ when h + a < 1 then 'sum of probabilities below 1' when h + a > 1.25 then 'sum of probabilities above 1.25' end"""
+
+
+@query("price_quarantine", f"""
+select coalesce(reason, 'good') as state, count(*) as rows, cast(sum(game_pk) as bigint) as keys from (select *, {_PRICE_REASON} as reason from (
+ select *, case when home_ml > 0 then 100 / (home_ml + 100) else abs(home_ml) / (abs(home_ml) + 100) end as h, case when away_ml > 0 then 100 / (away_ml + 100) else abs(away_ml) / (abs(away_ml) + 100) end as a from ({_PRICED}) p) q) r group by 1""")
+def price_quarantine(t):
+    """Impossible prices are kept apart with their reason, in the pass that writes the good ones."""
+    path, g = scratch(t, "prices"), c("game_pk")
+    rows = t.odds_v.select("game_pk", F.when(g % 11 == 0, 40.0).when(g % 13 == 0, None).otherwise(c("home_ml")).alias("home_ml"),
+                           F.when(g % 17 == 0, 900.0).when(g % 19 == 0, -40000.0).otherwise(c("away_ml")).alias("away_ml"))
+    vig = odds.overround(c("home_ml"), c("away_ml"))
+    s.write_checked(rows, path, {"price missing": c("home_ml").isNull() | c("away_ml").isNull(), "no such price": (F.abs("home_ml") < 100) | (F.abs("away_ml") < 100),
+                                 "sum of probabilities below 1": vig < 1, "sum of probabilities above 1.25": vig > 1.25})
+    kept = s.read_checked(t.spark, path).select(F.lit("good").alias("state"), "game_pk")
+    return kept.union(s.read_checked(t.spark, path, False).select("reason", "game_pk")).groupBy("state").agg(F.count("*").alias("rows"), F.sum("game_pk").alias("keys"))
+
+
 # --- planners
 
 @query("watermark_by_year", "select unnest(range(cast((select max(season) from games_v where season < 1999) as int) + 1, 2003))::int as year")

@@ -99,63 +99,75 @@ def apply_policy(df: DataFrame, rules: DataFrame, day: str = "game_date", policy
     return evaluate_candidate(resolve_policy_rule(keyed, rules), policy)
 
 
-def _passed(edge: Column, thresholds: Sequence[float], closed: bool) -> Column:
-    """How many of the ascending thresholds an edge passes."""
-    tests = [(edge >= t) if closed else (edge > t) for t in thresholds]
-    out = F.lit(0)
-    for test in tests:
-        out = out + F.coalesce(test.cast("int"), F.lit(0))
-    return out
-
-
 def tune_thresholds(bets: DataFrame, season: str = "season", thresholds: Sequence[float] = TUNE_THRESHOLDS,
                     min_bets: int = TUNE_MIN_BETS) -> DataFrame:
     """Best edge threshold per (test season, odds bucket) from earlier seasons only.
 
-    Rows are summed once per (season, bucket, number of thresholds passed); the grid
-    is laid over those few sums, not over the rows. All test seasons come out of one job.
+    Rows are read and summed once, to a row per season and bucket with a sum per
+    threshold. Earlier seasons are a frame over those few rows, every season having a row
+    for every bucket; the best threshold is picked inside the row.
     """
     known = bets.dropna(subset=["edge", "odds", "won", "odds_bucket"])
     profit = odds.flat_profit(F.col("odds"), F.col("won"))
-    cells = known.groupBy(F.col(season).alias("season"), "odds_bucket", _passed(F.col("edge"), thresholds, False).alias("_k")).agg(
-        F.count(F.lit(1)).alias("n"), exact_units(profit).alias("pnl"))
-    grid = F.array(*[F.struct(F.lit(i + 1).alias("_i"), F.lit(float(x)).alias("edge_threshold")) for i, x in enumerate(thresholds)])
-    by_year = (cells.select("*", F.inline(grid)).filter(F.col("_k") >= F.col("_i"))
-               .groupBy("season", "odds_bucket", "edge_threshold").agg(F.sum("n").alias("n"), F.sum("pnl").alias("pnl")))
-    seasons = cells.select("season").distinct()
-    tests = seasons.select(F.col("season").alias("test_season"))
-    prior = tests.join(seasons, F.col("season") < F.col("test_season"), "left")
-    totals = prior.groupBy("test_season").agg(F.count("season").alias("total_years"))
-    buckets = tests.withColumn("odds_bucket", F.explode(F.array(*[F.lit(b) for b, _, _ in odds.ODDS_BUCKETS])))
-    scored = (prior.join(by_year, "season").groupBy("test_season", "odds_bucket", "edge_threshold").agg(
-        F.sum("n").alias("prior_bets"), (F.sum("pnl").cast("double") / 100_000_000.0).alias("_pnl"),
-        F.count_if(F.col("pnl") > 0).alias("profitable_years"))
-        .join(totals, "test_season")
-        .withColumn("prior_flat_roi", F.col("_pnl") / F.col("prior_bets"))
-        .withColumn("score", F.col("prior_flat_roi") * F.least(F.lit(1.0), F.col("prior_bets") / TUNE_FULL_WEIGHT)))
-    good = scored.filter((F.col("prior_bets") >= min_bets) & (F.col("prior_flat_roi") > 0)
-                         & (F.col("profitable_years") >= F.greatest(F.lit(1), F.col("total_years") - 1)))
-    best = ordered.latest(good.withColumn("_low", -F.col("edge_threshold")), ["test_season", "odds_bucket"], ["score", "_low"],
-                          ["edge_threshold", "prior_bets", "prior_flat_roi", "profitable_years", "score"])
-    volume = prior.join(cells.groupBy("season", "odds_bucket").agg(F.sum("n").alias("n")), "season").groupBy(
-        "test_season", "odds_bucket").agg(F.sum("n").alias("_all"))
-    out = (buckets.join(totals, "test_season").join(best, ["test_season", "odds_bucket"], "left")
-           .join(volume, ["test_season", "odds_bucket"], "left"))
+    over = [F.col("edge") > t for t in thresholds]
+    sums = known.groupBy(F.col(season).alias("test_season"), "odds_bucket").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(o).alias(f"n{i}") for i, o in enumerate(over)],
+        *[F.coalesce(exact_units(F.when(o, profit)), F.lit(0).cast("decimal(38,0)")).alias(f"pnl{i}") for i, o in enumerate(over)])
+    names = [c for c in sums.columns if c not in ("test_season", "odds_bucket")]
+    by_season = sums.groupBy("test_season").agg(F.map_from_entries(F.collect_list(F.struct("odds_bucket", F.struct(*names)))).alias("_of"))
+    dense = by_season.select("test_season", "_of", F.explode(F.array(*[F.lit(b) for b, _, _ in odds.ODDS_BUCKETS])).alias("odds_bucket"))
+    own = F.try_element_at("_of", F.col("odds_bucket"))
+    dense = dense.select("test_season", "odds_bucket", *[F.coalesce(own[n], F.lit(0)).alias(n) for n in names])
+    w = W.partitionBy("odds_bucket").orderBy("test_season").rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    prior = dense.select("test_season", "odds_bucket", F.count("test_season").over(w).alias("total_years"), *[zero(F.sum(n).over(w)).alias(n) for n in names],
+                         *[zero(F.sum((F.col(f"pnl{i}") > 0).cast("int")).over(w)).alias(f"good{i}") for i in range(len(thresholds))])
+
+    def candidate(i: int, threshold: float) -> Column:
+        n, roi = F.col(f"n{i}"), F.try_divide(F.col(f"pnl{i}").cast("double") / 100_000_000.0, F.col(f"n{i}"))
+        fit = (n >= min_bets) & (roi > 0) & (F.col(f"good{i}") >= F.greatest(F.lit(1), F.col("total_years") - 1))
+        # the best score wins, then the lower threshold
+        return F.when(fit, F.struct((roi * F.least(F.lit(1.0), n / TUNE_FULL_WEIGHT)).alias("score"), F.lit(-float(threshold)).alias("low"), n.alias("n"), roi.alias("roi"),
+                                    F.col(f"good{i}").alias("good")))
+
+    out = prior.withColumn("_b", F.array_max(F.array(*[candidate(i, t) for i, t in enumerate(thresholds)])))
     fallback = (F.col("total_years") == 0) & (F.col("odds_bucket") == FALLBACK_BUCKET)
-    reason = (F.when(F.col("edge_threshold").isNotNull(), "selected").when(fallback, "bootstrap: no prior seasons")
+    reason = (F.when(F.col("_b").isNotNull(), "selected").when(fallback, "bootstrap: no prior seasons")
               .when(F.col("total_years") == 0, "no prior seasons").otherwise("no profitable threshold found"))
     return out.select(
-        "test_season", "odds_bucket",
-        F.when(fallback, F.lit(FALLBACK_EDGE)).otherwise(F.col("edge_threshold")).alias("edge_threshold"),
-        F.coalesce("prior_bets", "_all", F.lit(0)).alias("prior_bets"), "prior_flat_roi",
-        "profitable_years", "total_years", "score", reason.alias("reason"))
+        "test_season", "odds_bucket", F.when(fallback, F.lit(FALLBACK_EDGE)).otherwise(-F.col("_b.low")).alias("edge_threshold"),
+        F.coalesce("_b.n", "n").alias("prior_bets"), F.col("_b.roi").alias("prior_flat_roi"), F.col("_b.good").alias("profitable_years"), "total_years",
+        F.col("_b.score").alias("score"), reason.alias("reason"))
 
 
 def tuned_rules(report: DataFrame) -> DataFrame:
-    """Policy rules per test season; the fallback rule where none was selected."""
-    chosen = report.filter(F.col("reason") == "selected").select("test_season", F.col("odds_bucket").alias("bucket"), F.col("edge_threshold").alias("min_edge"))
-    none = report.select("test_season").distinct().join(chosen.select("test_season").distinct(), "test_season", "left_anti")
-    return chosen.unionByName(none.select("test_season", F.lit(FALLBACK_BUCKET).alias("bucket"), F.lit(FALLBACK_EDGE).alias("min_edge")))
+    """Rules valid for one season each: season, bucket, min_edge; the fallback rule where none was selected."""
+    chosen = F.col("reason") == "selected"
+    rules = F.array_compact(F.collect_list(F.when(chosen, F.struct(F.col("odds_bucket").alias("bucket"), F.col("edge_threshold").alias("min_edge")))))
+    fallback = F.array(F.struct(F.lit(FALLBACK_BUCKET).alias("bucket"), F.lit(FALLBACK_EDGE).alias("min_edge")))
+    by_season = report.groupBy(F.col("test_season").alias("season")).agg(rules.alias("_r"))
+    return by_season.select("season", F.inline(F.when(F.size("_r") > 0, F.col("_r")).otherwise(fallback)))
+
+
+def apply_seasonal_rules(df: DataFrame, rules: DataFrame, season: str = "season", policy: str = "walk-forward") -> DataFrame:
+    """Decisions of every candidate by the rules of its own season; a season has at most a rule per bucket."""
+    keyed = rules.select(F.col("season").alias(season), F.col("bucket").alias("odds_bucket"), "min_edge")
+    return evaluate_candidate(df.join(keyed, [season, "odds_bucket"], "left").withColumn("min_model_prob", F.lit(0.0)), policy)
+
+
+def walk_forward_rules(bets: DataFrame, season: str = "season") -> DataFrame:
+    """Out-of-sample candidates with the decision of rules that were tuned on the seasons before each one."""
+    return apply_seasonal_rules(bets, tuned_rules(tune_thresholds(bets, season)), season)
+
+
+def season_summary(decided: DataFrame, season: str = "season") -> DataFrame:
+    """Per season the candidates, bets, wins, mean edge and flat return of the bets."""
+    bet = F.col("should_bet") & F.col("won").isNotNull()
+    n = F.count_if(bet)
+    per = lambda x: F.try_divide(exact_units(F.when(bet, x)).cast("double") / 100_000_000.0, n)
+    return decided.groupBy(season).agg(
+        F.count(F.lit(1)).alias("candidates"), n.alias("bets"), F.count_if(bet & F.col("won")).alias("wins"), per(F.col("edge")).alias("avg_edge"),
+        per(odds.flat_profit(F.col("odds"), F.col("won"))).alias("flat_roi"))
 
 
 def threshold_simulation(bets: DataFrame, edge: str = "edge", raw: str | None = None,
@@ -163,16 +175,18 @@ def threshold_simulation(bets: DataFrame, edge: str = "edge", raw: str | None =
     """Bets, win rate, mean edges and flat return at each minimum edge; thresholds without bets stay in."""
     raw = raw or edge
     known = bets.dropna(subset=[edge, "won", "odds"])
-    cells = known.groupBy(_passed(F.col(edge), thresholds, True).alias("_k")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("won").alias("wins"), exact_units(F.col(raw)).alias("raw"), exact_units(F.col(edge)).alias("cal"),
-        exact_units(odds.flat_profit(F.col("odds"), F.col("won"))).alias("pnl"))
-    spark = bets.sparkSession
-    grid = spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(thresholds)], "_i int, min_edge double")
-    both = F.broadcast(grid).join(cells, F.col("_k") >= F.col("_i"), "left").groupBy("min_edge")
-    n = F.coalesce(F.sum("n"), F.lit(0))
-    per = lambda x: F.try_divide(F.sum(x).cast("double") / 100_000_000.0, n)
-    return both.agg(n.alias("bets"), F.try_divide(F.sum("wins").cast("double"), n).alias("win_rate"), per("raw").alias("avg_raw_edge"),
-                    per("cal").alias("avg_calibrated_edge"), per("pnl").alias("flat_stake_roi"))
+    profit = odds.flat_profit(F.col("odds"), F.col("won"))
+
+    def at(threshold: float) -> Column:
+        on = F.col(edge) >= threshold
+        units = lambda x: exact_units(F.when(on, x))
+        return F.struct(F.lit(float(threshold)).alias("min_edge"), F.count_if(on).alias("bets"), F.count_if(on & F.col("won")).alias("wins"),
+                        units(F.col(raw)).alias("raw"), units(F.col(edge)).alias("cal"), units(profit).alias("pnl"))
+
+    rows = known.agg(F.array(*[at(t) for t in thresholds]).alias("_r")).select(F.inline("_r"))
+    per = lambda x: F.try_divide(F.col(x).cast("double") / 100_000_000.0, F.col("bets"))
+    return rows.select("min_edge", "bets", F.try_divide(F.col("wins").cast("double"), F.col("bets")).alias("win_rate"), per("raw").alias("avg_raw_edge"),
+                       per("cal").alias("avg_calibrated_edge"), per("pnl").alias("flat_stake_roi"))
 
 
 def closing_line_value(df: DataFrame, close_probs: Sequence[str], close_home: Sequence[str], close_away: Sequence[str]) -> DataFrame:

@@ -7,9 +7,10 @@ read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from fungo.operators import ordered
 from fungo.session import checkpoint_root
@@ -41,6 +42,28 @@ def registry_append(spark: SparkSession, path: str, entry: DataFrame, key: str =
     return table
 
 
+def write_checked(df: DataFrame, path: str, checks: Mapping[str, Column]) -> dict[str, int]:
+    """Good rows to ``path``/good, the others with their reason to ``path``/quarantine, in one pass over ``df``.
+
+    ``checks`` maps a reason to the condition of a bad row; the first that holds is the
+    row's reason, and a condition that is null does not hold. Returns the number of rows,
+    of good rows and of each reason, observed while the rows are written.
+    """
+    reason = functools.reduce(lambda e, item: e.when(item[1], item[0]), checks.items(), F)
+    marked = df.withColumn("reason", reason if checks else F.lit(None).cast("string"))
+    seen = Observation()
+    bad = F.col("reason").isNotNull()
+    marked = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~bad).alias("good"), *[F.count_if(F.col("reason") == r).alias(r) for r in checks])
+    marked.withColumn("_part", F.when(bad, "quarantine").otherwise("good")).write.mode("overwrite").partitionBy("_part").parquet(path)
+    return seen.get
+
+
+def read_checked(spark: SparkSession, path: str, good: bool = True) -> DataFrame:
+    """Good rows of ``write_checked``, or those in quarantine with their reason."""
+    rows = spark.read.parquet(path).filter(F.col("_part") == ("good" if good else "quarantine")).drop("_part")
+    return rows.drop("reason") if good else rows
+
+
 def refresh_partition(df: DataFrame, path: str, partition: str = "year") -> None:
     """Replace only the partitions that the new rows fall in."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

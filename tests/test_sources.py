@@ -45,6 +45,32 @@ def test_append_and_registry(spark, tmp_path):
     assert sorted((r.model_id, r.v) for r in table.read().collect()) == [("a", 1), ("b", 0), ("c", 4)]
 
 
+def test_bad_rows_go_to_quarantine_in_one_pass(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(1, 50.0), (2, None), (3, -120.0), (4, 30.0), (5, 150.0)], "k int, ml double")
+    got = s.write_checked(df.mapInArrow(count, df.schema), str(tmp_path / "t"), {"missing": F.col("ml").isNull(), "small": F.abs("ml") < 100, "even": F.col("k") % 2 == 0})
+    assert got == {"rows": 5, "good": 2, "missing": 1, "small": 2, "even": 0} and read.value == 5
+    assert sorted(map(tuple, s.read_checked(spark, str(tmp_path / "t")).collect())) == [(3, -120.0), (5, 150.0)]
+    assert sorted((r.k, r.reason) for r in s.read_checked(spark, str(tmp_path / "t"), False).collect()) == [(1, "small"), (2, "missing"), (4, "small")]
+
+
+def test_rules_never_see_the_season_they_are_for(spark):
+    rows = [(s, b, 0.05 + (i % 9) / 100, 150.0, (i * 7 + s) % 10 < 6) for s in (2001, 2002, 2003) for b in ("+130:+170", "+170+") for i in range(60)]
+    bets = spark.createDataFrame(rows, "season int, odds_bucket string, edge double, odds double, won boolean").withColumn("model_prob", F.lit(0.5))
+    flipped = bets.withColumn("won", F.when(F.col("season") == 2003, ~F.col("won")).otherwise(F.col("won")))
+    rules = lambda df: sorted(map(tuple, d.tuned_rules(d.tune_thresholds(df)).collect()))
+    assert rules(bets) == rules(flipped)
+    assert [r for r in rules(bets) if r[0] == 2001] == [(2001, "+130:+170", 0.06)] and len([r for r in rules(bets) if r[0] == 2003]) == 2
+    out = d.walk_forward_rules(bets)
+    assert out.count() == 360 and out.where("season = 2001 and odds_bucket = '+170+' and should_bet").count() == 0
+
+
 @pytest.mark.parametrize("bucket, phase, want", [("x", "late", 1.0), ("x", "mid", 2.0), ("y", "early", 3.0), ("y", "mid", 4.0), (None, "mid", None)])
 def test_rule_precedence(spark, bucket, phase, want):
     rules = spark.createDataFrame([("x", "late", 1.0, 0.0, 0), ("x", "late", 9.0, 0.0, 1), ("x", "all", 2.0, 0.0, 2), ("all", "early", 3.0, 0.0, 3), ("all", "all", 4.0, 0.0, 4)],
