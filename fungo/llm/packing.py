@@ -53,9 +53,10 @@ PROFILE = 256
 ROUNDS = 3
 END = 2
 K1, B = 1.2, 0.75
-MEMO = 400_000
-#: A full stop or comma behind anything but a digit or a letter that stays one when lower-cased.
-MARKS = re.compile(r"[^\s0-9A-Za-zÀ-ÖØ-öø-įı-ɏ][.,] ")
+#: Words that a worker process remembers, some 25 MB.
+MEMO = 150_000
+#: A full stop or comma behind anything but a blank, a digit or a letter that stays one when lower-cased. Other white space is a mark too.
+MARKS = re.compile(r"[^ 0-9A-Za-zÀ-ÖØ-öø-įı-ɏ][.,] ")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import fungo.llm.queries as Q
 from fungo.llm import packing
@@ -53,3 +54,13 @@ def test_copies_of_one_row_are_no_single_shard(spark):
 
 def test_small_groups_share_a_shard():
     assert packing.shard_table({0: 3, 1: 4, 2: 25, 3: 5, 4: 6}, 10) == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1), (4, 5, 1)]
+
+
+@pytest.mark.parametrize("letters", ["ab. ,\x1c\x1d\x1e\x1f#", "aZ9.,; \n\t\r\x0b\xa0\u2028\u3000É", "the., \x85\x00\x07'-\"İß"])
+def test_ids_are_those_of_the_tokenizer(letters):
+    """Random short texts, control characters and odd blanks among them."""
+    encoder, r = packing.Encoder(Q.tokenizer_path()), random.Random(letters)
+    items = ["#\x1f. ", "a\x1c, b", ""] + ["".join(r.choice(letters) for _ in range(r.randint(1, 12))) for _ in range(8000)]
+    got = encoder([x.encode() for x in items])
+    for x, ids in zip(items, got):
+        assert np.frombuffer(ids, encoder.kind).tolist() == [*encoder.tokenizer.encode(x, add_special_tokens=False).ids, packing.END], repr(x)
