@@ -53,8 +53,7 @@ PROFILE = 256
 ROUNDS = 3
 END = 2
 K1, B = 1.2, 0.75
-#: Words that a worker process remembers, some 25 MB.
-MEMO = 150_000
+MEMO = 400_000
 #: A full stop or comma behind anything but a blank, a digit or a letter that stays one when lower-cased. Other white space is a mark too.
 MARKS = re.compile(r"[^ 0-9A-Za-zÀ-ÖØ-öø-įı-ɏ][.,] ")
 
