@@ -266,7 +266,7 @@ from (select game_pk, pk, (k1 // 10) || '.' || (k1 % 10) || '%' as conf_t, list_
   case when s2 >= 4 then a || ' won ' || s2 || ' straight' when s2 <= -4 then a || ' lost ' || -s2 || ' straight' end,
   case when am >= 0.7 then a || ' trending up' when am <= -0.7 then a || ' cooling off' end,
   case when known and pk = h and p_market < 0.5 and p_model > 0.52 then 'home underdog value: ' || h end,
-  case when not roof and wind >= 7 then 'wind blowing out' when not roof and wind <= -7 then 'wind blowing in' end,
+  case when not roof and spd >= 8 and wind >= 7 then 'wind blowing out' when not roof and spd >= 8 and wind <= -7 then 'wind blowing in' end,
   case when not roof and temp >= 88 then 'hot weather' when not roof and temp <= 45 then 'cold weather' end], lambda x: x is not null) as f
  from (select *, cast(floor(conf * 1000 + 0.5) as bigint) as k1, cast(floor(abs(edge) * 1000 + 0.5) as bigint) as k2 from (
   select m.*, 'T' || home_team as h, 'T' || away_team as a, game_pk % 11 <> 0 as known,
@@ -274,7 +274,7 @@ from (select game_pk, pk, (k1 // 10) || '.' || (k1 % 10) || '%' as conf_t, list_
    case when p_model >= 0.5 then p_model - p_market else p_market - p_model end as edge,
    (game_pk % 9 - 4) / 4.0::double as gap, game_pk % 17 - 8 as hs, game_pk % 19 - 9 as s2,
    (game_pk % 23 - 11) / 10.0::double as hm, (game_pk % 29 - 14) / 10.0::double as am,
-   game_pk % 31 - 15 as wind, 40 + game_pk % 53 as temp, home_team = 26 as roof from market_v m) y) z) q""")
+   game_pk % 31 - 15 as wind, game_pk % 37 as spd, 40 + game_pk % 53 as temp, home_team = 26 as roof from market_v m) y) z) q""")
 def key_factor_rules(t):
     h, a = F.concat(F.lit("T"), c("home_team").cast("string")), F.concat(F.lit("T"), c("away_team").cast("string"))
     g = c("game_pk")
@@ -284,7 +284,7 @@ def key_factor_rules(t):
         edge=F.when(home_pick, c("p_model") - c("p_market")).otherwise(c("p_market") - c("p_model")),
         market_home=c("p_market"), model_home=c("p_model"), starters_known=g % 11 != 0, xfip_gap=(g % 9 - 4) / 4.0,
         home_streak=g % 17 - 8, away_streak=g % 19 - 9, home_momentum=(g % 23 - 11) / 10.0,
-        away_momentum=(g % 29 - 14) / 10.0, wind_out=g % 31 - 15, temp_f=40 + g % 53, roof=c("home_team") == 26)
+        away_momentum=(g % 29 - 14) / 10.0, wind_out=g % 31 - 15, temp_f=40 + g % 53, roof=c("home_team") == 26, wind_speed=g % 37)
     return t.market_v.select("game_pk", F.array_join(f, "; ").alias("factors"))
 
 

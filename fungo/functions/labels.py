@@ -93,14 +93,18 @@ def capped_blend(prior: Column, prior_n: Column, cur: Column, cur_n: Column, cap
 def key_factors(*, home: Column, away: Column, pick: Column, confidence: Column, edge: Column, market_home: Column,
                 model_home: Column, starters_known: Column, xfip_gap: Column, home_streak: Column,
                 away_streak: Column, home_momentum: Column, away_momentum: Column, wind_out: Column,
-                temp_f: Column, roof: Column) -> Column:
-    """Reasons behind a pick, in a fixed order; one general reason if none applies."""
+                temp_f: Column, roof: Column, wind_speed: Column) -> Column:
+    """Reasons behind a pick, in a fixed order; one general reason if none applies.
+
+    Wind counts from 8 miles an hour.
+    """
 
     def say(*parts) -> Column:
         return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
     lower = F.when(xfip_gap >= 0.5, home).when(xfip_gap <= -0.5, away)
     edge_known = starters_known & edge.isNotNull()
+    windy = ~roof & (wind_speed >= 8)
     rules = [
         F.when(~starters_known, say("starter not confirmed")),
         F.when(lower == pick, say("pitching edge: ", lower)).when(lower.isNotNull(), say("pitching concern: ", lower)),
@@ -116,7 +120,7 @@ def key_factors(*, home: Column, away: Column, pick: Column, confidence: Column,
         ]
     rules += [
         F.when(starters_known & (pick == home) & (market_home < 0.5) & (model_home > 0.52), say("home underdog value: ", home)),
-        F.when(~roof & (wind_out >= 7), say("wind blowing out")).when(~roof & (wind_out <= -7), say("wind blowing in")),
+        F.when(windy & (wind_out >= 7), say("wind blowing out")).when(windy & (wind_out <= -7), say("wind blowing in")),
         F.when(~roof & (temp_f >= 88), say("hot weather")).when(~roof & (temp_f <= 45), say("cold weather")),
     ]
     found = F.array_compact(F.array(*rules))
