@@ -24,7 +24,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fungo.llm.common import BLANK, WORD, stored
+from fungo.llm.common import BLANK, WORD, free, stored
 
 STEPS = 12
 KEEP = 0.5
@@ -135,14 +135,19 @@ def judged(docs: DataFrame) -> DataFrame:
     """Columns of ``docs`` but the text, plus counts, votes, base_failed, quality (the probability) and kept.
 
     What is measured is written once without the text, since the estimation and the verdict both read it.
+    Columns of ``docs`` are carried in a struct, so their names meet no working column; a result whose
+    name they have gets underscores.
     """
-    df = measured(docs).drop("text")
+    own = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    df = measured(docs.select(F.struct(*own or [F.lit(0).alias("_")]).alias("_doc"), "text")).drop("text")
     voted = df.select("*", *votes(df), F.expr(BASE_FAILED).alias("base_failed"))
     names = [f"_v_{name}" for name, *_ in RULES]
     voted = stored(voted, "votes")
     patterns = stored(voted.groupBy(*names).agg(F.count("*").alias("_k")), "patterns")
     quality = probability(estimate(patterns))
-    return voted.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP))
+    out = voted.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP))
+    rest = docs.drop("text")
+    return out.select(*["_doc.*"] * bool(own), *[F.col(c).alias(free(rest, c)) for c in out.columns if c != "_doc"])
 
 
 def sql(where: str) -> str:

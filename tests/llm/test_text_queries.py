@@ -76,6 +76,17 @@ def test_rules(spark, odd_docs, no_docs):
     assert all(r.kept for r in rows if r.quality == 1) and sum(not r.kept for r in rows) >= 20
 
 
+def test_rules_beside_clashing_columns(odd_docs):
+    clash = odd_docs.withColumns({"n_symbols": odd_docs.score, "_words": odd_docs.score, "quality": odd_docs._score, "_h": odd_docs.score})
+    plain = {(r.doc_id, r.n_words, r.n_symbols, r.n_repeat_words, r.base_failed, r.kept) for r in quality_rules.judged(odd_docs.select("doc_id", "text")).collect()}
+    got = quality_rules.judged(clash)
+    assert got.columns[:len(clash.columns) - 1] == [c for c in clash.columns if c != "text"]
+    rows = got.collect()
+    assert {(r.doc_id, r.n_words_, r.n_symbols_, r.n_repeat_words, r.base_failed, r.kept) for r in rows} == plain
+    assert all(r.n_words == 0 and r.n_symbols == 1.5 and r._words == 1.5 and 0 <= r.quality_ <= 1 for r in rows) and len(rows) == clash.count()
+    assert quality_rules.judged(odd_docs.select("text")).count() == odd_docs.count()
+
+
 def test_licenses(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(1, "Released under\nthe MIT-License. Apache License, mit license"), (2, "This work, licensed now, under the GNU free general license of the work is ours"),
                                   (3, None), (4, "MİT license"), (5, "x " * 40 + "licensed under the apache license version two")], "doc_id long, text string")
