@@ -239,6 +239,17 @@ def coverage_report(t):
     return a.coverage_report(df, ["season"], ["home_lineup", "away_lineup"])
 
 
+@query("coverage_gaps", """
+select g.game_pk, g.game_date, g.season, g.home_team, g.away_team, l.lineup, case when g.game_pk % 5 <> 0 then 1 end as home_lineup, case when g.game_pk % 7 <> 0 then 1 end as away_lineup,
+ concat_ws(',', case when l.lineup is null then 'lineup' end, case when g.game_pk % 5 = 0 then 'home_lineup' end, case when g.game_pk % 7 = 0 then 'away_lineup' end) as missing
+from games_v g left join (select distinct l_orderkey, 1 as lineup from lineitem) l on l.l_orderkey = g.game_pk where l.lineup is null or g.game_pk % 5 = 0 or g.game_pk % 7 = 0""")
+def coverage_gaps(t):
+    """Games without a lineup row or without a lineup's value for a side."""
+    have = t.lineitem.select(c("l_orderkey").alias("game_pk"), F.lit(1).alias("lineup")).distinct()
+    df = t.games_v.join(have, "game_pk", "left").withColumns({"home_lineup": F.when(c("game_pk") % 5 != 0, 1), "away_lineup": F.when(c("game_pk") % 7 != 0, 1)})
+    return a.coverage_gaps(df, ["game_pk", "game_date", "season", "home_team", "away_team"], ["lineup", "home_lineup", "away_lineup"])
+
+
 @query("year_macro_average", f"""
 select model, cast(sum(games) as bigint) as games, {m('accuracy')} as avg_accuracy, {m('brier')} as avg_brier from (
  select model, season, count(*) as games, avg(case when (p >= 0.5) = (home_win = 1) then 1 else 0 end) as accuracy, {m('((p - home_win) * (p - home_win))')} as brier

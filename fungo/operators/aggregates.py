@@ -261,6 +261,12 @@ def coverage_report(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) ->
         (F.count(c) / F.count(F.lit(1))).alias(f"{c}_rate") for c in cols])
 
 
+def coverage_gaps(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Rows that lack any of ``cols``, with the names of those they lack; the list behind ``coverage_report``."""
+    lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]))
+    return df.select(*keys, *cols, F.array_join(lacking, ",").alias("missing")).filter(F.col("missing") != "")
+
+
 def year_macro_average(by_year: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Unweighted mean over years of per-year metrics."""
     return by_year.groupBy(*keys).agg(F.sum("games").alias("games"), *[exact_avg(F.col(m)).alias(f"avg_{m}") for m in metrics])
