@@ -11,22 +11,28 @@ finds every link between classes, and ``pairs`` every pair of documents that lin
   ``TURNS`` turns, with other leaders for those that are still apart.
   What such links connect is a group; every other class is a group of its own.
 * **Matrix.** With all shingles in one global order, rare ones first, two sets as similar
-  as asked share one of their first n - ceil(3n/4) + 1 shingles. These are stored as
-  (token, class), one row however many copies there are; the groups that a token's rows
-  belong to are its row of the token-group matrix, the tokens of a group its union.
-* **Bound.** A class can only reach a group with which it shares at least one of these
-  tokens, in which some member's size lies between 3/4 and 4/3 of its own. Tokens that
-  occur in one group alone are dropped; only groups that qualify are opened, and only
-  their members with a common token are compared, exactly, on whole texts.
+  as asked share one of their first n - ceil(3n/4) + 1 shingles. A group's token union is
+  the union of these leading tokens of its members. It is stored as rows (token, group), one
+  however many members have the token, with the smallest and largest size among them.
+* **Bound.** Each class asks the groups of other classes that are no larger. The leading
+  tokens it has in common with a group's union are counted; with what can be left
+  beyond them they bound its overlap with every member. Only groups whose bound reaches
+  the overlap that their smallest member would need are opened.
+* **Opening.** In an opened group the class meets the members it has tokens in common with,
+  under the same bound for the pair, and what remains is compared exactly, on whole texts.
 
 For components nothing within a group is compared again, so large groups of near copies cost
-a few comparisons each, not one per pair. ``all_links`` leaves groups out and compares every
-pair that the tokens bring together; tokens of many classes are dealt to several tasks.
+a few comparisons each, not one per pair. ``all_links`` makes every class a group. Tokens of
+many classes are dealt to several tasks by the class that asks.
 
 The order of shingles affects cost, never results. It puts the ``FREQUENT`` most frequent
 shingles last; they are counted where they occur at least ``OFTEN`` times among the
-shingles that a task has at hand, and this list is all that is broadcast, besides a bit
-table of fixed size that keeps texts nobody asks for out of the shuffle.
+shingles that a task has at hand, equal sets once, and this list is all that is broadcast,
+besides a bit table of fixed size that keeps texts nobody asks for out of the shuffle.
+
+Very long texts are one set like any other and are never cut. Other columns are not read;
+``one_of_each`` carries them whatever their names. Of equal texts, and in a component, the
+smallest doc_id stands for the rest.
 
 Edge cases: a null or empty text, or one without words, has no shingle and links with
 nothing. A text of one to four words is one shingle. Copies are linked. Where rows repeat a
@@ -55,6 +61,7 @@ HELD = 2_000_000
 BITS = 1 << 26
 PART_ROWS = 1_500_000
 FAN = 256
+SALTS = 64
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
                   0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -84,7 +91,7 @@ def _sign(u: np.ndarray) -> int:
 
 def _profiles(words: int, batches):
     """Rows of documents (id, size, fingerprint, min-hashes) and of frequent tokens (token, count)."""
-    known, held, n_held = WordHashes(), [], 0
+    known, held, n_held, seen = WordHashes(), [], 0, set()
     names = ["doc_id", "n", "sig", "bands", "token", "count"]
 
     def frequent():
@@ -102,20 +109,23 @@ def _profiles(words: int, batches):
             if len(u):
                 signs.append(_sign(u))
                 bands.append([int((u * m).min().astype(np.int64)) for m in _MULT[:BANDS]])
-                held.append(u)
-                n_held += len(u)
+                if signs[-1] not in seen:
+                    seen.add(signs[-1])
+                    held.append(u)
+                    n_held += len(u)
             else:
                 signs.append(None)
                 bands.append(None)
             if n_held >= HELD:
                 yield frequent()
                 held, n_held = [], 0
+                seen.clear()
         none = pa.nulls(len(sizes)).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), pa.array(bands, pa.list_(pa.int64())), none, none], names)
     yield frequent()
 
 
-PREFIX = ["token", "sig", "n", "end_rank", "end"]
+PREFIX = ["token", "sig", "n", "end_rank", "end", "salt"]
 PREFIX_DDL = ", ".join(f"{x} long" for x in PREFIX)
 
 
@@ -124,13 +134,21 @@ def _keep(n):
     return (3 * n + 3) // 4
 
 
+def _kept(n):
+    """The same as a column."""
+    return F.floor((n * 3 + 3) / 4)
+
+
 def _prefixes(words: int, tokens: np.ndarray, rank: np.ndarray, batches):
-    """(token, class, size, place of the last leading token in the order) of the leading tokens of each set; a class once a task."""
+    """(token, class, size, place of the last leading token in the order, salt) of the leading tokens of each set; a class once a task.
+
+    Frequent tokens, which are known to be shared, have a salt; that of others is -1.
+    """
     known, seen = WordHashes(), set()
     for b in batches:
         items = texts(b.column(0))
         for i, j in chunks(items):
-            out_t, out_s, out_n, out_r, out_e = [], [], [], [], []
+            out_t, out_s, out_n, out_r, out_e, out_x = [], [], [], [], [], []
             for text in items[i:j]:
                 u = shingles(text, known, words)
                 if not len(u) or (s := _sign(u)) in seen:
@@ -145,14 +163,15 @@ def _prefixes(words: int, tokens: np.ndarray, rank: np.ndarray, batches):
                 at = np.argsort(order, kind="stable")[:len(u) - _keep(len(u)) + 1]
                 first = u[at]
                 out_t.append(first)
+                out_x.append(np.where(order[at] > 0, s % SALTS, -1))
                 for out, v in ((out_s, s), (out_n, len(u)), (out_r, order[at[-1]]), (out_e, (first[-1] ^ np.uint64(1 << 63)).astype(np.int64))):
                     out.append(np.full(len(first), v, np.int64))
             if out_t:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_t, out_s, out_n, out_r, out_e)], PREFIX)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_t, out_s, out_n, out_r, out_e, out_x)], PREFIX)
 
 
 def _shared(batches):
-    """Rows of a partition whose token occurs in more than one class."""
+    """Rows of a partition, once each, whose token is frequent or occurs in more than one class."""
     parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
     if not parts:
         return
@@ -162,7 +181,7 @@ def _shared(batches):
     order = order[np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]]
     t = columns[0][order]
     same = t[1:] == t[:-1]
-    order = order[np.r_[False, same] | np.r_[same, False]]
+    order = order[np.r_[False, same] | np.r_[same, False] | (columns[5][order] >= 0)]
     for i in range(0, len(order), 65536):
         yield pa.RecordBatch.from_arrays([pa.array(c[order[i:i + 65536]]) for c in columns], PREFIX)
 
@@ -268,33 +287,60 @@ class NgramJoin:
         return (bands.join(leaders.select("band", "key", "lead"), ["band", "key"]).where("grp <> lead.grp and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)")
                 .select(F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct())
 
-    def group_pairs(self, groups: DataFrame | None) -> DataFrame:
-        """Pairs of classes in different groups that share a leading token, where sizes allow a link; without ``groups`` all such pairs."""
+    def leading(self, groups: DataFrame | None) -> DataFrame:
+        """Leading tokens of every class that others may have too, with the class's group; without ``groups`` each class is one."""
         top = self.tokens.groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
         token, count = top.column(0).to_numpy().astype(np.uint64), top.column(1).to_numpy()
         order = np.argsort(token)
         total = self.profiles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.25 / PART_ROWS) + 1)
         rows = (self.docs.select("text").mapInArrow(partial(_prefixes, self.words, token[order], count[order]), PREFIX_DDL)
-                .repartition(parts, "token").mapInArrow(_shared, PREFIX_DDL))
+                .repartition(parts, "token", "salt").mapInArrow(_shared, PREFIX_DDL))
         own = self.classes.select("sig", "node", F.col("node").alias("grp"))
         if groups is not None:
             own = self.classes.select("sig", "node").join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("grp"))
-        rows = stored(rows.join(own, "sig").select("token", "node", "grp", "n", "end_rank", "end"), "matrix")
-        fan = F.ceil(F.count("*") / FAN).cast("int").alias("fan")
-        open_ = rows.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b"), fan).where("a < b").select("token", "fan")
-        rows = rows.join(open_, "token")
-        # without groups a token's pairs are dealt to several tasks by the set that asks
-        salts = [F.pmod(F.xxhash64("node"), F.col("fan")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1))] if groups is None else [F.lit(0)] * 2
-        a, b = (rows.select("token", salt.alias("salt"), *(F.col(c).alias(f"{c}_{s}") for c in ("node", "grp", "n", "end_rank", "end"))) for salt, s in zip(salts, "ab"))
-        # the larger set asks, the smaller one stands in the group
-        pairs = a.join(b, ["token", "salt"]).where("grp_a <> grp_b and n_a >= n_b and (n_a > n_b or node_a < node_b) and 4 * n_b >= 3 * n_a")
-        # what the set whose prefix ends first has left, beyond its leading tokens, is all that can still agree
-        first = F.struct("end_rank_a", "end_a") <= F.struct("end_rank_b", "end_b")
-        left = F.when(first, F.expr("(3 * n_a + 3) div 4 - 1")).otherwise(F.expr("(3 * n_b + 3) div 4 - 1"))
-        pairs = pairs.select("node_a", "node_b", left.alias("left"), F.expr("(3 * (n_a + n_b) + 6) div 7").alias("need"))
-        pairs = pairs.groupBy("node_a", "node_b").agg(F.count("*").alias("met"), F.first("left").alias("left"), F.first("need").alias("need"))
-        return pairs.where("met + left >= need").select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+        return stored(rows.join(own, "sig").select("token", "node", "grp", "n", F.struct("end_rank", "end").alias("end")), "leading")
+
+    def matrix(self, leading: DataFrame) -> DataFrame:
+        """Token-group matrix: a row per token of a group's union, of tokens that several groups have.
+
+        ``lo`` and ``hi`` are the smallest and largest size of the members that have the token, ``one`` and ``two``
+        the smallest and largest of them, ``last`` the latest end of their leading tokens; the token's askers
+        are dealt to ``fan`` tasks.
+        """
+        union = leading.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("one"), F.max("node").alias("two"),
+                                                    F.max("end").alias("last"), F.count("*").alias("rows"))
+        tokens = union.groupBy("token").agg(F.count("*").alias("groups"), F.ceil(F.sum("rows") / FAN).cast("int").alias("fan")).where("groups > 1")
+        return stored(union.drop("rows").join(tokens.drop("groups"), "token"), "matrix")
+
+    def opened(self, leading: DataFrame, matrix: DataFrame) -> DataFrame:
+        """Classes (u, n, end) with the groups (grp) whose bound on their overlap reaches what a member would need."""
+        asks = leading.join(matrix.select("token", "fan").distinct(), "token")
+        asks = asks.select("token", F.pmod(F.xxhash64("node"), F.col("fan")).cast("int").alias("salt"), F.col("node").alias("u"), F.col("grp").alias("own"), "n", "end")
+        cells = matrix.select("token", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), "grp", "lo", "hi", "one", "two", "last")
+        met = asks.join(cells, ["token", "salt"]).where("own <> grp and lo <= n and 4 * hi >= 3 * n")
+        met = met.groupBy("u", "grp").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("end").alias("end"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                                          F.min("one").alias("one"), F.max("two").alias("two"), F.max("last").alias("last"))
+        # members that end later leave what the class has beyond its leading tokens; those that end first, what they have
+        left = F.when(F.col("end") > F.col("last"), _kept(F.least("n", "hi"))).otherwise(_kept(F.col("n"))) - 1
+        need = F.ceil((F.col("n") + F.greatest(F.col("lo"), _kept(F.col("n")))) * 3 / 7)
+        return stored(met.where(F.col("met") + left >= need).select("u", "grp", "n", "end", "one", "two"), "opened")
+
+    def group_pairs(self, groups: DataFrame | None) -> DataFrame:
+        """Pairs of classes in different groups that the bounds of group and pair leave; without ``groups`` of all classes."""
+        leading = self.leading(groups)
+        opened = self.opened(leading, self.matrix(leading))
+        # where one member alone has tokens of the class, the group's bound is the pair's
+        alone = opened.where("one = two").select("u", F.col("one").alias("v"))
+        if groups is None:
+            return alone.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        own = leading.select(F.col("node").alias("u"), "token")
+        members = leading.select("grp", "token", F.col("node").alias("v"), F.col("n").alias("size"), F.col("end").alias("until"))
+        met = (opened.where("one < two").join(own, "u").join(members, ["grp", "token"]).where("size <= n and 4 * size >= 3 * n")
+               .groupBy("u", "v").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("size").alias("size"), (F.first("end") <= F.first("until")).alias("first")))
+        left = F.when(F.col("first"), _kept(F.col("n"))).otherwise(_kept(F.col("size"))) - 1
+        several = met.where(F.col("met") + left >= F.ceil((F.col("n") + F.col("size")) * 3 / 7)).select("u", "v")
+        return alone.union(several).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
     def links(self) -> DataFrame:
         """Links (u, v) between class nodes that connect every component."""
