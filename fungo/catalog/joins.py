@@ -137,8 +137,8 @@ select m.threshold, b.bucket, count(*) as bets from (
  cross join (select unnest([0.0, 0.02, 0.04, 0.06]::double[]) as threshold) m where b.edge > m.threshold group by 1, 2""")
 def config_grid_cross(t):
     b = t.odds_v.select(F.when(c("home_ml") < 100, "favorite").otherwise("underdog").alias("bucket"), (c("p_model") - c("p_market")).alias("edge"))
-    grid = j.grid_cross(b, threshold=[0.0, 0.02, 0.04, 0.06])
-    return grid.filter("edge > threshold").groupBy("threshold", "bucket").agg(F.count("*").alias("bets"))
+    out = j.grid_aggregate(b, ["bucket"], {"threshold": [0.0, 0.02, 0.04, 0.06]}, lambda at: {"bets": F.count_if(c("edge") > at["threshold"])})
+    return out.filter("bets > 0").select("threshold", "bucket", "bets")
 
 
 @query("id_crosswalk_join", """

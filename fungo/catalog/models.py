@@ -118,9 +118,7 @@ _SETS = blend.weight_grid(_MODELS, _MODELS)
     f"select '{n}' as model, count(p) as games, {m('((p - home_win) * (p - home_win))')} as brier from (select home_win, {_blend_sql(w)} as p from wide) x" for n, w in _SETS.items()), {"wide": _WIDE})
 def blend_grid(t):
     from fungo.operators.decision import exact_avg
-    long = blend.blend_grid(_wide(t), ["home_win"], _SETS)
-    gap = c("p") - c("home_win")
-    return long.groupBy("model").agg(F.count("p").alias("games"), exact_avg(gap * gap).alias("brier"))
+    return blend.blend_grid(_wide(t), _SETS, lambda p: {"games": F.count(p), "brier": exact_avg((p - c("home_win")) * (p - c("home_win")))})
 
 
 @query("stacking")

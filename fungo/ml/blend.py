@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -30,8 +30,15 @@ def weight_grid(models: Sequence[str], trio: Sequence[str], steps: Sequence[floa
     return sets
 
 
-def blend_grid(wide: DataFrame, ids: Sequence[str], sets: Mapping[str, Mapping[str, float]]) -> DataFrame:
-    """Long form (ids, model, p) of every weight set; no join and no shuffle."""
-    have = wide.columns
-    parts = [F.struct(F.lit(n).alias("model"), weighted_blend(w, have).alias("p")) for n, w in sets.items()]
-    return wide.select(*ids, F.inline(F.array(*parts)))
+def blend_grid(wide: DataFrame, sets: Mapping[str, Mapping[str, float]], aggs: Callable[[Column], Mapping[str, Column]]) -> DataFrame:
+    """A row per weight set: model and the aggregates that ``aggs`` makes of its blend.
+
+    The aggregates of all sets are columns of one pass, unpivoted afterwards; rows are not
+    multiplied by the sets. Without input rows every set has one row still.
+    """
+    have, columns, cells = wide.columns, [], []
+    for i, (name, weights) in enumerate(sets.items()):
+        found = aggs(weighted_blend(weights, have))
+        columns += [agg.alias(f"_{i}_{k}") for k, agg in found.items()]
+        cells.append(F.struct(F.lit(name).alias("model"), *[F.col(f"_{i}_{k}").alias(k) for k in found]))
+    return wide.agg(*columns).select(F.inline(F.array(*cells)))

@@ -8,7 +8,8 @@ skew join splits large keys of the rest.
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping, Sequence
+import itertools
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -163,11 +164,20 @@ def window_range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], da
     return left.join(found, [*keys, day], "left")
 
 
-def grid_cross(df: DataFrame, **axes: Sequence[float]) -> DataFrame:
-    """Each row once per point of a small parameter grid, without a join."""
-    for name, points in axes.items():
-        df = df.withColumn(name, F.explode(F.array(*[F.lit(p) for p in points])))
-    return df
+def grid_aggregate(df: DataFrame, by: Sequence[str], axes: Mapping[str, Sequence[float]],
+                   aggs: Callable[[Mapping[str, Column]], Mapping[str, Column]]) -> DataFrame:
+    """Aggregates of ``df`` per group at every point of a small parameter grid, from one pass over the rows.
+
+    ``aggs`` gives the named aggregates at a point. All points are columns of one wide
+    aggregate, unpivoted afterwards, so rows are never multiplied by the grid.
+    """
+    points = [{k: F.lit(v) for k, v in zip(axes, p)} for p in itertools.product(*axes.values())]
+    wide, cells = [], []
+    for i, point in enumerate(points):
+        found = aggs(point)
+        wide += [agg.alias(f"_{i}_{name}") for name, agg in found.items()]
+        cells.append(F.struct(*[v.alias(k) for k, v in point.items()], *[F.col(f"_{i}_{name}").alias(name) for name in found]))
+    return df.groupBy(*by).agg(*wide).select(*by, F.inline(F.array(*cells)))
 
 
 def id_crosswalk_join(fact: DataFrame, crosswalk: DataFrame, attributes: DataFrame, source_id: str, register_id: str,
