@@ -151,14 +151,17 @@ def rolling_prior(
     inclusive: bool = False,
     source: DataFrame | None = None,
     position: str | None = None,
+    reset_by: Sequence[str] = (),
 ) -> DataFrame:
     """Aggregates over the last n rows before the current one (up to it, if ``inclusive``).
 
     ``aggs`` maps an output name to (avg | sum | count | min | max, column, n,
     min_periods). Null values fill a place in the frame but are not counted
     towards ``min_periods``. All frames share one sort. ``position`` names a column
-    that already holds the row's 1-based place in its key.
+    that already holds the row's 1-based place in its key. Frames start anew where a
+    column of ``reset_by``, such as the season, changes; a place counts within both.
     """
+    keys = [*keys, *reset_by]
     placed = _in_blocks(df, keys, order, max(n for _, _, n, _ in aggs.values()), cell, block_rows, source, position)
     w = W.partitionBy(*keys, "_block").orderBy("_at")
     fns = {"avg": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}

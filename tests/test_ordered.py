@@ -141,3 +141,14 @@ def test_prefix_frames_equal_plain_windows(spark, block):
                     seen = [x for _, x in own[max(0, i - size):i] if x is not None]
                     want = sum(seen) / len(seen) / (1 if value == "x" else 1000) if len(seen) >= max(least, 1) else None
                     assert got[k, n][name] == (None if want is None else pytest.approx(want, rel=1e-12))
+
+
+@pytest.mark.parametrize("block_rows", [1, 2, 100])
+def test_frames_start_anew_by_season(spark, block_rows):
+    rows = [(team, season, day, day * (3 if team == "A" else 5)) for team in "AB" for season in (2000, 2001) for day in range(1, 6)]
+    df = spark.createDataFrame(rows, "team string, season int, day int, x int")
+    got = o.rolling_prior(df, ["team"], ["season", "day"], {"s": ("sum", "x", 3, 1)}, block_rows=block_rows, reset_by=["season"])
+    assert got.columns == [*df.columns, "s"]
+    for r in got.collect():
+        before = [x for t, s, d, x in rows if (t, s) == (r.team, r.season) and r.day - 3 <= d < r.day]
+        assert r.s == (sum(before) if before else None)
