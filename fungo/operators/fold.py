@@ -15,6 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def _whole(values: Sequence) -> pd.Series:
+    """A column of exact values: integers beside nulls are not made floats."""
+    return pd.Series(list(values), dtype=object)
+
+
 def ordered_fold(df: DataFrame, group: Sequence[str], order: Sequence[str], inputs: Sequence[str],
                  step: Callable[[tuple, tuple], tuple[tuple, tuple]], outputs: Mapping[str, str], initial: tuple) -> DataFrame:
     """Add ``outputs`` and ``_pos``, the position in the group from 1, by calling ``step(state, inputs) -> (state, outputs)`` on each row in order.
@@ -36,6 +41,33 @@ def ordered_fold(df: DataFrame, group: Sequence[str], order: Sequence[str], inpu
                 at += 1
                 made.append((at, *out))
             columns = zip(*made) if made else [[] for _ in range(len(results) + 1)]
-            yield pdf.assign(**{n: list(v) for n, v in zip(["_pos", *results], columns)})
+            yield pdf.assign(**{n: _whole(v).set_axis(pdf.index) for n, v in zip(["_pos", *results], columns)})
 
     return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(walk, schema)
+
+
+def ordered_end(df: DataFrame, group: Sequence[str], order: Sequence[str], inputs: Sequence[str],
+                step: Callable[[tuple, tuple], tuple], outputs: Mapping[str, str], initial: tuple, finish: Callable[[tuple], tuple]) -> DataFrame:
+    """One row per group: ``finish`` of the state that ``step(state, inputs) -> state`` leaves after the group's last row.
+
+    Only the columns named are moved, and no row per input row is made; otherwise as ``ordered_fold``.
+    """
+    group = list(group)
+    schema = ", ".join([*(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group), *(f"`{n}` {t}" for n, t in outputs.items())])
+    made = lambda key, state: pd.DataFrame({n: _whole([v]) for n, v in zip([*group, *outputs], [*key, *finish(state)])})
+    null = lambda v: None if pd.isna(v) else v
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, now = None, initial
+        for pdf in batches:
+            for k, row in zip(zip(*[pdf[g].map(null) for g in group]), zip(*[pdf[i] for i in inputs])):
+                if k != key:
+                    if key is not None:
+                        yield made(key, now)
+                    key, now = k, initial
+                now = step(now, row)
+        if key is not None:
+            yield made(key, now)
+
+    few = df.select(*dict.fromkeys([*group, *order, *inputs]))
+    return few.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(walk, schema)

@@ -10,14 +10,17 @@ a running aggregate and fully parallel.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fungo.functions import odds
 from fungo.operators import ordered
-from fungo.operators.fold import ordered_fold
+from fungo.operators.fold import ordered_end, ordered_fold
 
 CENTS = "decimal(18,2)"
+# money of a path: every whole number of cents that a bigint holds
+PATH = "decimal(19,2)"
 UNIT_F, UNIT_N = 10**8, 10**6
 
 
@@ -25,13 +28,35 @@ def _half_up(num: int, den: int) -> int:
     return (2 * num + den) // (2 * den)
 
 
-def _settle(state: tuple, bet: tuple) -> tuple[tuple, tuple]:
-    """One bet, in whole cents."""
+def _held(cents: int) -> int | None:
+    """Cents as a bigint column holds them; null for more, as a compounding path has no bound."""
+    return cents if -2**63 <= cents < 2**63 else None
+
+
+def _bet(state: tuple, bet: tuple) -> tuple[tuple, int, int]:
+    """One bet, in whole cents of any size: the balance after it, stake and result."""
     (balance,), (share, net, won) = state, bet
     balance = int(balance)
     stake = _half_up(balance * int(share), UNIT_F) if balance > 0 else 0
     result = _half_up(stake * int(net), UNIT_N) if won == 1 else (-stake if won == 0 else 0)
-    return (balance + result,), (stake, result, balance + result)
+    return (balance + result,), stake, result
+
+
+def _settle(state: tuple, bet: tuple) -> tuple[tuple, tuple]:
+    after, stake, result = _bet(state, bet)
+    return after, (_held(stake), _held(result), _held(*after))
+
+
+def _prepared(bets: DataFrame, share: Column, ml: Column, won: Column) -> DataFrame:
+    return bets.withColumns({
+        "_share": F.floor(share * UNIT_F + 0.5).cast("bigint"),
+        "_net": F.floor(F.coalesce(odds.net_odds(ml), F.lit(0.0)) * UNIT_N + 0.5).cast("bigint"),
+        "_won": F.coalesce(won.cast("int"), F.lit(-1)),
+    })
+
+
+def _dollars(name: str) -> Column:
+    return (F.col(name).cast("decimal(20,0)") / 100).cast(PATH)
 
 
 def ledger_fold(bets: DataFrame, group: Sequence[str], order: Sequence[str], share: Column, ml: Column, won: Column,
@@ -39,17 +64,12 @@ def ledger_fold(bets: DataFrame, group: Sequence[str], order: Sequence[str], sha
     """Per-bet stake, pnl and balance, each group starting from ``start``.
 
     stake = round(balance * share, 2); pnl = round(stake * net odds, 2) when won,
-    -stake when lost, 0 while pending.
+    -stake when lost, 0 while pending. The balance is exact at any size; an amount of
+    2^63 cents or more is null in its row.
     """
-    prepared = bets.withColumns({
-        "_share": F.floor(share * UNIT_F + 0.5).cast("bigint"),
-        "_net": F.floor(F.coalesce(odds.net_odds(ml), F.lit(0.0)) * UNIT_N + 0.5).cast("bigint"),
-        "_won": F.coalesce(won.cast("int"), F.lit(-1)),
-    })
-    path = ordered_fold(prepared, group, order, ["_share", "_net", "_won"], _settle, {"_stake": "bigint", "_pnl": "bigint", "_after": "bigint"},
-                        (int(round(start * 100)),))
-    cents = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast(CENTS)
-    return path.select(*bets.columns, cents("_stake").alias("stake"), cents("_pnl").alias("pnl"), cents("_after").alias("bankroll"),
+    path = ordered_fold(_prepared(bets, share, ml, won), group, order, ["_share", "_net", "_won"], _settle,
+                        {"_stake": "bigint", "_pnl": "bigint", "_after": "bigint"}, (int(round(start * 100)),))
+    return path.select(*bets.columns, _dollars("_stake").alias("stake"), _dollars("_pnl").alias("pnl"), _dollars("_after").alias("bankroll"),
                        F.col("_pos").alias("bet_number"))
 
 
@@ -85,7 +105,9 @@ def strategy_sweep(bets: DataFrame, season: Sequence[str], order: Sequence[str],
     """Final bankroll of every (strategy, season): a fold over a grid of settings.
 
     ``strategies`` lists (strategy, min_edge, frac, cap, min_odds, max_odds); they are
-    exploded in the row, and bets a strategy does not take are dropped at once.
+    exploded in the row, and bets a strategy does not take are dropped at once. Amounts are
+    exact at any size: as text in whole cents (``staked_text``, ``pnl_text``, ``final_text``),
+    and as money where a bigint of cents holds them, else null.
     """
     kinds = [p.split() for p in STRATEGY.split(", ")]
     grid = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(s, kinds)]) for s in strategies])
@@ -94,7 +116,21 @@ def strategy_sweep(bets: DataFrame, season: Sequence[str], order: Sequence[str],
         & (F.col("min_odds").isNull() | (F.col("odds") >= F.col("min_odds")))
         & (F.col("max_odds").isNull() | (F.col("odds") <= F.col("max_odds"))))
     share = odds.kelly_fraction(F.col("model_prob"), F.col("odds"), F.col("frac"), F.col("cap"))
-    path = ledger_fold(wide, ["strategy", *season], order, share, F.col("odds"), F.col("won"), start)
-    return path.groupBy("strategy", *season).agg(
-        F.count(F.lit(1)).alias("bets"), F.count_if("won").alias("wins"), F.sum("stake").alias("staked"), F.sum("pnl").alias("pnl"),
-        F.max_by("bankroll", "bet_number").alias("final_bankroll"))
+    first = int(round(start * 100))
+
+    def step(state: tuple, bet: tuple) -> tuple:
+        balance, staked, n, wins = state
+        (after,), stake, _ = _bet((balance,), bet)
+        return after, staked + stake, n + 1, wins + (bet[2] == 1)
+
+    def finish(state: tuple) -> tuple:
+        after, staked, n, wins = state
+        sums = (staked, after - first, after)
+        # Decimal writes integers of any length
+        return n, wins, *map(_held, sums), *(str(Decimal(x)) for x in sums)
+
+    outputs = {"bets": "bigint", "wins": "bigint", "staked": "bigint", "pnl": "bigint", "final_bankroll": "bigint",
+               "staked_text": "string", "pnl_text": "string", "final_text": "string"}
+    ends = ordered_end(_prepared(wide, share, F.col("odds"), F.col("won")), ["strategy", *season], order, ["_share", "_net", "_won"], step, outputs,
+                       (first, 0, 0, 0), finish)
+    return ends.withColumns({n: _dollars(n) for n in ("staked", "pnl", "final_bankroll")})

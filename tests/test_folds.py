@@ -44,6 +44,32 @@ def test_batches_give_one_path(spark, batch_rows, chunk):
             assert got[(g, n)] == Dec(cents) / 100
 
 
+@pytest.mark.parametrize("chunk", [1000, 37])
+def test_paths_beyond_a_bigint(spark, batch_rows, chunk):
+    """A balance that compounds past 2^63 cents goes on exactly."""
+    batch_rows(chunk)
+    n = 400
+    bets = spark.range(n).selectExpr("cast(1998 + id % 2 as int) season", "id as n", "0.6D as model_prob", "0.1D as edge", "100.0D as odds", "id % 6 < 4 as won")
+    ends = {r["season"]: r for r in l.strategy_sweep(bets, ["season"], ["n"], [("s", 0.0, 1.0, 0.5, None, None), ("t", 0.5, 1.0, 0.5, None, None)]).collect()}
+    path = l.ledger_fold(bets.filter("season = 1998"), ["season"], ["n"], F.lit(0.9), F.lit(900.0), F.col("won")).orderBy("n").collect()
+    for season in (1998, 1999):
+        cents, staked, wins = 10000, 0, 0
+        for i in range(season - 1998, n, 2):
+            stake = (2 * cents * 20000000 + 10**8) // (2 * 10**8)
+            won = i % 6 < 4
+            cents, staked, wins = cents + (stake if won else -stake), staked + stake, wins + won
+        r = ends[season]
+        assert (r["bets"], r["wins"], r["final_text"], r["staked_text"], r["pnl_text"]) == (n // 2, wins, str(cents), str(staked), str(cents - 10000))
+        assert r["final_bankroll"] == (Dec(cents) / 100 if cents < 2**63 else None)
+    cents, seen = 10000, set()
+    for r in path:
+        stake = (2 * cents * 9 * 10**7 + 10**8) // (2 * 10**8)
+        cents += 9 * stake if r["won"] else -stake
+        assert r["bankroll"] == (Dec(cents) / 100 if cents < 2**63 else None)
+        seen.add(r["bankroll"] is None)
+    assert seen == {True, False}
+
+
 def test_money_rounds_halves_up(spark):
     row = spark.range(1).select(odds.money(F.lit(1.115)).alias("a"), odds.money(F.lit(1.005)).alias("b"), odds.pnl(F.lit(0.5).cast("decimal(18,2)"), F.lit(101.0), F.lit(True)).alias("c")).first()
     assert tuple(row) == (Dec("1.12"), Dec("1.01"), Dec("0.51"))
