@@ -108,6 +108,22 @@ def test_tercile_skip_rules(spark):
     assert count([0] * 28 + [1, 2]) == 0
 
 
+def test_tercile_rows_stay_where_they_are(spark):
+    """No task sorts a whole key: rows meet the bounds of their key without an exchange of rows."""
+    df = spark.range(0, 5000, 1, 4).selectExpr("concat('f', id % 3) as feature", "cast(id as double) as value")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = a.tercile_bins(df, ["feature"], "value")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {(r["feature"], r["bucket"]): r["count"] for r in out.groupBy("feature", "bucket").count().collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("SortMergeJoin") <= 1  # bounds with sizes, a row per key
+    assert sum(got.values()) == 5000 and len(got) == 9 and max(got.values()) - min(got.values()) <= 1
+
+
 def test_bins_edges_and_empty_bins(spark):
     df = spark.createDataFrame([(x,) for x in (-0.01, 0.0, 0.01, 0.08)], "edge double")
     lab = [r[0] for r in df.select(a.bin_label(F.col("edge"), a.EDGE_BINS)).collect()]
