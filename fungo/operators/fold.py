@@ -55,12 +55,13 @@ def ordered_end(df: DataFrame, group: Sequence[str], order: Sequence[str], input
     group = list(group)
     schema = ", ".join([*(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group), *(f"`{n}` {t}" for n, t in outputs.items())])
     made = lambda key, state: pd.DataFrame({n: _whole([v]) for n, v in zip([*group, *outputs], [*key, *finish(state)])})
-    null = lambda v: None if pd.isna(v) else v
+    # nulls are one key, not a NaN that differs from itself
+    keys = lambda column: column.astype(object).where(column.notna(), None)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, now = None, initial
         for pdf in batches:
-            for k, row in zip(zip(*[pdf[g].map(null) for g in group]), zip(*[pdf[i] for i in inputs])):
+            for k, row in zip(zip(*[keys(pdf[g]) for g in group]), zip(*[pdf[i] for i in inputs])):
                 if k != key:
                     if key is not None:
                         yield made(key, now)

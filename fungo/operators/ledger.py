@@ -9,6 +9,7 @@ a running aggregate and fully parallel.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -117,20 +118,22 @@ def strategy_sweep(bets: DataFrame, season: Sequence[str], order: Sequence[str],
         & (F.col("max_odds").isNull() | (F.col("odds") <= F.col("max_odds"))))
     share = odds.kelly_fraction(F.col("model_prob"), F.col("odds"), F.col("frac"), F.col("cap"))
     first = int(round(start * 100))
+    prepared = _prepared(wide, share, F.col("odds"), F.col("won")).withColumn(
+        "_alone", functools.reduce(lambda x, y: x | y, [F.col(k).isNull() for k in season], F.lit(False)))
 
     def step(state: tuple, bet: tuple) -> tuple:
-        balance, staked, n, wins = state
-        (after,), stake, _ = _bet((balance,), bet)
-        return after, staked + stake, n + 1, wins + (bet[2] == 1)
+        balance, staked, pnl, n, wins = state
+        # bets of no season follow no other: each starts anew, and they are summed
+        (after,), stake, result = _bet((first if bet[3] else balance,), bet[:3])
+        return after, staked + stake, pnl + result, n + 1, wins + (bet[2] == 1)
 
     def finish(state: tuple) -> tuple:
-        after, staked, n, wins = state
-        sums = (staked, after - first, after)
+        after, staked, pnl, n, wins = state
+        sums = (staked, pnl, after)
         # Decimal writes integers of any length
         return n, wins, *map(_held, sums), *(str(Decimal(x)) for x in sums)
 
     outputs = {"bets": "bigint", "wins": "bigint", "staked": "bigint", "pnl": "bigint", "final_bankroll": "bigint",
                "staked_text": "string", "pnl_text": "string", "final_text": "string"}
-    ends = ordered_end(_prepared(wide, share, F.col("odds"), F.col("won")), ["strategy", *season], order, ["_share", "_net", "_won"], step, outputs,
-                       (first, 0, 0, 0), finish)
+    ends = ordered_end(prepared, ["strategy", *season], order, ["_share", "_net", "_won", "_alone"], step, outputs, (first, 0, 0, 0, 0), finish)
     return ends.withColumns({n: _dollars(n) for n in ("staked", "pnl", "final_bankroll")})

@@ -70,6 +70,18 @@ def test_paths_beyond_a_bigint(spark, batch_rows, chunk):
     assert seen == {True, False}
 
 
+def test_bets_of_no_season_are_one_row(spark):
+    """Each starts from the first balance, as one that follows no other; they are summed."""
+    rows = [(season, n, 0.6, 0.1, 100.0, n % 2 == 0) for n, season in enumerate((None, 1998, None, None, 1998))]
+    bets = spark.createDataFrame(rows, "season int, n long, model_prob double, edge double, odds double, won boolean")
+    got = {r["season"]: r for r in l.strategy_sweep(bets, ["season"], ["n"], [("s", 0.0, 1.0, 0.5, None, None)]).collect()}
+    assert len(got) == 2
+    r = got[None]  # 20 dollars each: won, won, lost
+    assert (r["bets"], r["wins"], r["staked"], r["pnl"], r["final_bankroll"]) == (3, 2, Dec(60), Dec(20), Dec(80))
+    r = got[1998]  # lost 20 of 100, won 16 of 80
+    assert (r["bets"], r["wins"], r["staked"], r["pnl"], r["final_bankroll"]) == (2, 1, Dec(36), Dec(-4), Dec(96))
+
+
 def test_money_rounds_halves_up(spark):
     row = spark.range(1).select(odds.money(F.lit(1.115)).alias("a"), odds.money(F.lit(1.005)).alias("b"), odds.pnl(F.lit(0.5).cast("decimal(18,2)"), F.lit(101.0), F.lit(True)).alias("c")).first()
     assert tuple(row) == (Dec("1.12"), Dec("1.01"), Dec("0.51"))
