@@ -55,3 +55,35 @@ def test_union_of_asof_sources(spark):
     got = j.asof_union(asks, ["k"], "day", {"upto": j.Source(known, "at", ["v"], tie=["tie"]), "before": j.Source(known, "at", ["v"], inclusive=False, tie=["tie"])}, sums=(outs, "outs", 3))
     rows = sorted((r.k, r.day.day - 1, r.upto and r.upto.v, r.before and r.before.v, r.outs_sum) for r in got.collect())
     assert rows == [("a", 5, 20, 30, 53), ("a", 5, 20, 30, 53), ("a", 9, 20, 20, 7), ("b", 5, None, None, 0), ("c", 1, None, None, None)]
+
+
+def test_runs_to_end_from_one_reading(spark):
+    """Plays that lie by game are summed where they are; a half without a side has no end."""
+    from fungo.plans import plays
+
+    rows = [(g, side, n, r) for g in range(6) for side in (0, 1, None) for n, r in enumerate((1, 0, 2))]
+    df = spark.createDataFrame(rows, "game_pk long, side int, play int, runs_scored int").repartition(4, "game_pk")
+    out = plays.with_runs_to_end(df, ["game_pk", "side"], ["play"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Scan ExistingRDD") == 1
+    got = {(r["side"], r["play"]): (r["runs_before"], r["runs_to_end"]) for r in out.collect()}
+    for side in (0, 1):
+        assert [got[side, n] for n in range(3)] == [(0, 3), (1, 2), (1, 2)]
+    assert [got[None, n][1] for n in range(3)] == [None] * 3
+
+
+def test_states_are_not_exchanged(spark):
+    """Plays meet the table of states without being moved to its few keys."""
+    from fungo.plans import plays
+
+    rows = [(g, 0, n, "0_0", "1_0", 1, 1990 + g % 3, n % 2) for g in range(9) for n in range(3)]
+    df = spark.createDataFrame(rows, "game_pk long, side int, play int, state_before string, state_after string, outs_after int, season int, runs_scored int")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = plays.play_values(df, ["game_pk", "side"], ["play"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
