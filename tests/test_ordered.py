@@ -168,3 +168,11 @@ def test_frames_start_anew_by_season(spark, block_rows):
     for r in got.collect():
         before = [x for t, s, d, x in rows if (t, s) == (r.team, r.season) and r.day - 3 <= d < r.day]
         assert r.s == (sum(before) if before else None)
+
+
+def test_war_of_two_years_in_one_join(spark):
+    people = spark.createDataFrame([(1, 2000, 7), (1, 2000, 8), (2, 2000, 9), (2, None, 7), (3, 2001, 7)], "g int, season int, who int")
+    values = spark.createDataFrame([(7, 1999, 5), (7, 1998, 50), (8, 1998, 4), (9, 1997, 3), (7, None, 90)], "who int, season int, war long")
+    out = j.war_fallback_join(people, values, ["g"], "season", "who", "war", "total")
+    assert {r["g"]: r["total"] for r in out.collect()} == {1: 9, 2: 0, 3: 5}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
