@@ -123,3 +123,20 @@ def test_market_comparison_has_every_model_and_subset(games):
     df = games.withColumn("market", F.when(F.col("game_pk") % 2 == 0, 1 / (1 + F.exp(-F.col("a")))))
     got = {(r.model, r.subset): r.games for r in train.market_comparison(df, ["a", "b"], "market", 2001).collect()}
     assert got == {("blind", "all"): 100, ("aware", "all"): 100, ("blind", "with odds"): 50, ("aware", "with odds"): 50, ("market", "with odds"): 50}
+
+
+def test_kept_tables_are_files(spark):
+    """Concurrent fits read files; no plan with subqueries or running stages goes along with their jobs."""
+    n = spark.range(3).groupBy().count().scalar()
+    kept = train.held(spark.range(5).withColumn("n", n).withColumn("x", F.lit(1.5)))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "InMemoryTableScan" not in plan and "Subquery" not in plan
+    assert sorted(tuple(r) for r in kept.collect()) == [(i, 3, 1.5) for i in range(5)]
+
+
+def test_ablation_confirms_with_the_probabilities_of_the_screen(games, monkeypatch):
+    calls, fit = [], train.walk_forward
+    monkeypatch.setattr(train, "walk_forward", lambda *a, **k: calls.append(1) or fit(*a, **k))
+    out = train.ablation(games, {"none": [], "b": ["b"]}, ["a", "b"], ["b"], [2000, 2001], confirm=1).collect()
+    assert len(calls) == 3  # two regressions and the trees of the best
+    assert sorted((r["stage"], r["games"]) for r in out) == [("confirm", 200), ("screen", 200), ("screen", 200)]
