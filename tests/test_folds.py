@@ -110,3 +110,13 @@ def test_pitcher_logs(spark):
     text = [*HEAD, "play,1,0,a,00,X,K", "play,1,0,b,00,X,HR", "sub,p3,\"C Three\",1,9,1", "play,1,0,c,00,X,64(1)3/GDP", "play,1,1,d,00,X,S8.3-H", "id,BOS202404060", "play,1,0,z,00,X,K"]
     got = {r["pitcher_id"]: (r["team_side"], r["is_starter"], r["outs_recorded"], r["runs_allowed"], r["home_team"]) for r in plays.pitcher_logs(event_file_scan(lines(spark, *text))).collect()}
     assert got == {"p1": (0, True, 0, 1, "NYY"), "p2": (1, True, 1, 1, "NYY"), "p3": (1, False, 2, 0, "NYY")}
+
+
+def test_pitcher_logs_name_the_first_announcement(spark):
+    """A pitcher who comes back keeps the first announcement; plays are moved without their texts."""
+    text = [*HEAD, "play,1,0,a,00,X,K", "sub,p3,\"C Three\",1,9,1", "play,1,0,b,00,X,K", "sub,p2,\"Another Name\",1,9,1", "play,1,0,c,00,X,HR"]
+    out = plays.pitcher_logs(event_file_scan(lines(spark, *text)))
+    got = {r["pitcher_id"]: (r["pitcher_name"], r["is_starter"], r["outs_recorded"], r["runs_allowed"]) for r in out.collect()}
+    assert got == {"p1": ("A One", True, 0, 0), "p2": ("B Two", True, 1, 1), "p3": ("C Three", False, 1, 0)}
+    # file scan twice, games, and one join of pitchers with what games tell
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 5
