@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, functions as F
 
 
 def main_event(event: Column) -> Column:
     """Event without runner advances and modifiers."""
-    return F.trim(F.regexp_extract(event, r"^([^./]*)", 1))
+    return F.trim(F.substring_index(F.substring_index(event, ".", 1), "/", 1))
 
 
 def runs_on_play(event: Column) -> Column:
@@ -16,7 +18,7 @@ def runs_on_play(event: Column) -> Column:
     A home run scores the batter even where the text lists only the other runners.
     """
     advances = F.regexp_count(event, F.lit("-H"))
-    batter = (main_event(event).rlike("^HR") & ~event.contains("B-H")).cast("int")
+    batter = (main_event(event).startswith("HR") & ~event.contains("B-H")).cast("int")
     return (advances + batter).cast("int")
 
 
@@ -26,14 +28,15 @@ def outs_on_play(event: Column) -> Column:
     Passed balls, balks and wild pitches come before the one-letter out codes, so
     that PB is not taken for a pop-out.
     """
-    primary = F.regexp_extract(event, r"^([^.]*)", 1)
+    primary = F.substring_index(event, ".", 1)
     ev = main_event(event)
+    begins = lambda *heads: functools.reduce(lambda x, y: x | y, [ev.startswith(h) for h in heads])
     out = (F.when(event.isNull() | (event == "") | (event == "NP"), 0)
            .when(primary.contains("TP"), 3)
            .when(primary.contains("DP"), 2)
-           .when(ev.rlike("^CS") | (ev.rlike("^PO") & ~ev.contains("E")), 1)
-           .when(ev.rlike("^(PB|PO|FC|FLE)"), 0)
-           .when(ev.rlike("^(K|!K|G|F|L|P)"), 1)
+           .when(begins("CS") | (begins("PO") & ~ev.contains("E")), 1)
+           .when(begins("PB", "PO", "FC", "FLE"), 0)
+           .when(begins("K", "!K", "G", "F", "L", "P"), 1)
            .when(ev.rlike("^[0-9]"), 1)
            .otherwise(0))
     return out.cast("int")
