@@ -87,3 +87,9 @@ def test_states_are_not_exchanged(spark):
     finally:
         spark.conf.set(key, before)
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_season_values_are_read_from_files(spark):
+    """The order lines behind the values of a season are read once, when these are written, not at every use."""
+    plan = catalog.QUERIES["stuff_attach"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
