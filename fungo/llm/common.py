@@ -27,11 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again; cuts the lineage."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written to the shared folder, by these options, and read again; cuts the lineage."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/text-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

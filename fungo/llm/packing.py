@@ -51,11 +51,17 @@ SHARD = 6 << 20
 MOST = 256
 PROFILE = 256
 ROUNDS = 3
+POSTINGS = 1 << 18
+NEAREST = 32
 END = 2
 K1, B = 1.2, 0.75
-MEMO = 400_000
+MEMO = 300_000
+LONG = 10
 #: A full stop or comma behind anything but a blank, a digit or a letter that stays one when lower-cased. Other white space is a mark too.
 MARKS = re.compile(r"[^ 0-9A-Za-zÀ-ÖØ-öø-įı-ɏ][.,] ")
+#: Words of small Latin-1 letters, digits and marks, without those of contractions and special tokens; the tokenizer cuts them into these parts.
+PLAIN = re.compile(r"[a-zß-öø-ÿ0-9!-&(-/:;=-@\[-`{}~]*")
+CUTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{}~]+")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -63,10 +69,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Encoder:
     """Token ids of texts as packed unsigned integers.
 
-    Words are remembered until there are ``MEMO`` of them; later ones are encoded when they
-    occur. So that there are fewer, ASCII texts are lower-cased first, as the tokenizer does,
-    and full stops and commas that end words become words of their own, unless the text has
-    one behind another mark: behind letters and digits the tokenizer cuts there too.
+    Words are remembered until there are ``MEMO`` of them. So that there are fewer, texts of
+    Latin-1 characters are lower-cased first, as the tokenizer does, and full stops and commas
+    that end words become words of their own, unless the text has one behind another mark:
+    behind letters and digits the tokenizer cuts there too. A word of ``PLAIN`` characters is
+    cut as the tokenizer cuts it and given to its model; others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -75,35 +82,54 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = _Words(self.tokenizer, "H" if self.kind.itemsize == 2 else "I")
         self.end = np.array([END], self.kind).tobytes()
 
     def __call__(self, items: list[bytes]) -> list[bytes]:
-        split = []
+        known, out = self.known, []
+        at = known.__getitem__
         for x in items:
             text = x.decode("utf-8", "replace")
-            if text.isascii():
+            if text.isascii() or _is_latin(text):
                 text = text.lower()
             text = text.replace("\n", " ") + " "
             if not MARKS.search(text):
                 text = text.replace(". ", " . ").replace(", ", " , ")
-            split.append(text.split(" "))
-        known = self.known
-        words = set().union(*split)
-        new = list(words - known.keys())
-        if new:
-            found = {}
-            for i in range(0, len(new), 10_000):
-                part = new[i:i + 10_000]
-                found.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-            if len(known) + len(found) > MEMO:
-                found.update((w, known[w]) for w in words & known.keys())
-                known = found
-            else:
-                known.update(found)
-        at = known.__getitem__
-        return [b"".join(map(at, words)) + self.end for words in split]
+            out.append(b"".join(map(at, text.split(" "))) + self.end)
+            if len(known) > MEMO:
+                known.clear()
+        return out
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class _Words(dict):
+    """Packed token ids of words; those of more than ``LONG`` characters seldom come again and are not remembered."""
+
+    def __init__(self, tokenizer, code: str):
+        super().__init__()
+        self.tokenizer, self.code = tokenizer, code
+        # what the tokenizer makes of letters that are not ASCII
+        self.letters = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+
+    def __missing__(self, word: str) -> bytes:
+        plain = word.isascii() and word.isalpha() and word.islower()
+        if plain or PLAIN.fullmatch(word):
+            ids, tokenize = [], self.tokenizer.model.tokenize
+            for part in (word,) if plain else CUTS.findall(word):
+                ids += [t.id for t in tokenize(part if part.isascii() else part.translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        found = array(self.code, ids).tobytes()
+        if len(word) <= LONG:
+            self[word] = found
+        return found
 
 
 @lru_cache(maxsize=1)
@@ -116,21 +142,21 @@ ENCODED = "doc_id long, ids binary, hash long, token int, df long, docs long, si
 
 
 def _encode(path: str, batches):
-    """Rows of documents (id, token ids, hash) and of tokens (token, documents that hold it); token -1 has the documents and all their tokens."""
+    """Rows of documents (id, token ids, hash, size) and of tokens (token, documents that hold it); token -1 has the documents and all their tokens."""
     encoder, names = _encoder(path), [x.split()[0] for x in ENCODED.split(", ")]
     df, n, size = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int64), 0, 0
     for b in batches:
-        items = texts(b.column(1))
-        for i, j in chunks(items):
-            found = encoder(items[i:j])
-            for x in found:
-                ids = np.frombuffer(x, encoder.kind)
-                df[np.unique(ids)] += 1
-                size += len(ids)
-            n += j - i
-            none = pa.nulls(j - i)
-            signs = [int(np.uint64(xxhash.xxh3_64_intdigest(x)).astype(np.int64)) for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(found, pa.binary()), pa.array(signs, pa.int64()), none.cast(pa.int32()), *[none.cast(pa.int64())] * 3], names)
+        for k in range(0, b.num_rows, 1000):
+            items, own = texts(b.column(1).slice(k, 1000)), b.column(0).slice(k, 1000)
+            for i, j in chunks(items):
+                found = encoder(items[i:j])
+                sizes = np.array([len(x) // encoder.kind.itemsize for x in found])
+                _, token = _distinct(np.frombuffer(b"".join(found), encoder.kind), sizes)
+                df += np.bincount(token, minlength=len(df))
+                n, size = n + j - i, size + int(sizes.sum())
+                none = pa.nulls(j - i)
+                signs = [int(np.uint64(xxhash.xxh3_64_intdigest(x)).astype(np.int64)) for x in found]
+                yield pa.RecordBatch.from_arrays([own.slice(i, j - i), pa.array(found, pa.binary()), pa.array(signs, pa.int64()), none.cast(pa.int32()), *[none.cast(pa.int64())] * 2, pa.array(sizes, pa.int64())], names)
     if n:
         token = np.flatnonzero(df)
         none, no = pa.nulls(len(token) + 1), np.zeros(len(token), np.int64)
@@ -138,6 +164,17 @@ def _encode(path: str, batches):
                                           pa.array(np.r_[0, df[token]]), pa.array(np.r_[n, no]), pa.array(np.r_[size, no])], names)
 
 
+def _distinct(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, token) without repeats, in order, of documents of these sizes that follow each other."""
+    wide = ids.itemsize > 2 or len(sizes) > 1 << 16
+    kind, bits = (np.uint64, 32) if wide else (np.uint32, 16)
+    key = np.repeat(np.arange(len(sizes), dtype=kind) << kind(bits), sizes)
+    key |= ids
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    return (key >> kind(bits)).astype(np.int32), (key & kind((1 << bits) - 1)).astype(np.int32)
+
+
 class Corpus:
     """What BM25 needs to know of all documents: the weight of each token and the mean length."""
 
@@ -175,28 +212,51 @@ class Leaders:
         self.first = np.r_[first, len(term)]
         self.n, self.at = len(profiles), at
 
-    def of(self, ids: np.ndarray) -> int:
-        """The leader with the highest score for a document, the first of several."""
-        t = np.unique(ids)
-        i = np.minimum(np.searchsorted(self.terms, t), len(self.terms) - 1)
-        i = i[self.terms[i] == t]
-        n = self.first[i + 1] - self.first[i]
-        at = np.repeat(self.first[i] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return int(np.bincount(self.doc[at], self.weight[at], self.n).argmax())
+    def of(self, doc: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+        """The leader with the highest score for each of ``n`` documents, the first of several; their tokens are those of ``_distinct``."""
+        i = np.minimum(np.searchsorted(self.terms, token), len(self.terms) - 1)
+        on = self.terms[i] == token
+        i, doc, out = i[on], doc[on], np.zeros(n, np.int64)
+        ends = np.r_[0, np.cumsum(self.first[i + 1] - self.first[i])]
+        cuts = np.searchsorted(doc, np.arange(n + 1))
+        a = 0
+        while a < n:
+            # some documents at a time, so that their postings and scores stay small
+            b = min(max(a + 1, int(np.searchsorted(ends[cuts], ends[cuts[a]] + POSTINGS, "right")) - 1), a + max(1, POSTINGS // self.n), n)
+            own = slice(cuts[a], cuts[b])
+            counts = self.first[i[own] + 1] - self.first[i[own]]
+            at = np.repeat(self.first[i[own]] - (ends[own] - ends[cuts[a]]), counts) + np.arange(ends[cuts[b]] - ends[cuts[a]])
+            place = np.repeat((doc[own] - a) * self.n, counts) + self.doc[at]
+            out[a:b] = np.bincount(place, self.weight[at], (b - a) * self.n).reshape(b - a, self.n).argmax(1)
+            a = b
+        return out
+
+
+def _rows_of(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all rows one after another, and where each row starts."""
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] // kind.itemsize
+    return np.frombuffer(column.buffers()[2] or b"", kind), first
 
 
 def _deal(kind: np.dtype, rounds: list[dict[int, Leaders]], keep: bool, batches):
     """Documents with the group that each goes to, round by round; a round has leaders of every group that was too large."""
-    for b in batches:
-        items, own = b.column(1).to_pylist(), []
-        for x in items:
-            g, ids = 0, np.frombuffer(x, kind).astype(np.int64)
+    names = ["doc_id", *(["ids"] if keep else []), "hash", "size", "grp"]
+    for whole in batches:
+        for k in range(0, whole.num_rows, 1000):
+            b = whole.slice(k, 1000)
+            ids, first = _rows_of(b.column(1), kind)
+            sizes = np.diff(first)
+            doc, token = _distinct(ids[first[0]:first[-1]], sizes)
+            cuts, grp = np.searchsorted(doc, np.arange(len(sizes) + 1)), np.zeros(len(sizes), np.int64)
             for leaders in rounds:
-                if g in leaders:
-                    g = leaders[g].at + leaders[g].of(ids)
-            own.append(g)
-        size = pa.array([len(x) // kind.itemsize for x in items], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), *([b.column(1)] if keep else []), b.column(2), pa.array(own, pa.int64()), size], ["doc_id", *(["ids"] if keep else []), "hash", "grp", "size"])
+                before, order = grp.copy(), np.argsort(grp, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(before[order])) + 1):
+                    own = leaders.get(int(before[part[0]])) if len(part) else None
+                    if own is not None:
+                        counts = cuts[part + 1] - cuts[part]
+                        at = np.repeat(cuts[part] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+                        grp[part] = own.at + own.of(np.repeat(np.arange(len(part)), counts), token[at], len(part))
+            yield pa.RecordBatch.from_arrays([b.column(0), *([b.column(1)] if keep else []), b.column(2), b.column(3), pa.array(grp)], names)
 
 
 class Index:
@@ -205,33 +265,55 @@ class Index:
     def __init__(self, docs: list[np.ndarray], corpus: Corpus):
         n = len(docs)
         sizes = np.array([len(d) for d in docs])
-        key, tf = np.unique(np.repeat(np.arange(n), sizes) << 32 | np.concatenate(docs).astype(np.int64), return_counts=True)
-        doc, term = key >> 32, key & 0xFFFFFFFF
-        terms, at, df = np.unique(term, return_inverse=True, return_counts=True)
+        key = np.repeat(np.arange(n) << 32, sizes) | np.concatenate(docs).astype(np.int64)
+        key.sort()
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        tf, key = np.diff(np.r_[first, len(key)]), key[first]
+        doc, term = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
+        del key, first
         weight = corpus.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / corpus.mean))
         self.first = np.searchsorted(doc, np.arange(n + 1))
-        self.at, self.df = at, df
+        df = np.bincount(term)
+        at = np.cumsum(df > 0, dtype=np.int32)[term] - 1
+        self.at, self.df = at, df[df > 0]
         order = np.argsort(at, kind="stable")
-        self.post_doc, self.post_weight, self.post_first = doc[order].astype(np.int32), weight[order], np.r_[0, np.cumsum(df)]
+        self.post_doc, self.post_weight, self.post_first = doc[order], weight[order], np.r_[0, np.cumsum(self.df)]
         self.n = n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents that share a token with the seed, the best first."""
         at = self.at[self.first[seed]:self.first[seed + 1]]
-        at = at[self.df[at] > 1]  # a token of one document finds nobody
+        at = at[self.df[at] > 0]  # tokens of used documents find nobody
         if not len(at):
             return
-        spans = [slice(self.post_first[t], self.post_first[t + 1]) for t in at]
+        spans = list(map(slice, self.post_first[at].tolist(), self.post_first[at + 1].tolist()))
         score = np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), self.n)
         found = np.flatnonzero((score > 0) & unused)
-        yield from found[np.lexsort((found, -score[found]))].tolist()
+        score = score[found]
+        if len(found) > 4 * NEAREST:
+            # a window seldom asks for more than these
+            on = score >= np.partition(score, -NEAREST)[-NEAREST]
+            yield from found[on][np.argsort(-score[on], kind="stable")].tolist()
+            found, score = found[~on], score[~on]
+        yield from found[np.argsort(-score, kind="stable")].tolist()
+
+    def shrink(self, unused: np.ndarray):
+        """Leaves out the postings of documents that are used."""
+        on = unused[self.post_doc]
+        term = np.repeat(np.arange(len(self.df)), self.df)[on]
+        self.post_doc, self.post_weight = self.post_doc[on], self.post_weight[on]
+        self.df = np.bincount(term, minlength=len(self.df))
+        self.post_first = np.r_[0, np.cumsum(self.df)]
 
 
 def order_of(docs: list[np.ndarray], corpus: Corpus, length: int = LENGTH) -> list[int]:
     """The order in which documents fill the windows one after another."""
     index, unused, out, filled, following = Index(docs, corpus), np.ones(len(docs), bool), [], 0, 0
-    seed, near = -1, iter(())
-    for _ in range(len(docs)):
+    seed, near, held = -1, iter(()), len(docs)
+    for left in range(len(docs), 0, -1):
+        if 4 * left < 3 * held:
+            held = left
+            index.shrink(unused)
         nxt = next((d for d in near if unused[d]), None) if filled else None
         if nxt is None:
             while not unused[following]:
@@ -272,11 +354,20 @@ def _pack(length: int, kind: np.dtype, corpus: Corpus, key, table: pa.Table) ->
     return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
 
+DEALT = "doc_id long, ids binary, hash long, size long, grp long"
+#: Token ids are written twice.
+PACKED = {"compression": "zstd"}
+
+
 def dealt(rows: DataFrame, kind: np.dtype, corpus: Corpus, shard_tokens: int) -> tuple[list[dict[int, Leaders]], DataFrame]:
-    """Leaders of each round for ``rows`` (doc_id, ids, hash), and a table of (doc_id, hash, grp, size); token ids are not written again."""
+    """Leaders of each round for ``rows`` (doc_id, ids, hash, size), and a table of (doc_id, hash, size, grp); that of the last round has the ids too."""
     spark, rounds, done, at = rows.sparkSession, [], set(), 1
+    # all are one group at first
+    places = rows.select("doc_id", "hash", "size", F.lit(0).cast("long").alias("grp"))
     while True:
-        places = stored(rows.mapInArrow(partial(_deal, kind, rounds, False), "doc_id long, hash long, grp long, size long"), "places")
+        if rounds:
+            keep = len(rounds) == ROUNDS
+            places = stored(rows.mapInArrow(partial(_deal, kind, rounds, keep), DEALT if keep else DEALT.replace("ids binary, ", "")), "places", **PACKED if keep else {})
         if len(rounds) == ROUNDS:
             return rounds, places
         sizes = places.groupBy("grp").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -320,20 +411,20 @@ def packed(docs: DataFrame, path: str, length: int = LENGTH, shard_bytes: int =
     """One row per piece of ``docs`` (doc_id, text), see ``PIECES``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = Encoder(path).kind
-    rows = stored(docs.mapInArrow(partial(_encode, path), ENCODED), "encoded")
+    rows = stored(docs.mapInArrow(partial(_encode, path), ENCODED), "encoded", **PACKED)
     counts = stored(rows.where("token is not null").groupBy("token").agg(*(F.sum(x).alias(x) for x in ("df", "docs", "size"))), "frequencies").toArrow()
     token, df = counts.column(0).to_numpy(), counts.column(1).to_numpy()
     n, size = (int(counts.column(i).to_numpy().sum()) for i in (2, 3))
     corpus = Corpus(token[token >= 0], df[token >= 0], n, size)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shard_tokens = max(1, int(shard_bytes * size / max(total, 1)))
-    rows = rows.where("token is null").select("doc_id", "ids", "hash")
+    rows = rows.where("token is null").select("doc_id", "ids", "hash", "size")
     rounds, places = dealt(rows, kind, corpus, shard_tokens)
 
     # what is still too large is dealt by a hash; rows that repeat id and text for more than a shard by their place
     groups = shard_table({r.grp: r.size for r in places.groupBy("grp").agg(F.sum("size").alias("size")).collect()}, shard_tokens)
     table = F.broadcast(docs.sparkSession.createDataFrame(groups, "grp long, first long, parts long"))
-    rows = rows.mapInArrow(partial(_deal, kind, rounds, True), "doc_id long, ids binary, hash long, grp long, size long").join(table, "grp")
+    rows = (places if "ids" in places.columns else rows.mapInArrow(partial(_deal, kind, rounds, True), DEALT)).join(table, "grp")
     mixed = F.xxhash64("doc_id", "hash")
     if any(parts > 1 for _, _, parts in groups):
         large = (places.join(table, "grp").where("parts > 1").groupBy("grp", mixed.alias("mixed")).agg(F.sum("size").alias("size"))

@@ -64,3 +64,45 @@ def test_ids_are_those_of_the_tokenizer(letters):
     got = encoder([x.encode() for x in items])
     for x, ids in zip(items, got):
         assert np.frombuffer(ids, encoder.kind).tolist() == [*encoder.tokenizer.encode(x, add_special_tokens=False).ids, packing.END], repr(x)
+
+
+def test_remembered_words_stay_few(monkeypatch):
+    """Also within one call, and not the long ones, which seldom come again."""
+    monkeypatch.setattr(packing, "MEMO", 50)
+    encoder = packing.Encoder(Q.tokenizer_path())
+    items = [" ".join(f"{a}{b}x" for b in "abcdefghij") + " averylongwordindeed" for a in "klmnopqrst" * 3]
+    got = encoder([x.encode() for x in items])
+    assert len(encoder.known) <= 50 + 11 and "averylongwordindeed" not in encoder.known
+    for x, ids in zip(items, got):
+        assert np.frombuffer(ids, encoder.kind).tolist() == [*encoder.tokenizer.encode(x, add_special_tokens=False).ids, packing.END]
+
+
+def test_the_last_round_is_not_dealt_again(spark, monkeypatch):
+    """What the last round deals goes on with its ids, and is what dealing from the start gives."""
+    monkeypatch.setattr(packing, "ROUNDS", 2)
+    rows, kind = topics(n=8, each=30), np.dtype("<u2")
+    encoder = packing.Encoder(Q.tokenizer_path())
+    ids = encoder([t.encode() for _, _, t in rows])
+    docs = [np.frombuffer(x, kind) for x in ids]
+    token, df = np.unique(np.concatenate([np.unique(d) for d in docs]), return_counts=True)
+    corpus = packing.Corpus(token, df, len(docs), sum(map(len, docs)))
+    table = spark.createDataFrame([(r[0], bytearray(x), hash(x), len(d)) for r, x, d in zip(rows, ids, docs)], "doc_id long, ids binary, hash long, size long")
+    rounds, places = packing.dealt(table, kind, corpus, 1200)
+    assert len(rounds) == 2 and "ids" in places.columns
+    again = table.mapInArrow(lambda b: packing._deal(kind, rounds, True, b), packing.DEALT)
+    assert places.exceptAll(again).isEmpty() and again.exceptAll(places).isEmpty() and places.count() == len(rows)
+
+
+def test_leaders_by_force():
+    """Many documents at a time, and few scores at a time, as one by one."""
+    r = np.random.default_rng(3)
+    profiles = [(t := np.unique(r.integers(0, 60, 12)), r.random(len(t))) for _ in range(7)]
+    docs = [r.integers(0, 80, r.integers(0, 30)).astype("<u2") for _ in range(50)]
+    doc, token = packing._distinct(np.concatenate(docs), np.array([len(d) for d in docs]))
+    want = [int(np.argmax([sum(w for t, w in zip(*p) if t in set(d.tolist())) for p in profiles])) for d in docs]
+    for postings in (1, 40, 1 << 18):
+        packing.POSTINGS, kept = postings, packing.POSTINGS
+        try:
+            assert packing.Leaders(profiles, 1).of(doc, token, len(docs)).tolist() == want
+        finally:
+            packing.POSTINGS = kept
