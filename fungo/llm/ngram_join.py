@@ -8,18 +8,21 @@ finds every link between classes, and ``pairs`` every pair of documents that lin
 
 * **Groups.** Similar classes are put into groups first: classes with a common min-hash
   are compared with one leader, and those that pass the exact test are joined to it; in
-  ``TURNS`` turns, with other leaders for those that are still apart.
+  ``TURNS`` turns, with other leaders for those that are still apart. A last turn compares
+  each class with the centre that most of its leading tokens point to: of the classes that
+  have a token, the one with the fewest tokens that no other class has.
   What such links connect is a group; every other class is a group of its own.
 * **Matrix.** With all shingles in one global order, rare ones first, two sets as similar
   as asked share one of their first n - ceil(3n/4) + 1 shingles. A group's token union is
   the union of these leading tokens of its members. It is stored as rows (token, group), one
   however many members have the token, with the smallest and largest size among them.
-* **Bound.** Each class asks the groups of other classes that are no larger. The leading
-  tokens it has in common with a group's union are counted; with what can be left
+* **Bound.** Of two groups, the classes of the smaller one ask the larger. The leading
+  tokens a class has in common with a group's union are counted; with what can be left
   beyond them they bound its overlap with every member. Only groups whose bound reaches
-  the overlap that their smallest member would need are opened.
-* **Opening.** In an opened group the class meets the members it has tokens in common with,
-  under the same bound for the pair, and what remains is compared exactly, on whole texts.
+  the overlap that their smallest member would need are opened. Before anything is counted, the leading
+  tokens that no other class has bound the size of what a class can link with (its reach).
+* **Opening.** In an opened group the class meets the members that have one of its rarer tokens,
+  of which they cannot lack all; the bounds hold for the pair too, and what remains is compared exactly, on whole texts.
 
 For components nothing within a group is compared again, so large groups of near copies cost
 a few comparisons each, not one per pair. ``all_links`` makes every class a group. Tokens of
@@ -47,14 +50,15 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fungo.llm.common import WORD, WordHashes, chunks, free, stored, texts
 from fungo.llm.components import components
 
 WORDS = 5
 BANDS = 4
-TURNS = 3
+TURNS = 2
+FAR = 1 << 60
 FREQUENT = 200_000
 OFTEN = 4
 HELD = 2_000_000
@@ -139,6 +143,11 @@ def _kept(n):
     return F.floor((n * 3 + 3) / 4)
 
 
+def _in_reach(size: str, reach: str):
+    """Whether a class (n, reach) and another, or some member of a group, can link by what each has that no other class has."""
+    return F.expr(f"({reach} = {FAR} or {size} <= reach) and (reach = {FAR} or {reach} >= n)")
+
+
 def _prefixes(words: int, tokens: np.ndarray, rank: np.ndarray, batches):
     """(token, class, size, place of the last leading token in the order, salt) of the leading tokens of each set; a class once a task.
 
@@ -287,8 +296,12 @@ class NgramJoin:
         return (bands.join(leaders.select("band", "key", "lead"), ["band", "key"]).where("grp <> lead.grp and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)")
                 .select(F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct())
 
-    def leading(self, groups: DataFrame | None) -> DataFrame:
-        """Leading tokens of every class that others may have too, with the class's group; without ``groups`` each class is one."""
+    def leading(self) -> DataFrame:
+        """Leading tokens of every class that others may have too.
+
+        ``own`` counts the class's other leading tokens. Where its leading tokens reach into the frequent ones, those have all its
+        rare tokens, so that no class of this kind with more than ``reach`` tokens can link with it; others have ``FAR``.
+        """
         top = self.tokens.groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
         token, count = top.column(0).to_numpy().astype(np.uint64), top.column(1).to_numpy()
         order = np.argsort(token)
@@ -296,48 +309,84 @@ class NgramJoin:
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.25 / PART_ROWS) + 1)
         rows = (self.docs.select("text").mapInArrow(partial(_prefixes, self.words, token[order], count[order]), PREFIX_DDL)
                 .repartition(parts, "token", "salt").mapInArrow(_shared, PREFIX_DDL))
-        own = self.classes.select("sig", "node", F.col("node").alias("grp"))
-        if groups is not None:
-            own = self.classes.select("sig", "node").join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("grp"))
-        return stored(rows.join(own, "sig").select("token", "node", "grp", "n", F.struct("end_rank", "end").alias("end")), "leading")
+        rows = rows.join(self.classes.select("sig", "node"), "sig")
+        rows = rows.withColumn("own", F.col("n") - _kept(F.col("n")) + 1 - F.count("*").over(Window.partitionBy("sig")))
+        reach = F.when(F.col("end_rank") > 0, F.floor((4 * F.col("n") - 7 * F.col("own")) / 3)).otherwise(FAR)
+        return stored(rows.select("token", "node", "n", "own", reach.alias("reach"), F.struct("end_rank", "end").alias("end")), "leading")
+
+    def centre_pairs(self, leading: DataFrame, groups: DataFrame) -> DataFrame:
+        """Each class with the centre that most of its leading tokens have, if the bounds may allow a link and no group holds both.
+
+        A token's centre is the class with the fewest tokens of its own, such as the text that others are copies of.
+        """
+        rows = leading.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
+        tokens = (rows.groupBy("token").agg(F.min(F.struct("own", "node", "n", "reach", "end", "grp")).alias("mid"), F.min("grp").alias("a"), F.max("grp").alias("b"))
+                  .where("a < b").select("token", "mid"))
+        met = rows.join(tokens, "token").where("grp <> mid.grp and 4 * least(n, mid.n) >= 3 * greatest(n, mid.n)").where(_in_reach("mid.n", "mid.reach"))
+        met = met.groupBy("node", F.col("mid.node").alias("mid")).agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("mid.n").alias("size"))
+        left = _kept(F.greatest("n", "size")) - 1
+        met = met.where(F.col("met") + left >= F.ceil((F.col("n") + F.col("size")) * 3 / 7))
+        return met.groupBy("node").agg(F.max(F.struct("met", "mid")).alias("best")).select(F.col("best.mid").alias("u"), F.col("node").alias("v"))
+
+    def grouped(self, leading: DataFrame, groups: DataFrame | None) -> DataFrame:
+        """The leading tokens with each class's group and how many classes that has; without ``groups`` each class is one."""
+        if groups is None:
+            return leading.withColumn("grp", F.col("node")).withColumn("weight", F.lit(1).cast("long"))
+        weights = groups.groupBy("component").agg(F.count("*").alias("weight"))
+        groups = groups.join(weights, "component").withColumnRenamed("component", "grp")
+        rows = leading.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node")).withColumn("weight", F.coalesce("weight", F.lit(1)))
+        return stored(rows, "grouped")
 
     def matrix(self, leading: DataFrame) -> DataFrame:
         """Token-group matrix: a row per token of a group's union, of tokens that several groups have.
 
-        ``lo`` and ``hi`` are the smallest and largest size of the members that have the token, ``one`` and ``two``
-        the smallest and largest of them, ``last`` the latest end of their leading tokens; the token's askers
+        ``lo`` and ``hi`` are the smallest and largest size of the members that have the token, ``far`` their longest reach, ``rows`` their number, ``one``
+        and ``two`` the smallest and largest of them, ``last`` the latest end of their leading tokens; the token's askers
         are dealt to ``fan`` tasks.
         """
-        union = leading.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("node").alias("one"), F.max("node").alias("two"),
-                                                    F.max("end").alias("last"), F.count("*").alias("rows"))
+        union = leading.groupBy("token", "grp").agg(F.first("weight").alias("weight"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("reach").alias("far"),
+                                                    F.min("node").alias("one"), F.max("node").alias("two"), F.max("end").alias("last"), F.count("*").alias("rows"))
         tokens = union.groupBy("token").agg(F.count("*").alias("groups"), F.ceil(F.sum("rows") / FAN).cast("int").alias("fan")).where("groups > 1")
-        return stored(union.drop("rows").join(tokens.drop("groups"), "token"), "matrix")
+        return stored(union.join(tokens.drop("groups"), "token"), "matrix")
 
     def opened(self, leading: DataFrame, matrix: DataFrame) -> DataFrame:
-        """Classes (u, n, end) with the groups (grp) whose bound on their overlap reaches what a member would need."""
+        """Classes (u, n, reach, end) with the groups (grp) whose bound on their overlap reaches what a member would need.
+
+        ``least`` is the number of leading tokens that they must have in common with such a member.
+        """
         asks = leading.join(matrix.select("token", "fan").distinct(), "token")
-        asks = asks.select("token", F.pmod(F.xxhash64("node"), F.col("fan")).cast("int").alias("salt"), F.col("node").alias("u"), F.col("grp").alias("own"), "n", "end")
-        cells = matrix.select("token", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), "grp", "lo", "hi", "one", "two", "last")
-        met = asks.join(cells, ["token", "salt"]).where("own <> grp and lo <= n and 4 * hi >= 3 * n")
-        met = met.groupBy("u", "grp").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("end").alias("end"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-                                          F.min("one").alias("one"), F.max("two").alias("two"), F.max("last").alias("last"))
+        asks = asks.select("token", F.pmod(F.xxhash64("node"), F.col("fan")).cast("int").alias("salt"), F.col("node").alias("u"), F.struct("weight", "grp").alias("own"), "n", "reach", "end")
+        cells = matrix.select("token", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), "grp", "weight", "lo", "hi", "far", "one", "two", "last")
+        # of two groups the classes of the smaller one ask
+        met = asks.join(cells, ["token", "salt"]).where("own < struct(weight, grp) and 3 * lo <= 4 * n and 4 * hi >= 3 * n").where(_in_reach("lo", "far"))
+        met = met.groupBy("u", "grp").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("reach").alias("reach"), F.first("end").alias("end"), F.min("lo").alias("lo"),
+                                          F.max("hi").alias("hi"), F.min("one").alias("one"), F.max("two").alias("two"), F.max("last").alias("last"))
         # members that end later leave what the class has beyond its leading tokens; those that end first, what they have
-        left = F.when(F.col("end") > F.col("last"), _kept(F.least("n", "hi"))).otherwise(_kept(F.col("n"))) - 1
+        left = F.when(F.col("end") > F.col("last"), _kept(F.col("hi"))).otherwise(_kept(F.greatest("n", "hi"))) - 1
         need = F.ceil((F.col("n") + F.greatest(F.col("lo"), _kept(F.col("n")))) * 3 / 7)
-        return stored(met.where(F.col("met") + left >= need).select("u", "grp", "n", "end", "one", "two"), "opened")
+        return stored(met.where(F.col("met") + left >= need).select("u", "grp", "n", "reach", "end", "one", "two", F.greatest(need - left, F.lit(1)).alias("least")), "opened")
 
-    def group_pairs(self, groups: DataFrame | None) -> DataFrame:
+    def group_pairs(self, leading: DataFrame, groups: DataFrame | None) -> DataFrame:
         """Pairs of classes in different groups that the bounds of group and pair leave; without ``groups`` of all classes."""
-        leading = self.leading(groups)
-        opened = self.opened(leading, self.matrix(leading))
+        leading = self.grouped(leading, groups)
+        matrix = self.matrix(leading)
+        opened = self.opened(leading, matrix)
         # where one member alone has tokens of the class, the group's bound is the pair's
         alone = opened.where("one = two").select("u", F.col("one").alias("v"))
         if groups is None:
             return alone.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         own = leading.select(F.col("node").alias("u"), "token")
-        members = leading.select("grp", "token", F.col("node").alias("v"), F.col("n").alias("size"), F.col("end").alias("until"))
-        met = (opened.where("one < two").join(own, "u").join(members, ["grp", "token"]).where("size <= n and 4 * size >= 3 * n")
-               .groupBy("u", "v").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("size").alias("size"), (F.first("end") <= F.first("until")).alias("first")))
+        members = leading.select("grp", "token", F.col("node").alias("v"), F.col("n").alias("size"), F.col("reach").alias("far"), F.col("end").alias("until"))
+        # of the tokens that a class has in common with a group, a member must have ``least``: it has one of all but least - 1, the rarest ones
+        both = Window.partitionBy("u", "grp")
+        some = (opened.where("one < two").drop("one", "two").join(own, "u").join(matrix.select("grp", "token", "rows", "lo", "hi", "far"), ["grp", "token"])
+                .where("3 * lo <= 4 * n and 4 * hi >= 3 * n").where(_in_reach("lo", "far")).drop("lo", "hi", "far")
+                .withColumn("place", F.row_number().over(both.orderBy("rows", "token"))).withColumn("all", F.count("*").over(both)).where("place <= all - least + 1"))
+        met = some.join(members, ["grp", "token"]).where("4 * least(n, size) >= 3 * greatest(n, size)").where(_in_reach("size", "far")).select("u", "v", "n", "size", "end", "until").distinct()
+        met = stored(met, "met")
+        sets = own.join(met.select("u").union(met.select("v")).distinct(), "u", "left_semi").groupBy("u").agg(F.collect_list("token").alias("tokens"))
+        met = (met.join(sets, "u").join(sets.toDF("v", "others"), "v")
+               .select("u", "v", "n", "size", F.size(F.array_intersect("tokens", "others")).alias("met"), (F.col("end") <= F.col("until")).alias("first")))
         left = F.when(F.col("first"), _kept(F.col("n"))).otherwise(_kept(F.col("size"))) - 1
         several = met.where(F.col("met") + left >= F.ceil((F.col("n") + F.col("size")) * 3 / 7)).select("u", "v")
         return alone.union(several).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -347,11 +396,13 @@ class NgramJoin:
         found = self.verified(self.leader_pairs(0, None))
         for turn in range(1, TURNS):
             found = found.union(self.verified(self.leader_pairs(turn, components(found))))
-        return found.union(self.verified(self.group_pairs(components(found))))
+        leading, groups = self.leading(), components(found)
+        found = found.union(self.verified(self.centre_pairs(leading, groups)))
+        return found.union(self.verified(self.group_pairs(leading, components(found))))
 
     def all_links(self) -> DataFrame:
         """Every link (u, v) between classes, by fingerprint, once each."""
-        found, sig = self.verified(self.group_pairs(None)), self.classes.select("node", "sig")
+        found, sig = self.verified(self.group_pairs(self.leading(), None)), self.classes.select("node", "sig")
         return (found.join(sig.toDF("u", "a"), "u").join(sig.toDF("v", "b"), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
 
     def pairs(self) -> DataFrame:

@@ -1,11 +1,14 @@
 """Every link, and ids that carry several texts, against the query's SQL or force."""
 
+import random
+
 import duckdb
 import pytest
 
+from fungo.llm.components import components
 from fungo.llm.ngram_join import NgramJoin
 from fungo.llm.queries import NEAR_SQL
-from test_ngram_join import corpus, found, shingles
+from test_ngram_join import brute, corpus, found, shingles
 
 A, B, C = ("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon",
            "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty",
@@ -29,3 +32,32 @@ def test_every_pair(spark):
     want = {(min(d, e), max(d, e)) for d, x in sets for e, y in sets if d != e and x and y and 100 * len(x & y) >= 75 * len(x | y)}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in NgramJoin(docs).pairs().collect()) == sorted(want)
+
+
+def test_a_large_group_is_no_square(spark):
+    """Copies that are too far from each other: the join of tokens makes rows in proportion, and results stay."""
+    rows = family(300)
+    join = NgramJoin(spark.createDataFrame(rows, "doc_id long, text string"))
+    leading = join.leading()
+    # most have more tokens of their own than a link allows, so their reach is below their size
+    near = leading.select("node", "n", "reach").distinct()
+    assert near.where("reach < n").count() > 100
+    groups = components(join.verified(join.leader_pairs(0, None)))
+    groups = components(join.verified(join.leader_pairs(0, None)).union(join.verified(join.centre_pairs(leading, groups))))
+    rows_ = join.grouped(leading, groups)
+    opened = join.opened(rows_, join.matrix(rows_))
+    assert opened.count() < 900
+    assert found(spark, rows) == brute(rows)
+
+
+def family(n):
+    """A text of 100 words and copies of it with up to 4 words changed."""
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(100)]
+    out = [(0, " ".join(base))]
+    for d in range(1, n):
+        text = list(base)
+        for at in r.sample(range(100), r.choice((1, 2, 4, 4))):
+            text[at] = f"x{d}y{at}"
+        out.append((d, " ".join(text)))
+    return out
