@@ -1,10 +1,14 @@
 """Bucketed tables: joins without exchanges, and the number of exchanges of the wide pipelines."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from fungo import catalog
-from fungo.operators import joins as j
+from fungo.operators import joins as j, ordered as o
+from fungo.sources import shelf as shelves
 from fungo.sources.shelf import Shelf
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +97,83 @@ def test_season_values_are_read_from_files(spark):
     """The order lines behind the values of a season are read once, when these are written, not at every use."""
     plan = catalog.QUERIES["stuff_attach"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "o_orderkey" not in plan
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {x for x in files.splitlines() if "/shuffle_" in x}
+
+
+def test_exchanges_of_a_table_go_with_its_job(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(shelves.CLEANUP, None)
+    shelf = Shelf(spark, 4)
+    made = shelf.put("sums", spark.range(1000).groupBy((F.col("id") % 10).alias("id")).agg(F.count("*").alias("n")), ["id"])
+    shelf.put_all({"more": made.groupBy("n").agg(F.max("id").alias("id"))}, ["id"], dealt=False)
+    until = time.time() + 10
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)  # files are removed in the background
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(shelves.CLEANUP, None) == setting
+    assert made.count() == 10
+
+
+def test_dropped_tables_leave_no_files(spark):
+    shelf = Shelf(spark, 2)
+    shelf.put("gone", spark.range(10), ["id"])
+    kept = shelf.put("kept", spark.range(10), ["id"])
+    at = os.path.join(shelf.root.removeprefix("file:"), "")
+    assert sorted(os.listdir(at)) == ["gone", "kept"]
+    shelf.drop("gone")
+    assert os.listdir(at) == ["kept"] and kept.count() == 10
+    assert not spark.catalog.tableExists(f"shelf_{shelf.id}_gone") and shelf.names == [f"shelf_{shelf.id}_kept"]
+
+
+def test_full_matrix_keeps_one_job_on_disk(spark, monkeypatch):
+    """Tables are written one at a time, and what only other tables are made of is gone before the matrix is joined."""
+    made, running, most = [], [], []
+
+    def put(self, name, df, keys, dealt=False, put=Shelf.put):
+        running.append(name)
+        most.append(len(running))
+        made.append(self)
+        try:
+            return put(self, name, df, keys, dealt)
+        finally:
+            running.remove(name)
+
+    monkeypatch.setattr(Shelf, "put", put)
+    out = catalog.QUERIES["full_feature_matrix"](spark, SF)
+    left = os.listdir(made[0].root.removeprefix("file:"))
+    assert max(most) == 1
+    assert not set(left) & {"appearances", "runs_to_end", "values", "placed", "batters", "people", "stats"}
+    assert len(out.columns) == 148 and out.count() > 0
+
+
+def test_sides_stay_where_they_lie(spark):
+    """Joined near a key, rows get what a join on all keys gives them, and only the other side is moved."""
+    rows = [(1, "a", 1), (1, "b", 2), (1, "b", 3), (2, "a", 4), (2, None, 5), (None, "a", 6), (3, "c", 7)]
+    values = [(1, "a", 10), (1, "b", 20), (1, "b", 21), (2, "b", 30), (2, None, 40), (None, "a", 50)]
+    shelf = Shelf(spark, 4)
+    left = shelf.put("rows", spark.createDataFrame(rows, "k long, team string, x int"), ["k"])
+    right = spark.createDataFrame(values, "k long, team string, v int")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old, parts = spark.conf.get(key), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(key, "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        near = o.join_near(left, right, ["k", "team"], near=["k"])
+        whole = o.join_near(left, right, ["k", "team"])
+        order = lambda df: sorted(map(tuple, df.select("k", "team", "x", "v").collect()), key=repr)
+        assert order(near) == order(whole)
+        assert exchanges(near.groupBy("k").agg(F.max("v"))) == 1 and exchanges(whole.groupBy("k").agg(F.max("v"))) == 3
+    finally:
+        spark.conf.set(key, old)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_running_sums_near_a_day(spark):
+    rows = [(t, v, d, n, n % 3) for t in (1, 2) for d in range(4) for n, v in enumerate("hah")] + [(1, None, 2, 9, 5)]
+    df = spark.createDataFrame(rows, "team int, venue string, day int, n int, x int")
+    aggs = {"s": ("sum", "x"), "c": ("count", "x")}
+    plain, near = (o.expanding(df, ["team", "venue"], ["day", "n"], aggs, near=k) for k in ((), ("team", "day")))
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, near.collect()))
